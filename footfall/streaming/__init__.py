@@ -1,0 +1,4 @@
+"""Intentionally empty: every metric of this engine is defined on a whole, batch-read
+event log. Its 24 h, 7 d and 14 d ranges are anchored per user on event time (see
+``footfall.operators.users``) and are not stream windows.
+"""
