@@ -21,15 +21,24 @@ class Tables:
     products: DataFrame
 
 
+# The columns in use. Declared, so that opening a table runs no job.
+SCHEMAS = {
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, "
+              "o_orderdate TIMESTAMP_NTZ",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT",
+    "customer": "c_custkey BIGINT, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_type STRING",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING, "
+              "value DOUBLE, props STRING",
+}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def _renamed_types(col: Column, types: dict[str, str]) -> Column:
-    renamed = col
-    for source, target in types.items():
-        renamed = F.when(col == source, target).otherwise(renamed)
-    return renamed
+    return F.coalesce(*[F.when(col == old, new) for old, new in types.items()], col)
 
 
 def order_history(spark: SparkSession, sf_dir: str) -> Tables:
