@@ -30,7 +30,6 @@ from footfall.operators import (  # noqa: E402
 )
 from footfall.operators.users import funnel_users, user_facts, user_flags  # noqa: E402
 from footfall.plans import analyses, bindings, query_library  # noqa: E402
-from footfall.sources.tables import written_table  # noqa: E402
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -45,9 +44,7 @@ def entry(spark: SparkSession) -> DataFrame:
 
 
 def _text_ts(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns(
-        {n: F.date_format(n, "yyyy-MM-dd HH:mm:ss.SSSSSS") for n in names}
-    )
+    return df.withColumns({n: F.col(n).cast("string") for n in names})
 
 
 def _rounded(df: DataFrame, *names: str) -> DataFrame:
@@ -88,7 +85,7 @@ def _activation(events: DataFrame) -> DataFrame:
 
 
 def _ab(events: DataFrame) -> DataFrame:
-    return experiment.ab_results(written_table(user_facts(events), "user_facts"))
+    return experiment.ab_results(analyses.population_facts(events))
 
 
 def _ab_out(events: DataFrame) -> DataFrame:
@@ -98,17 +95,15 @@ def _ab_out(events: DataFrame) -> DataFrame:
 
 
 def _summary_out(events: DataFrame) -> DataFrame:
-    summary = experiment.ab_summary(experiment.ab_results(user_facts(events)))
+    summary = experiment.ab_summary(experiment.ab_totals(user_facts(events)))
     return _rounded(
         summary, "lift_abs", "lift_abs_pct_points", "lift_rel", "z_stat", "p_value_two_sided"
     )
 
 
 def _library_ab(events: DataFrame) -> DataFrame:
-    facts = written_table(user_facts(events), "user_facts")
-    return _rounded(
-        query_library.ab_test_primary_and_guardrails(facts), "median_time_to_activation_hours"
-    )
+    library = query_library.ab_test_primary_and_guardrails(analyses.population_facts(events))
+    return _rounded(library, "median_time_to_activation_hours")
 
 
 def _segment_table(t: bindings.Tables) -> DataFrame:
@@ -219,12 +214,12 @@ def queries() -> dict[str, Query]:
         ),
         "report_ab_headline": _on(
             _clicks,
-            lambda e: reports.report_ab_headline(experiment.ab_results(user_facts(e))),
+            lambda e: reports.report_ab_headline(_ab(e)),
         ),
         "report_lift": _on(
             _clicks,
             lambda e: reports.report_lift(
-                experiment.ab_summary(experiment.ab_results(user_facts(e)))
+                experiment.ab_summary(experiment.ab_totals(user_facts(e)))
             ),
         ),
         "kpis": _on(_events, lambda e: reports.kpis(user_facts(e))),
@@ -357,7 +352,7 @@ _RETENTION_RATES = """
        round_even(100.0::DOUBLE * (CAST(count(*) FILTER (WHERE week1) AS DOUBLE) / count(*)), 2)
          AS week1_retention_pct"""
 
-_TEXT_TS = "strftime({0}, '%Y-%m-%d %H:%M:%S.%f')"
+_TEXT_TS = "CAST({0} AS VARCHAR)"
 
 _FACTS_OUT = f"""SELECT user_id, v AS has_view, c AS has_cart, p AS has_purchase,
        {_TEXT_TS.format('first_event')} AS first_event_ts,

@@ -41,8 +41,8 @@ def day_number(ts: Column) -> Column:
 
 
 def cohort_label(ts: Column, grain: str) -> Column:
-    """Calendar period of a timestamp as sortable text, by month or by day."""
-    formats = {"month": "yyyy-MM", "day": "yyyy-MM-dd"}
-    if grain not in formats:
-        raise ValueError(f"grain must be one of {sorted(formats)}, not {grain!r}")
-    return F.date_format(ts, formats[grain])
+    """Calendar period as sortable text: ``month`` (``2024-03``) or ``day`` (``2024-03-01``)."""
+    if grain not in ("month", "day"):
+        raise ValueError(f"grain must be 'month' or 'day', not {grain!r}")
+    day = F.to_date(ts).cast("string")
+    return F.left(day, F.lit(len("yyyy-MM"))) if grain == "month" else day

@@ -40,6 +40,36 @@ def assignments(facts: DataFrame, experiment_name: str = EXPERIMENT_NAME) -> Dat
     return assign_variants(population(facts).select("user_id"), experiment_name)
 
 
+def _members(facts: DataFrame, experiment_name: str) -> DataFrame:
+    micros = micros_from_hours(F.col("time_to_activation_hours"))
+    return assign_variants(population(facts), experiment_name).withColumn("micros", micros)
+
+
+def _totals(members: DataFrame, success: str, *more: Column) -> DataFrame:
+    # Whole microseconds add up exactly, in any order; 64 bits could overflow.
+    micros = F.sum(F.col("micros").cast("decimal(20,0)"))
+    return members.groupBy("experiment_name", "variant").agg(
+        F.count("*").alias("total_users"),
+        F.count_if(success).alias("success_users"),
+        F.count_if("week1_active").alias("week1_users"),
+        (ratio(micros, F.count("micros")) / MICROS_PER_HOUR)
+        .alias("mean_time_to_activation_hours"),
+        *more,
+    )
+
+
+def ab_totals(
+    facts: DataFrame,
+    experiment_name: str = EXPERIMENT_NAME,
+    success: str = "purchase_within_7d",
+) -> DataFrame:
+    """Counts and mean time to activation per variant, from one pass over ``facts``.
+
+    Enough for ``ab_summary``.
+    """
+    return _totals(_members(facts, experiment_name), success)
+
+
 def ab_results(
     facts: DataFrame,
     experiment_name: str = EXPERIMENT_NAME,
@@ -53,33 +83,16 @@ def ab_results(
     instead, which saves the counting rounds. ``facts`` is read twice for the exact
     median, so pass a written table where computing it is expensive.
     """
-    users = assign_variants(population(facts), experiment_name).withColumn(
-        "micros", micros_from_hours(F.col("time_to_activation_hours"))
-    )
-    activated_users = F.count("micros")
-    # Whole microseconds add up exactly, in any order; 64 bits could overflow.
-    mean_micros = ratio(F.sum(F.col("micros").cast("decimal(20,0)")), activated_users)
-    per_variant = [
-        F.count("*").alias("total_users"),
-        F.count_if(success).alias("success_users"),
-        F.count_if("week1_active").alias("week1_users"),
-        (mean_micros / MICROS_PER_HOUR).alias("mean_time_to_activation_hours"),
-    ]
+    members = _members(facts, experiment_name)
     if approx:
         median = F.percentile_approx("micros", 0.5).cast("double") / MICROS_PER_HOUR
-        results = users.groupBy("experiment_name", "variant").agg(
-            *per_variant, median.alias("median_time_to_activation_hours")
-        )
+        results = _totals(members, success, median.alias("median_time_to_activation_hours"))
     else:
-        middle = grouped_median(users, "variant", "micros", activation_hours * MICROS_PER_HOUR)
+        middle = grouped_median(members, "variant", "micros", activation_hours * MICROS_PER_HOUR)
         median = (F.col("low") + F.col("high")).cast("double") / (2 * MICROS_PER_HOUR)
         medians = middle.select("variant", median.alias("median_time_to_activation_hours"))
         # One row per variant on both sides.
-        results = (
-            users.groupBy("experiment_name", "variant")
-            .agg(*per_variant)
-            .join(F.broadcast(medians), "variant", "left")
-        )
+        results = _totals(members, success).join(F.broadcast(medians), "variant", "left")
     conversion = ratio(F.col("success_users"), F.col("total_users"), 0.0)
     retention = ratio(F.col("week1_users"), F.col("total_users"), 0.0)
     return results.select(
@@ -104,6 +117,8 @@ def ab_summary(
 ) -> DataFrame:
     """One row: lift of the treatment and a two-sided two-proportion z-test.
 
+    ``results`` is ``ab_results`` or ``ab_totals``.
+
     ``z_stat`` and ``p_value_two_sided`` are NULL where the pooled variance is zero, and
     so is every figure that needs a variant that is absent.
     """

@@ -74,14 +74,18 @@ def experiment_tables(
     facts: DataFrame, experiment_name: str = EXPERIMENT_NAME
 ) -> ExperimentTables:
     """From ``user_facts``; read several times, so pass a written table."""
-    results = experiment.ab_results(facts, experiment_name)
     return ExperimentTables(
-        results,
-        experiment.ab_summary(results, experiment_name),
+        experiment.ab_results(facts, experiment_name),
+        experiment.ab_summary(experiment.ab_totals(facts, experiment_name), experiment_name),
         experiment.assignments(facts, experiment_name),
     )
 
 
+def population_facts(events: DataFrame) -> DataFrame:
+    """``user_facts`` of the experiment population as a written table."""
+    return written_table(experiment.population(user_facts(events)), "population_facts")
+
+
 def build_ab_test(events: DataFrame, experiment_name: str = EXPERIMENT_NAME) -> ExperimentTables:
-    """Results, summary and assignments; the per-user facts are computed once and written."""
-    return experiment_tables(written_table(user_facts(events), "user_facts"), experiment_name)
+    """Results, summary and assignments; the population's facts are computed once."""
+    return experiment_tables(population_facts(events), experiment_name)
