@@ -8,8 +8,6 @@ counting, each over a number of keys that the values' range bounds.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import DataFrame, Window, functions as F
 
 
@@ -19,17 +17,21 @@ def grouped_median(df: DataFrame, group: str, value: str, upper: int) -> DataFra
     ``low`` and ``high`` are the same unless the group has an even number of values; the
     median is their mean. NULL values are skipped, and groups with no value are left out.
 
-    With ``w = ceil(sqrt(upper))``, the first round counts values per range of width
-    ``w`` and finds the at most two ranges that hold the middle positions; the second
-    counts the distinct values within those. Neither orders more than ``w`` rows per
-    group and range.
+    Values are counted per range of ``w`` consecutive integers, ``w`` a power of two of
+    about ``sqrt(upper)``. The first round finds the at most two ranges that hold the
+    middle positions; the second counts the distinct values within those. Neither orders
+    more than ``upper / w`` or ``w`` rows per group and range.
     """
-    width = math.isqrt(max(upper - 1, 0)) + 1
+    bits = (max(upper - 1, 0).bit_length() + 1) // 2
+    # Group and range are never NULL, so the join below adds no filter of its own and
+    # both rounds read the same shuffle of the counts.
+    known = F.col(group).isNotNull() & F.col(value).isNotNull()
+    bucket = F.coalesce(F.shiftright(F.col("value"), bits), F.lit(-1))
     counts = (
-        df.where(F.col(value).isNotNull())
+        df.where(known)
         .groupBy(group, F.col(value).alias("value"))
         .agg(F.count("*").alias("n"))
-        .withColumn("bucket", F.floor(F.col("value") / F.lit(width)))
+        .withColumn("bucket", bucket)
     )
 
     in_group = Window.partitionBy(group)

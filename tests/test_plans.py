@@ -108,11 +108,14 @@ def test_hot_product_is_split_at_run_time(events, spark):
 def test_readout_orders_aggregated_rows_only(events, tmp_path, spark):
     write_artifact(user_facts(events), str(tmp_path), "facts", "parquet", single_file=False)
     facts = spark.read.parquet(f"{tmp_path}/facts")
-    text = plan(experiment.ab_results(facts))
+    results = experiment.ab_results(facts)
+    text = plan(results)
     assert "percentile" not in text.lower() and "median(" not in text
     for match in re.finditer(r"\n[^\n]*\+- Window \[", text):
         # Each window sits on counts: there is an aggregate between it and the scan.
         assert "HashAggregate" in text[match.end():]
+    results.collect()
+    assert "ReusedExchange" in plan(results), "the counts are computed once"
 
 
 @pytest.mark.parametrize("name", sorted(registry.queries()))
