@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -14,12 +15,14 @@ from footfall.operators.users import user_facts
 def new_work_folder(spark: SparkSession) -> str:
     """A folder of its own for intermediate tables, where all executors can reach it.
 
-    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``. There is
-    no fallback: a machine's temporary folder would be lost with the machine.
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``. Only a
+    local master, whose executors are this machine, may go without that setting.
     """
     shared = spark.conf.get("spark.checkpoint.dir", None)
     if not shared:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        shared = tempfile.gettempdir()
     application = spark.sparkContext.applicationId
     return f"{shared.rstrip('/')}/footfall/{application}/{uuid.uuid4().hex}"
 

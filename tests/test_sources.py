@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 from pathlib import Path
+from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
@@ -147,16 +148,18 @@ def test_written_table_and_work_folder(spark):
     assert not Path(folder).exists()
 
 
-def test_shared_folder_is_required(spark, monkeypatch):
-    class Conf:
-        def get(self, key, default):
-            return default
+class FakeSession:
+    """A session without spark.checkpoint.dir."""
 
-    class Session:
-        conf = Conf()
+    def __init__(self, master):
+        self.sparkContext = SimpleNamespace(master=master, applicationId="app")
+        self.conf = SimpleNamespace(get=lambda key, default: default)
 
+
+def test_a_cluster_has_to_name_its_shared_folder():
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        tables.new_work_folder(Session())
+        tables.new_work_folder(FakeSession("yarn"))
+    assert "/footfall/app/" in tables.new_work_folder(FakeSession("local[8]"))
 
 
 def csv_inputs(folder):
