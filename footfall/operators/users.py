@@ -24,7 +24,25 @@ from footfall.schema import (
 
 
 def _is(event_type: str) -> Column:
-    return F.col("event_type").eqNullSafe(event_type)
+    return F.col("event_type") == event_type
+
+
+def _steps_seen(steps: Sequence[str]) -> Column:
+    """The event types of a group of events as one bit per step.
+
+    One integer buffer takes less room in the shuffle than a boolean per step.
+    """
+    bit = F.lit(0)
+    for place, step in enumerate(steps):
+        bit = F.when(_is(step), 1 << place).otherwise(bit)
+    return F.bit_or(bit)
+
+
+def _step_flags(seen: Column, steps: Sequence[str]) -> list[Column]:
+    return [
+        (seen.bitwiseAND(F.lit(1 << place)) != 0).alias(f"has_{step}")
+        for place, step in enumerate(steps)
+    ]
 
 
 def _known_users(events: DataFrame) -> DataFrame:
@@ -36,11 +54,8 @@ def user_flags(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS) -> DataFr
 
     Users with none of the steps are kept, with all flags false.
     """
-    return (
-        _known_users(events)
-        .groupBy("user_id")
-        .agg(*[F.bool_or(_is(step)).alias(f"has_{step}") for step in steps])
-    )
+    users = _known_users(events).groupBy("user_id").agg(_steps_seen(steps).alias("seen"))
+    return users.select("user_id", *_step_flags(F.col("seen"), steps))
 
 
 def funnel_users(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS) -> DataFrame:
@@ -56,11 +71,11 @@ def user_periods(
 ) -> DataFrame:
     """Roll the log up to one row per user and period of ``period_days`` days.
 
-    Keeps the first and last event, the first entry into the middle step and the first
-    and last final step of each period. A user has at most one row per period of the
+    Keeps the event types seen, the first and last event, the first middle step and the
+    first and last final step of each period. A user has at most one row per period of the
     log's calendar span, however many events that is.
     """
-    first, middle, last = steps
+    _, middle, last = steps
     ts = F.col("event_timestamp")
     day = day_number(ts)
     period = day - F.pmod(day, F.lit(period_days))
@@ -73,9 +88,7 @@ def user_periods(
             F.min(F.when(_is(middle), ts)).alias("first_middle_ts"),
             F.min(F.when(_is(last), ts)).alias("first_final_ts"),
             F.max(F.when(_is(last), ts)).alias("last_final_ts"),
-            F.bool_or(_is(first)).alias("has_first"),
-            F.bool_or(_is(middle)).alias("has_middle"),
-            F.bool_or(_is(last)).alias("has_final"),
+            _steps_seen(steps).alias("seen"),
         )
     )
 
@@ -103,7 +116,7 @@ def user_facts(
 
     A user whose window runs past the end of the log counts as not retained.
     """
-    first, middle, last = steps
+    _, middle, last = steps
     start, end = retention_days
     if end <= start or attribution_days < 1:
         raise ValueError("windows must span at least one day")
@@ -127,9 +140,7 @@ def user_facts(
     first_final = F.min("first_final_ts")
     anchor = F.min("first_event_ts")
     facts = anchored.groupBy("user_id").agg(
-        F.bool_or("has_first").alias(f"has_{first}"),
-        F.bool_or("has_middle").alias(f"has_{middle}"),
-        F.bool_or("has_final").alias(f"has_{last}"),
+        *_step_flags(F.bit_or("seen"), steps),
         anchor.alias("first_event_ts"),
         F.min("first_cart_ts").alias(f"first_{middle}_ts"),
         touches("first_ts", "last_ts", first_event + days(start), first_event + days(end))

@@ -63,7 +63,7 @@ def test_a_user_has_a_bounded_number_of_periods(spark):
 def test_flags_are_one_shuffle_of_aggregated_rows(events):
     text = plan(user_flags(events))
     assert len(exchanges(text)) == 1
-    assert "partial_max" in text[text.rindex("Exchange"):]
+    assert "partial_bit_or" in text[text.rindex("Exchange"):]
 
 
 def test_funnel_filter_and_columns_reach_the_scan(events):
