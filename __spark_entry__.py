@@ -31,6 +31,12 @@ from footfall.operators import (  # noqa: E402
 from footfall.operators.users import funnel_users, user_facts, user_flags  # noqa: E402
 from footfall.plans import analyses, bindings, query_library  # noqa: E402
 
+try:  # the training-data operators and their pipeline are a part that may be left out
+    import corpus_pipeline
+    from footfall.llm import queries as llm
+except ImportError:
+    llm = None
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 ATTRIBUTE = "mktsegment"
@@ -117,6 +123,15 @@ def _category_segments(t: bindings.Tables) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
+    more = {**llm.queries(), "pipeline": corpus_pipeline.run} if llm else {}
+    return {**library_queries(), **more}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {**library_oracle_sql(), **(llm.oracle_sql() if llm else {})}
+
+
+def library_queries() -> dict[str, Query]:
     return {
         # data quality
         "sanity_missing_keys": _on(bindings.raw_clickstream, quality.missing_keys),
@@ -424,7 +439,7 @@ def _cohort_out(label: str, name: str, events: str) -> str:
     )
 
 
-def oracle_sql() -> dict[str, str]:
+def library_oracle_sql() -> dict[str, str]:
     orders, clicks, raw = _ORDER_EVENTS, _CLICK_EVENTS, _RAW_CLICK_EVENTS
     month, day = "strftime(first_event, '%Y-%m')", "strftime(first_event, '%Y-%m-%d')"
     missing = """SELECT count(*) FILTER (WHERE coalesce(trim(user_id), '') = '') AS missing_user_id,

@@ -8,8 +8,8 @@ import __spark_entry__ as registry
 from compare import duck, duck_rows, spark_rows
 from conftest import TABLES, table_dir
 
-QUERIES = registry.queries()
-ORACLES = registry.oracle_sql()
+QUERIES = registry.library_queries()
+ORACLES = registry.library_oracle_sql()
 
 
 @pytest.fixture(scope="module", params=["0.001", "0.01"])
