@@ -7,12 +7,17 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import byte_bpe
+from footfall.llm import byte_bpe, token_counts
 from footfall.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return token_counts.token_counts(table(spark, sf_dir, "documents"), file.read())
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -20,7 +25,10 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {"op8_byte_bpe": op8_byte_bpe}
+    return {
+        "op1_token_counts": op1_token_counts,
+        "op8_byte_bpe": op8_byte_bpe,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
