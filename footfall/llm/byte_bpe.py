@@ -26,6 +26,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from footfall.llm.tables import small_batches
+
 #: Distinct words a task remembers before it starts its dictionary anew.
 MAX_WORDS = 1 << 20
 #: Longer words (a run of one character class without a break) are merged with a heap
@@ -168,7 +170,7 @@ def _number_words(text: str, pattern: str, ranks: dict[bytes, int], max_words: i
         of_byte = [ranks[bytes([b])] for b in range(256)]
         pairs: dict[tuple[int, int], int] = {}
         numbers: dict[str, int] = {}
-        for batch in batches:
+        for batch in small_batches(batches, text):
             found, new, fresh = [], [], []
             for value in batch.column(text).to_pylist():
                 words = find(value or "")

@@ -28,6 +28,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from footfall.llm.tables import small_batches
+
 #: Characters of a chunk, and of a block of chunks that is held as arrays.
 CHUNK, BLOCK = 128, 1 << 22
 #: The worker forgets compiled states, and counts of words, beyond so many.
@@ -375,19 +377,12 @@ def token_counts(
     fields = documents.select(*keep).schema.simpleString().removeprefix("struct<")[:-1]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(text).to_pylist()
-            totals = [np.zeros(0, np.int64)]
-            begin = size = 0
-            for i, value in enumerate(texts):  # about a block of characters at a time
-                texts[i] = value or ""
-                size += len(texts[i])
-                if size >= BLOCK or i + 1 == len(texts):
-                    totals.append(count_texts(texts[begin : i + 1], content.value))
-                    begin, size = i + 1, 0
+        for batch in small_batches(batches, text):
+            texts = [t or "" for t in batch.column(text).to_pylist()]
+            totals = count_texts(texts, content.value)
             columns = [batch.column(n) for n in (*keep, "_bytes")]
             yield pa.RecordBatch.from_arrays(
-                [*columns, pa.array(np.concatenate(totals))], [*keep, "n_bytes", "n_tokens"]
+                [*columns, pa.array(totals)], [*keep, "n_bytes", "n_tokens"]
             )
 
     sized = documents.select(
