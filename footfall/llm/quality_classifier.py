@@ -30,7 +30,7 @@ BUCKETS = 1 << 18
 MIN_DOCUMENTS = 5
 EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.1, 1e-5
 #: Documents stay whose probability of grade 2 is so high.
-KEEP_FROM = 0.5
+KEEP_FROM = 0.4
 MAX_WORDS = 1 << 19
 
 GRADES = 3

@@ -7,7 +7,13 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from footfall.llm import byte_bpe, quality_classifier, quality_rules, token_counts
+from footfall.llm import (
+    byte_bpe,
+    decontamination,
+    quality_classifier,
+    quality_rules,
+    token_counts,
+)
 from footfall.llm.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +34,11 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.digests(encoded, ranks)
 
 
+def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, benchmark = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    return decontamination.leaks(documents, benchmark)
+
+
 def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
     return quality_classifier.classified(documents, labels)
@@ -38,9 +49,10 @@ def queries() -> dict[str, Query]:
         "op1_token_counts": op1_token_counts,
         "op6_quality_rules": op6_quality_rules,
         "op8_byte_bpe": op8_byte_bpe,
+        "op9_decontamination": op9_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op9_decontamination": decontamination.ORACLE_SQL}
