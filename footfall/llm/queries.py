@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from footfall.llm import (
     byte_bpe,
     decontamination,
+    near_duplicates,
     quality_classifier,
     quality_rules,
     token_counts,
@@ -28,6 +29,10 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
 
+def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ranks = byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
     encoded = byte_bpe.encode(table(spark, sf_dir, "documents"), ranks, public_tokenizers.PATTERN)
@@ -48,6 +53,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op6_quality_rules": op6_quality_rules,
+        "op7_near_duplicates": op7_near_duplicates,
         "op8_byte_bpe": op8_byte_bpe,
         "op9_decontamination": op9_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
