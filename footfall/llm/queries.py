@@ -15,6 +15,7 @@ from footfall.llm import (
     quality_rules,
     sharding,
     token_counts,
+    url_filter,
 )
 from footfall.llm.tables import table
 
@@ -30,6 +31,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered(table(spark, sf_dir, "pages"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.rules(table(spark, sf_dir, "documents"))
 
@@ -58,6 +63,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_sharding": op2_sharding,
+        "op4_url_filter": op4_url_filter,
         "op6_quality_rules": op6_quality_rules,
         "op7_near_duplicates": op7_near_duplicates,
         "op8_byte_bpe": op8_byte_bpe,
@@ -67,4 +73,7 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op9_decontamination": decontamination.ORACLE_SQL}
+    return {
+        "op4_url_filter": url_filter.ORACLE_SQL,
+        "op9_decontamination": decontamination.ORACLE_SQL,
+    }
