@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from footfall.llm import (
     byte_bpe,
+    class_lm,
     decontamination,
     near_duplicates,
     quality_classifier,
@@ -31,6 +32,10 @@ def op2_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.sharded(table(spark, sf_dir, "documents"))
 
 
+def op3_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return class_lm.scored(table(spark, sf_dir, "documents"))
+
+
 def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered(table(spark, sf_dir, "pages"))
 
@@ -63,6 +68,7 @@ def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
         "op2_sharding": op2_sharding,
+        "op3_class_lm": op3_class_lm,
         "op4_url_filter": op4_url_filter,
         "op6_quality_rules": op6_quality_rules,
         "op7_near_duplicates": op7_near_duplicates,
