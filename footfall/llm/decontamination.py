@@ -104,35 +104,38 @@ def candidates(documents: DataFrame, sketch: DataFrame) -> DataFrame:
     return joined.select("_id", "_text_hash", "_item").distinct()
 
 
+def found(documents: DataFrame, items: DataFrame) -> DataFrame:
+    """doc_id, _own (hash of the text), item_id and containment of each item that is in a text."""
+    named, known = documents.select("doc_id", "text"), items.select("item_id", "text")
+    pairs = written(candidates(named, written(sketches(known), "sketches")), "candidates")
+    whole = known.select(F.col("item_id").alias("_of"), shingles(F.col("text")).alias("_wanted"))
+    texts = named.select("doc_id", F.xxhash64("text").alias("_own"), "text")
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text_hash"))
+    both = texts.join(pairs, same).join(whole, F.col("_item") == F.col("_of"))
+    shared = F.size(F.array_intersect("_wanted", shingles(F.col("text"))))
+    measured = both.select(
+        "doc_id", "_own", F.col("_item").alias("item_id"), (shared / F.size("_wanted")).alias("containment")
+    )
+    return measured.where(F.col("containment") >= CONTAINMENT - 1e-9)
+
+
 def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, item_id and containment of each item found in a document's whole text.
 
     Rows of equal doc_id and text give one row per item. A NULL or short text contains
     nothing; an item of fewer than five words has no shingle and is found nowhere; items of
-    equal text are each found. A NULL doc_id can't be named and is left out. Empty tables
-    give no rows. Other columns don't matter.
+    equal text are each found. Empty tables give no rows. Other columns don't matter.
     """
-    named = documents.where(F.col("doc_id").isNotNull()).select("doc_id", "text")
-    known = items.select("item_id", "text")
-    pairs = written(candidates(named, written(sketches(known), "sketches")), "candidates")
-    whole = known.select(
-        F.col("item_id").alias("_of"), shingles(F.col("text")).alias("_wanted")
-    )
-    texts = named.select("doc_id", F.xxhash64("text").alias("_own"), "text")
-    same = (F.col("doc_id") == F.col("_id")) & (F.col("_own") == F.col("_text_hash"))
-    found = texts.join(pairs, same).join(whole, F.col("_item") == F.col("_of"))
-    shared = F.size(F.array_intersect("_wanted", shingles(F.col("text"))))
-    return (
-        found.select("doc_id", F.col("_item").alias("item_id"), (shared / F.size("_wanted")).alias("containment"))
-        .where(F.col("containment") >= CONTAINMENT - 1e-9)
-        .distinct()
-    )
+    return found(documents, items).select("doc_id", "item_id", "containment").distinct()
 
 
 def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
     """The rows of ``documents`` that contain no item, with their columns as they are."""
-    found = written(leaks(documents, items).select(F.col("doc_id").alias("_leak")).distinct(), "leaks")
-    return documents.join(found, F.col("doc_id") == F.col("_leak"), "left_anti")
+    leaky = found(documents, items).select(F.col("doc_id").alias("_id"), F.col("_own").alias("_hash"))
+    leaky = written(leaky.distinct(), "leaks")
+    given = documents.select(F.struct("*").alias("_row"), "doc_id", F.xxhash64("text").alias("_own"))
+    same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_hash"))
+    return given.join(leaky, same, "left_anti").select("_row.*")
 
 
 #: The same pairs, from all shingles.

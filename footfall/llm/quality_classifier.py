@@ -1,6 +1,6 @@
 """Quality classifier: ordinal regression with cumulative links on graded ratings.
 
-A grade is 0 (poor), 1 (good but toxic) or 2 (good). All grades share one weight per hashed
+A grade is 0 (toxic), 1 (poor) or 2 (good). All grades share one weight per hashed
 feature of the text; ordered thresholds cut the text's score into grades:
 P(grade >= k) = sigmoid(score - threshold_k). The expected grade ranks documents, and the
 tail probability P(grade >= 2) selects them.
@@ -25,12 +25,15 @@ from footfall.llm.tables import small_batches, written
 #: Rated documents to fit on, at most, and characters of each that are looked at. Scoring
 #: looks at whole texts.
 SAMPLE, SAMPLE_CHARS = 12_000, 200_000
-BUCKETS = 1 << 18
-#: A feature needs so many documents of the sample to get a weight.
-MIN_DOCUMENTS = 5
-EPOCHS, BATCH, RATE, DECAY = 12, 64, 0.1, 1e-5
+#: Numbers of hashed words, and after them of hashed shapes.
+BUCKETS, SHAPES = 1 << 18, 1 << 10
+#: A word gets a weight if it is in so many documents of the sample, and in at most this
+#: share of them: what is in most texts of a language would only measure length.
+MIN_DOCUMENTS, MAX_SHARE = 3, 0.1
+#: The rate of the weights and of the thresholds, and the pull of each weight towards 0.
+STEPS, BATCH, RATE, PULL = 1_500, 64, 2.0, 20.0
 #: Documents stay whose probability of grade 2 is so high.
-KEEP_FROM = 0.4
+KEEP_FROM = 0.3
 MAX_WORDS = 1 << 19
 
 GRADES = 3
@@ -49,7 +52,7 @@ class _Hashes(dict):
 
 
 def _shape(text: str, words: list[str], distinct: int) -> list[str]:
-    """Hashed like words: how the text looks, in coarse steps."""
+    """How the text looks, in coarse steps."""
     n, lines = max(1, len(text)), [x for x in text.split("\n") if x.strip()]
 
     def step(name: str, share: float) -> str:
@@ -69,12 +72,10 @@ def features(text: str, hashes: dict[str, int]) -> np.ndarray:
     """Distinct feature numbers of a text: its words, without case, and its shape."""
     words = _WORD.findall(text.lower())
     distinct = set(words)
-    return np.unique(
-        np.array(
-            [hashes[w] for w in distinct] + [hashes[w] for w in _shape(text, words, len(distinct))],
-            np.int32,
-        )
-    )
+    found = {hashes[w] for w in distinct}
+    for shape in _shape(text, words, len(distinct)):
+        found.add(BUCKETS + zlib.crc32(shape.encode()) % SHAPES)
+    return np.fromiter(sorted(found), np.int32, len(found))
 
 
 @dataclass(frozen=True)
@@ -90,23 +91,26 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], grades: np.ndarray, seed: int = 0) -> Model:
-    """Maximum likelihood by AdaGrad over small batches.
+    """Maximum likelihood with an L1 penalty, by follow-the-regularized-leader (FTRL).
 
+    The penalty leaves most words without weight, so that a text's score doesn't grow with
+    its length; a text without any telling feature gets the thresholds' own probabilities.
     Without any rating, every grade is held for 2.
     """
-    weights = np.zeros(BUCKETS)
+    weights = np.zeros(BUCKETS + SHAPES)
     if not len(rows):
         return Model(weights, (-60.0, -60.0))
-    counts = np.bincount(np.concatenate(rows), minlength=BUCKETS)
-    rows = [r[counts[r] >= MIN_DOCUMENTS] for r in rows]
-    squares = np.full(BUCKETS, 1e-2)
+    counts = np.bincount(np.concatenate(rows), minlength=len(weights))
+    used = counts >= MIN_DOCUMENTS
+    used[:BUCKETS] &= counts[:BUCKETS] <= MAX_SHARE * len(rows)
+    rows = [r[used[r]] for r in rows]
     # Thresholds start at the shares of the grades, with half a document more in each.
     share = [(np.sum(grades < k) + 0.5 * k) / (len(grades) + 1.5) for k in (1, 2)]
-    low, gap = np.log(share[0] / (1 - share[0])), 0.0
-    gap = max(0.05, np.log(share[1] / (1 - share[1])) - low)
-    log_gap, order = np.log(gap), np.random.default_rng(seed)
-    t_squares = np.full(2, 1e-1)
-    for _ in range(EPOCHS):
+    low, high = (np.log(s / (1 - s)) for s in share)
+    log_gap, t_squares = np.log(max(0.05, high - low)), np.full(2, 1.0)
+    pulled, squares = np.zeros_like(weights), np.zeros_like(weights)
+    order = np.random.default_rng(seed)
+    for _ in range(-(-STEPS * BATCH // len(rows))):
         places = order.permutation(len(rows))
         for begin in range(0, len(places), BATCH):
             some = places[begin : begin + BATCH]
@@ -119,10 +123,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, seed: int = 0) -> Model:
             slope = np.select([y == 0, y == 1], [-s1, 1 - s1 - s2], 1 - s2)
             of_low = np.select([y == 0, y == 1], [s1, -s1 * (1 - s1) / between], 0)
             of_high = np.select([y == 1, y == 2], [s2 * (1 - s2) / between, s2 - 1], 0)
-            touched, inverse = np.unique(flat, return_inverse=True)
-            step = np.bincount(inverse, slope[owner]) - DECAY * len(rows) * weights[touched]
-            squares[touched] += step**2
-            weights[touched] += RATE * step / np.sqrt(squares[touched])
+            at, inverse = np.unique(flat, return_inverse=True)
+            g = -np.bincount(inverse, slope[owner], minlength=len(at))
+            grown = np.sqrt(squares[at] + g**2)
+            pulled[at] += g - (grown - np.sqrt(squares[at])) / RATE * weights[at]
+            squares[at] += g**2
+            beyond = np.maximum(np.abs(pulled[at]) - PULL, 0)
+            weights[at] = -np.sign(pulled[at]) * beyond * RATE / (1 + grown)
             t_step = np.array([np.sum(of_low + of_high), np.sum(of_high) * np.exp(log_gap)])
             t_squares += t_step**2
             moved = RATE * t_step / np.sqrt(t_squares)
@@ -136,7 +143,7 @@ def grades(labels: DataFrame) -> DataFrame:
     Rows without an id or a quality are no ratings; an unknown toxicity is none.
     """
     toxic = F.coalesce(F.col("toxic"), F.lit(0)) > 0
-    grade = F.when(F.col("quality") <= 0, 0).when(toxic, 1).otherwise(2)
+    grade = F.when(toxic, 0).when(F.col("quality") <= 0, 1).otherwise(2)
     rated = labels.where(F.col("doc_id").isNotNull() & F.col("quality").isNotNull())
     return rated.groupBy("doc_id").agg(F.min(grade).alias("grade"))
 
