@@ -77,7 +77,8 @@ def _bound(n: Column, bounds: dict[int, int]) -> Column:
         F.when(n >= F.lit(CONTAINMENT * (1 << size) - 1e-9), F.lit(bound).cast("bigint"))
         for size, bound in sorted(bounds.items())
     ]
-    return F.greatest(*fits, F.lit(None).cast("bigint"))
+    nothing = F.lit(None).cast("bigint")
+    return F.greatest(nothing, nothing, *fits)
 
 
 def candidates(documents: DataFrame, sketch: DataFrame) -> DataFrame:

@@ -10,10 +10,12 @@ moved passages that is the Jaccard similarity of the shingles.
   agrees. Longer documents are sampled by six shingles and forty functions, short ones by
   two and twenty; lengths near the limit take both, so that no pair falls between. At a
   similarity of 0.8 a pair is missed with a probability of about one in 100,000.
-* In each bucket all nodes are aligned with the bucket's first. Where a bucket then still
-  holds more than one connected component, all its pairs across components are aligned as
-  well, so that no candidate link between components is lost, while a group of thousands of
-  copies costs thousands of alignments and not millions.
+* In each bucket all nodes are aligned with the bucket's first, so that a group of thousands
+  of copies costs thousands of alignments and not millions.
+* Where a bucket then still holds more than one connected component, links across them are
+  found exactly. In any one order of all shingles, similar documents share one of their
+  first n - ceil(0.8 n) + 1. With rare shingles first, documents that have no more than a
+  common passage share none of these, and only the others are aligned.
 * Components are labelled by joins, with pointer jumping.
 
 Texts move only for nodes that share a bucket with another. Intermediate tables are in the
@@ -233,6 +235,89 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return both.mapInArrow(rows, "a binary, b binary, good boolean").where("good").select("a", "b")
 
 
+def _told(shingles: np.ndarray, counts: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays(
+        [pa.array(shingles.view(np.int64)), pa.array(counts)], ["_shingle", "_count"]
+    )
+
+
+def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that make out 2**-20 of all or more, 2**20 at most, and how often they occur.
+
+    Shingles that are met once in a batch of texts are left out; that makes the order of
+    shingles less sharp, but any order is right.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, total = _Hashes(), 0
+        for batch in small_batches(batches, "_text"):
+            found = [labelled(shingle_hashes(t, hashes)) for t in batch.column("_text").to_pylist()]
+            shingles, counts = np.unique(np.concatenate(found), return_counts=True)
+            total += int(counts.sum())
+            yield _told(shingles[counts > 1], counts[counts > 1])
+        yield pa.RecordBatch.from_arrays([pa.array([None], pa.int64()), pa.array([total])], ["_shingle", "_count"])
+
+    counted = texts.mapInArrow(rows, "_shingle bigint, _count bigint")
+    counted = written(counted.groupBy("_shingle").agg(F.sum("_count").alias("_count")), "shingles")
+    total = counted.where(F.col("_shingle").isNull()).select("_count").first()
+    least = max(4, (total["_count"] if total else 0) >> 20)
+    often = counted.where(F.col("_shingle").isNotNull() & (F.col("_count") > least)).toArrow()
+    shingles = often.column("_shingle").to_numpy().view(np.uint64)
+    order = np.argsort(shingles)
+    return shingles[order], often.column("_count").to_numpy()[order]
+
+
+def across_components(texts: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of different _label that may be similar, with their labels.
+
+    ``texts`` has _key, _label and _text. A pair shares a shingle of both nodes' first
+    n - ceil(0.8 n) + 1 in the order of (how often it occurs, hash).
+    """
+    sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hashes, (often, counts) = _Hashes(), sent.value
+        for batch in small_batches(batches, "_text"):
+            owners, sizes, first = [], [], []
+            for i, text in enumerate(batch.column("_text").to_pylist()):
+                shingles = np.sort(labelled(shingle_hashes(text, hashes)))
+                n = len(shingles)
+                at = np.minimum(np.searchsorted(often, shingles), max(0, len(often) - 1))
+                known = often[at] == shingles if len(often) else np.zeros(n, bool)
+                rank = np.where(known, counts[at], 0) if len(often) else np.zeros(n, np.int64)
+                used = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1 if n else 0
+                chosen = shingles[np.argsort(rank, kind="stable")[:used]]
+                first.append(chosen.view(np.int64))
+                owners.append(np.full(len(chosen), i))
+                sizes.append(np.full(len(chosen), n, np.int32))
+            owner = pa.array(np.concatenate(owners))
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("_key").take(owner),
+                    batch.column("_label").take(owner),
+                    pa.array(np.concatenate(sizes)),
+                    pa.array(np.concatenate(first)),
+                ],
+                ["_key", "_label", "_n", "_shingle"],
+            )
+
+    kinds = "_key binary, _label binary, _n int, _shingle bigint"
+    firsts = written(texts.select("_key", "_label", "_text").mapInArrow(rows, kinds), "firsts")
+    mixed = firsts.groupBy("_shingle").agg(
+        F.min("_label").alias("_low"), F.max("_label").alias("_high")
+    )
+    firsts = firsts.join(mixed.where("_low <> _high").select("_shingle"), "_shingle")
+
+    def side(key: str) -> DataFrame:
+        named = {"_key": key, "_label": f"_l{key}", "_n": f"_n{key}"}
+        return firsts.withColumnsRenamed(named)
+
+    near = F.least("_na", "_nb") >= SIMILARITY * F.greatest("_na", "_nb")
+    apart = (F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb"))
+    pairs = side("a").join(side("b"), "_shingle").where(apart & near)
+    return pairs.select("a", "b", "_la", "_lb").distinct()
+
+
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
     """(node, label) of the nodes of edges (a, b); the label is the component's least node.
 
@@ -287,13 +372,15 @@ def classes(documents: DataFrame) -> DataFrame:
 
     # texts of the nodes that share a bucket, each once
     wanted = met.select("_key").distinct().join(nodes.select("_key", "_id"), "_key")
+    wanted = written(wanted.select("_key", _name(F.col("_id")).alias("_name")), "wanted")
+    wanted = wanted.hint("merge")  # it grows with the documents, so it is never broadcast
     texts = (
         documents.select(
             text_key(F.col("text")).alias("_key"),
             _name(F.col("doc_id")).alias("_name"),
             F.coalesce("text", F.lit("")).alias("_text"),
         )
-        .join(written(wanted.select("_key", _name(F.col("_id")).alias("_name")), "wanted"), ["_key", "_name"])
+        .join(wanted, ["_key", "_name"])
         .dropDuplicates(["_key", "_name"])
         .select("_key", "_text")
     )
@@ -301,25 +388,16 @@ def classes(documents: DataFrame) -> DataFrame:
     edges = written(verified(first, texts), "edges")
     labels = components(edges)
 
-    # pairs of a bucket's different components
-    labelled_met = met.join(labels, F.col("_key") == F.col("node"), "left").select(
-        "_bucket", "_key", "_n", F.coalesce("label", "_key").alias("_label")
-    )
+    # nodes of buckets with different components, and pairs of them across components
+    labelled_met = met.select("_bucket", "_key").join(labels, F.col("_key") == F.col("node"), "left")
+    labelled_met = labelled_met.select("_bucket", "_key", F.coalesce("label", "_key").alias("_label"))
     mixed = labelled_met.groupBy("_bucket").agg(
         F.min("_label").alias("_low"), F.max("_label").alias("_high")
     )
     mixed = mixed.where("_low <> _high").select("_bucket")
-    open_met = written(labelled_met.join(mixed, "_bucket"), "open")
-    left = open_met.select(F.col("_bucket"), F.col("_key").alias("a"), F.col("_n").alias("_na"), F.col("_label").alias("_la"))
-    right = open_met.select(F.col("_bucket"), F.col("_key").alias("b"), F.col("_n").alias("_nb"), F.col("_label").alias("_lb"))
-    near = F.least("_na", "_nb") >= SIMILARITY * F.greatest("_na", "_nb")
-    across = (
-        left.join(right, "_bucket")
-        .where((F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb")) & near)
-        .select("a", "b", "_la", "_lb")
-        .distinct()
-    )
-    across = written(across.join(first, ["a", "b"], "left_anti"), "across")
+    still_open = labelled_met.join(mixed, "_bucket").select("_key", "_label").distinct()
+    still_open = written(texts.join(still_open, "_key"), "open")
+    across = written(across_components(still_open).join(first, ["a", "b"], "left_anti"), "across")
     more = verified(across.select("a", "b"), texts).join(across, ["a", "b"])
     joined = components(more.select(F.col("_la").alias("a"), F.col("_lb").alias("b")), "joined")
 

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.llm.tables import written
 
-SHARDS, ROUNDS = 16, 3
+SHARDS, ROUNDS = 16, 4
 #: Parts of a shard that are numbered independently.
 PARTS = 256
 #: The law of the result.
@@ -43,9 +43,14 @@ def rows_of(documents: DataFrame) -> DataFrame:
     )
 
 
+def _part(total: int, shards: int) -> int:
+    """The most rows of a group that stay together."""
+    return max(1, total // (2 * shards))
+
+
 def linked_rows(rows: DataFrame, total: int, shards: int) -> DataFrame:
     """``rows`` with _group: a number for each part of a group of copies; NULL if alone."""
-    part = max(1, total // (2 * shards))
+    part = _part(total, shards)
     counts = rows.where(F.col("_text").isNotNull()).groupBy("_text").agg(F.count("*").alias("_n"))
     counts = written(counts.where("_n > 1"), "groups")
     joined = rows.join(counts, "_text", "left")
@@ -56,13 +61,21 @@ def linked_rows(rows: DataFrame, total: int, shards: int) -> DataFrame:
     )
 
 
-def wishes(linked: DataFrame, shards: int) -> DataFrame:
-    """``linked`` with _wish: the shard that most of the group is in."""
+def wishes(linked: DataFrame, shards: int, full: set[int]) -> DataFrame:
+    """``linked`` with _wish: the shard that most of the group is in.
+
+    A full shard is wished for only by a group that has more than half of itself there.
+    """
+
+    def weight(s: int) -> Column:
+        n = F.count(F.when(F.col("shard") == s, 1))
+        return F.when(2 * n > F.count("*"), n).otherwise(-1) if s in full else n
+
     counts = linked.groupBy("_group").agg(
         F.array(
             *(
                 F.struct(
-                    F.count(F.when(F.col("shard") == s, 1)).alias("n"),
+                    weight(s).alias("n"),
                     F.xxhash64("_group", F.lit(s)).alias("tie"),
                     F.lit(s).alias("shard"),
                 )
@@ -100,7 +113,9 @@ def _by_shard(of: Column, values: list) -> Column:
 def propagated(linked: DataFrame, total: int, shards: int, rounds: int) -> DataFrame:
     """``linked`` after some rounds; each is written, so that a lost executor costs one."""
     for step in range(rounds):
-        asked = written(wishes(linked, shards), f"wishes-{step}")
+        loads = linked.groupBy("shard").agg(F.count("*").alias("n")).collect()
+        full = {r["shard"] for r in loads if r["n"] + _part(total, shards) > total // shards}
+        asked = written(wishes(linked, shards, full), f"wishes-{step}")
         flows = asked.groupBy("shard", "_wish").agg(F.count("*").alias("n")).collect()
         if all(row["shard"] == row["_wish"] for row in flows):
             return asked.drop("_wish")

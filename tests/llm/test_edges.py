@@ -1,0 +1,426 @@
+"""Nulls, empty and very long texts, ties, repeated rows, empty tables and clashing names."""
+
+from __future__ import annotations
+
+import random
+import unicodedata
+
+import numpy as np
+import public_tokenizers
+import pytest
+from pyspark.sql import functions as F
+from tokenizers import Tokenizer
+
+from footfall.llm import (
+    byte_bpe,
+    chat_format,
+    class_lm,
+    decontamination,
+    near_duplicates,
+    quality_classifier,
+    quality_rules,
+    sharding,
+    token_counts,
+    url_filter,
+)
+
+SCHEMA = (
+    "doc_id bigint, text string, lang string, source string, n_chars bigint,"
+    " ids int, kept string, shard string, _key int, _n int, n_words string, score string"
+)
+PROSE = " ".join(f"word{i} of the text and more" for i in range(40))
+EXTRA = (7, "x", "y", 1, 2, "z", "s")
+ROWS = [
+    (1, "", "en", "s", 0, *EXTRA),
+    (2, None, None, None, None, *EXTRA),
+    (3, PROSE, "en", "s", 1, *EXTRA),
+    (3, PROSE, "en", "s", 1, *EXTRA),  # a repeated row
+    (4, PROSE, "fr", "s", 1, *EXTRA),  # a copy
+    (5, "ab" * 20_000, "xx", "s", 1, *EXTRA),  # one very long word
+    (6, (PROSE + "\n") * 300, "en", "s", 1, *EXTRA),  # a very long text
+    (None, "a text without id, but not without words " * 20, "en", "s", 1, *EXTRA),
+    (8, " \t\n ", "en", "s", 1, *EXTRA),
+    (9, "é中😀 <|endoftext|> 'll don't", "en", "s", 1, *EXTRA),
+]
+
+
+@pytest.fixture(scope="module")
+def messy(spark):
+    return spark.createDataFrame(ROWS, SCHEMA).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def nothing(spark):
+    return spark.createDataFrame([], SCHEMA)
+
+
+@pytest.fixture(scope="module")
+def vocabulary():
+    return byte_bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+
+
+@pytest.fixture(scope="module")
+def tokenizer():
+    with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as file:
+        return file.read()
+
+
+@pytest.fixture(scope="module")
+def labels(spark):
+    return spark.createDataFrame(
+        [(3, 1, 0), (3, 0, 0), (None, 1, 1), (6, 1, None), (5, None, 1)],
+        "doc_id bigint, quality int, toxic int",
+    )
+
+
+@pytest.fixture(scope="module")
+def items(spark):
+    rows = [(1, "word3 of the text and more word4 of the text"), (2, None), (3, "too short"), (4, "")]
+    return spark.createDataFrame(rows, "item_id bigint, text string")
+
+
+# --- token counts -------------------------------------------------------------------
+
+
+def test_token_counts(messy, nothing, tokenizer):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rows = token_counts.token_counts(messy, tokenizer).collect()
+    assert sorted((r.n_bytes, r.n_tokens) for r in rows) == sorted(
+        (len((t or "").encode()), len(library.encode(t or "", add_special_tokens=False).ids))
+        for _, t, *_ in ROWS
+    )
+    assert token_counts.token_counts(nothing, tokenizer).count() == 0
+    with pytest.raises(ValueError, match="reserved"):
+        token_counts.token_counts(messy, tokenizer, keep=("n_tokens",))
+
+
+def test_transducers_on_random_texts(tokenizer):
+    library = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    rng = random.Random(3)
+    letters = [*"stmdrvel' \n\t\r ''aZé1٣!?_-ñ中😀", chr(0x3000), chr(0x1C), chr(0x85), "<|endoftext|>", "'re", " the"]
+    texts = ["".join(rng.choices(letters, k=rng.randint(0, 60))) for _ in range(3000)]
+    texts += ["a" * 5000, " " * 999, "\n" * 300 + "x", ""]
+    expected = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert token_counts.count_texts(texts, tokenizer).tolist() == expected
+
+
+def test_chunk_maps_compose_to_a_plain_reading():
+    rng = np.random.default_rng(1)
+    classes = rng.integers(0, token_counts.CLASSES, 40 * token_counts.CHUNK + 17).astype(np.uint8)
+    starts, state = token_counts.word_starts(classes, 0)
+    now, expected = 0, set()
+    for i, c in enumerate(classes):
+        now, marks = token_counts._split(now, int(c))
+        if marks & token_counts.HERE:
+            expected.add(i)
+        if marks & token_counts.BEFORE:
+            expected.add(i - 1)
+    assert (set(starts.tolist()), state) == (expected, now)
+
+
+def test_blocks_join(tokenizer, monkeypatch):
+    text = "it's  we'll\n\n go 'r 're ' x" * 50
+    whole = token_counts.count_texts([text, "", text], tokenizer)
+    for size in (1, 2, 7, 200):
+        monkeypatch.setattr(token_counts, "BLOCK", size)
+        assert token_counts.count_texts([text, "", text], tokenizer).tolist() == whole.tolist()
+
+
+def test_character_classes():
+    table = token_counts.character_classes()
+    assert table[ord("é")] == token_counts.LETTER and table[ord("٣")] == token_counts.NUMBER
+    assert unicodedata.category("_")[0] == "P" and table[ord("_")] == token_counts.OTHER
+
+
+# --- sharding -----------------------------------------------------------------------
+
+
+def test_sharding(messy, nothing):
+    rows = sharding.sharded(messy, shards=4).collect()
+    sizes = [sum(r.shard == s for r in rows) for s in range(4)]
+    assert len(rows) == len(ROWS) and max(sizes) - min(sizes) <= 1
+    for s, n in enumerate(sizes):
+        assert sorted(r.slot for r in rows if r.shard == s) == list(range(n))
+    none = [r for r in rows if r.doc_id == 2]
+    assert [(r.size, r.text_crc32) for r in none] == [(1, 0)]
+    assert sharding.sharded(nothing).count() == 0
+
+
+def test_a_group_of_a_third_is_cut_into_few_shards(spark):
+    docs = spark.range(3000).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "the same").otherwise(F.concat(F.lit("own "), "id")).alias("text"),
+    )
+    rows = sharding.sharded(docs, shards=8).collect()
+    sizes = [sum(r.shard == s for r in rows) for s in range(8)]
+    assert max(sizes) - min(sizes) <= 1
+    held = [sum(r.shard == s and r.doc_id % 3 == 0 for r in rows) for s in range(8)]
+    # 1000 copies need three shards of 375; at random each of eight would hold 125
+    assert sum(n > 0 for n in held) <= 6 and sum(sorted(held)[-4:]) >= 650
+
+
+# --- language model -----------------------------------------------------------------
+
+
+def test_class_lm(messy, nothing, spark):
+    rows = class_lm.scored(messy).collect()
+    assert len(rows) == len(ROWS)
+    assert all(r.score <= 0 and r.base_score <= 0 and r.n_known <= r.n_tokens for r in rows)
+    assert {r.n_tokens for r in rows if r.doc_id in (1, 2, 8)} == {1}
+    three = [r for r in rows if r.doc_id == 3]
+    assert len(three) == 2 and three[0].score == pytest.approx(three[1].score)
+    assert class_lm.scored(nothing).count() == 0
+    # only held-out documents: nothing to learn from
+    held = spark.range(100).where("crc32(cast(id as string)) % 7 = 2")
+    held = held.select(F.col("id").alias("doc_id"), F.lit("never seen").alias("text"))
+    assert {(r.n_known, r.train_tokens) for r in class_lm.scored(held).collect()} == {(0, 0)}
+
+
+def test_probabilities_add_up(messy):
+    training = class_lm.training_texts(messy)
+    counts = class_lm.word_counts(training).cache()
+    model = class_lm.trained(training, counts)
+    assert (10**model.transitions).sum(axis=1) == pytest.approx(np.ones(class_lm.CLASSES))
+    of = np.bincount(model.classes.of_word, 10**model.emissions, minlength=class_lm.EXCHANGED)
+    assert all(x == pytest.approx(1) or x == 0 for x in of[: class_lm.EXCHANGED])
+
+
+# --- URLs ---------------------------------------------------------------------------
+
+
+def test_url_parts_and_rules(spark):
+    urls = [
+        ("http://WWW.Example.com/en/x?q#f", "www.example.com", "/en/x", "www.example.com/en/", "allow"),
+        ("https://a.example.com/en/", "a.example.com", "/en/", "example.com/en/", "block"),
+        ("http://example.com/de", "example.com", "/de", "com/", "allow"),
+        ("http://com", "com", "", None, None),
+        ("x://a.net/es/://b", "a.net", "/es/://b", "net/es/", "block"),
+        ("http://planet/es/", "planet", "/es/", None, None),
+        ("http://ÄB.net/fr/\n", "Äb.net", "/fr/\n", "net/fr/", "block"),
+        ("mailto:someone", "", "", None, None),
+        ("", "", "", None, None),
+        (None, "", "", None, None),
+    ]
+    pages = spark.createDataFrame(
+        [(i, u[0], "own") for i, u in enumerate(urls)], "page_id bigint, url string, n string"
+    )
+    rows = {r.page_id: r for r in url_filter.filtered(pages.union(pages)).collect()}
+    for i, (_, host, path, rule, verdict) in enumerate(urls):
+        r = rows[i]
+        assert (r.host, r.path, r.rule) == (host, path, rule)
+        assert r.verdict == verdict if verdict else r.verdict in ("allow", "block")
+    assert url_filter.filtered(pages.union(pages)).count() == 2 * len(urls)
+    assert url_filter.filtered(pages.limit(0)).count() == 0
+
+
+def test_url_model_learns(spark):
+    good = [(i, f"http://site{i}.com/article/{i}") for i in range(200)]
+    bad = [(1000 + i, f"http://casino{i}.net/es/win-{i}") for i in range(200)]
+    new = [(5000, "http://site7.org/article/9"), (5001, "http://casino7.org/es/win-9")]
+    pages = spark.createDataFrame(good + bad + new, "page_id bigint, url string")
+    rows = {r.page_id: r.verdict for r in url_filter.filtered(pages).collect()}
+    assert (rows[5000], rows[5001]) == ("allow", "block")
+
+
+# --- chat ---------------------------------------------------------------------------
+
+
+def test_events_fold(spark):
+    log = spark.createDataFrame(
+        [
+            (1, 0, 0, "start", "user", None),
+            (1, 0, 1, "delta", None, "Hel"),
+            (1, 0, 2, "delta", None, "lo"),
+            (1, 1, 3, "start", "assistant", None),
+            (1, 1, 4, "delta", None, "bad answer"),
+            (1, 2, 5, "start", "user", None),
+            (1, 2, 6, "delta", None, "to be gone"),
+            (1, 1, 7, "regenerate", None, None),
+            (1, 1, 8, "delta", None, "good "),
+            (1, 1, 9, "delta", None, "answer"),
+            (1, 3, 10, "start", "user", None),
+            (1, 3, 11, "delta", None, "thx"),
+            (1, 3, 12, "edit", None, "thanks"),
+            (1, 3, 13, "delta", None, "!"),
+            (None, 0, 0, "start", None, None),
+        ],
+        "conv_id bigint, message int, seq int, kind string, role string, text string",
+    )
+    pieces = chat_format.formatted(log.orderBy(F.rand(1))).collect()
+    texts = {}
+    for r in pieces:
+        texts.setdefault(r.conv_id, []).extend(
+            (chat_format._role(h), chat_format.unescape(t))
+            for h, t in chat_format._TURN.findall(r.piece)
+        )
+    assert texts[1] == [("user", "Hello"), ("assistant", "good answer"), ("user", "thanks!")]
+    assert texts[None] == [("", "")]
+    masked = [r.piece[r.loss_begin : r.loss_end] for r in pieces if r.loss_end > r.loss_begin]
+    assert masked == ["good answer"]
+
+
+def test_turn_logs(spark):
+    turns = spark.createDataFrame(
+        [(1, 1, "assistant", None), (1, 0, None, "a\nb"), (1, 0, None, "a\nb"), (2, None, "user", "x" * 5000)],
+        "conv_id bigint, turn bigint, role string, text string",
+    )
+    log = chat_format.log_of_turns(turns)
+    rows = {r.conv_id: r for r in chat_format.read_back(chat_format.formatted(log)).collect()}
+    assert (rows[1].n_turns, rows[1].loss_chars, rows[2].n_turns) == (3, 0, 1)
+    none = chat_format.read_back(chat_format.formatted(chat_format.log_of_turns(turns.limit(0))))
+    assert none.count() == 0
+
+
+def test_escaping_is_reversible():
+    rng = random.Random(2)
+    for _ in range(5000):
+        text = "".join(rng.choices("<|\\\nab im_end>", k=rng.randint(0, 12)))
+        role = "".join(rng.choices("<|\\\nnab", k=rng.randint(0, 6)))
+        piece, *_ = chat_format.render(role, text)
+        ((header, body),) = chat_format._TURN.findall(piece)
+        assert (chat_format._role(header), chat_format.unescape(body)) == (role, text)
+
+
+# --- quality ------------------------------------------------------------------------
+
+
+def test_quality_rules(messy, nothing):
+    rows = quality_rules.rules(messy).collect()
+    assert len(rows) == len(ROWS)
+    empty = [r for r in rows if r.doc_id in (1, 2, 8)]
+    assert all(r.n_words == 0 and r.base_failed and not r.kept for r in empty)
+    assert quality_rules.rules(nothing).count() == 0
+    kept = quality_rules.kept_documents(messy)
+    assert kept.columns == messy.columns
+    assert sorted(r.doc_id for r in kept.select("doc_id").collect()) == sorted(
+        r.doc_id for r in rows if r.kept
+    )
+    assert quality_rules.kept_documents(nothing).count() == 0
+
+
+def test_distance(spark):
+    df = spark.createDataFrame(
+        [([1, 0], [5, 0]), ([1, 0], [0, 9]), ([0, 0], [1, 1])], "a array<bigint>, b array<bigint>"
+    )
+    found = [r[0] for r in df.select(quality_rules.distance(F.col("a"), F.col("b"))).collect()]
+    assert found[0] == pytest.approx(0) and found[1] == pytest.approx(1) and found[2] is None
+
+
+def test_quality_classifier(messy, nothing, labels):
+    rows = quality_classifier.classified(messy, labels).collect()
+    assert len(rows) == len(ROWS) and all(0 <= r.p_good <= 1 for r in rows)
+    kept = quality_classifier.kept_documents(messy, labels)
+    assert kept.columns == messy.columns
+    assert quality_classifier.classified(nothing, labels).count() == 0
+    # without ratings everything is held for good
+    assert all(r.kept for r in quality_classifier.classified(messy, labels.limit(0)).collect())
+    graded = {r.doc_id: r.grade for r in quality_classifier.grades(labels).collect()}
+    assert graded == {3: 1, 6: 2}
+
+
+# --- near duplicates ----------------------------------------------------------------
+
+
+def test_near_duplicates(messy, nothing):
+    rows = near_duplicates.near_duplicates(messy).collect()
+    classes = {(r.doc_id, r.class_id) for r in rows}
+    assert len(rows) == len(ROWS)
+    assert {(3, 3), (4, 3), (2, 1), (1, 1), (None, None)} <= classes
+    assert near_duplicates.near_duplicates(nothing).count() == 0
+    kept = near_duplicates.representatives(messy)
+    assert kept.columns == messy.columns
+    assert kept.count() == len({r.class_id for r in rows})
+
+
+def test_near_copies_in_a_large_group(spark):
+    words = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(150):
+        copy = list(words)
+        copy[i] = f"other{i}"
+        rows.append((i, " ".join(copy)))
+    rows += [(1000 + i, " ".join(f"x{i}y{j}" for j in range(100))) for i in range(50)]
+    found = near_duplicates.near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"))
+    classes = {r.doc_id: r.class_id for r in found.collect()}
+    assert all(classes[i] == 0 for i in range(150))
+    assert all(classes[1000 + i] == 1000 + i for i in range(50))
+
+
+def test_alignment_matches_the_full_table():
+    def common(a, b):
+        row = [0] * (len(b) + 1)
+        for x in a:
+            new = [0]
+            for j, y in enumerate(b):
+                new.append(max(row[j] + 1 if x == y else 0, row[j + 1], new[j]))
+            row = new
+        return row[-1]
+
+    rng = random.Random(5)
+    for _ in range(1500):
+        a = [rng.randint(0, rng.choice([2, 8, 100])) for _ in range(rng.randint(1, 50))]
+        b = list(a)
+        for _ in range(rng.randint(0, 7)):
+            i = rng.randrange(len(b) + 1)
+            b[i : i + rng.randint(0, 1)] = [rng.randint(0, 100)] * rng.randint(0, 2)
+        m = common(a, b)
+        exact, got = m / (len(a) + len(b) - m), near_duplicates.similarity(a, b)
+        assert got == pytest.approx(exact) if exact >= 0.8 else got < 0.8
+
+
+# --- byte-level BPE -----------------------------------------------------------------
+
+
+def test_byte_bpe(messy, nothing, vocabulary):
+    import tiktoken
+
+    library = tiktoken.Encoding(
+        "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=vocabulary, special_tokens={}
+    )
+    encoded = byte_bpe.encode(messy, vocabulary, public_tokenizers.PATTERN, max_words=3)
+    rows = encoded.withColumn("back", byte_bpe.decoded(F.col("ids"), vocabulary)).collect()
+    given = {(i, t or "") for i, t, *_ in ROWS}
+    assert len(rows) == len(ROWS)
+    assert {(r.doc_id, bytes(r.back).decode()) for r in rows} == given
+    for r in rows:
+        assert r.ids == library.encode_ordinary(bytes(r.back).decode())
+    assert byte_bpe.encode(nothing, vocabulary, public_tokenizers.PATTERN).count() == 0
+
+
+def test_heap_merges_like_the_fold(vocabulary):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=vocabulary, special_tokens={})
+    pairs, rng = byte_bpe.pair_ranks(vocabulary), random.Random(4)
+    for _ in range(200):
+        word = bytes(rng.choices(b"abethins   ", k=rng.randint(1, 400)))
+        ids = byte_bpe.merge_long([vocabulary[word[i : i + 1]] for i in range(len(word))], pairs)
+        assert ids == library.encode_ordinary(word.decode())
+
+
+# --- decontamination ----------------------------------------------------------------
+
+
+def test_decontamination(messy, nothing, items):
+    rows = decontamination.leaks(messy, items).collect()
+    assert {(r.doc_id, r.item_id) for r in rows} == {(3, 1), (4, 1), (6, 1)}
+    assert all(r.containment == 1 for r in rows)
+    clean = decontamination.clean_documents(messy, items)
+    assert clean.columns == messy.columns and clean.count() == len(ROWS) - 4
+    assert decontamination.leaks(nothing, items).count() == 0
+    assert decontamination.leaks(messy, items.limit(0)).count() == 0
+    assert decontamination.clean_documents(messy, items.limit(0)).count() == len(ROWS)
+
+
+def test_containment_at_the_limit(spark):
+    item = [f"b{i}" for i in range(44)]  # 40 shingles
+    inside = [f"f{i}" for i in range(3000)]
+    edge, beyond = list(item), list(item)
+    edge[0], edge[43] = "x", "y"  # 38 of 40 are left
+    for at in (5, 20, 35):
+        beyond[at] = "z"  # 25 of 40 are left
+    docs = [(1, inside + item), (2, edge + inside), (3, inside[:100] + beyond + inside)]
+    docs = spark.createDataFrame([(i, " ".join(w)) for i, w in docs], "doc_id bigint, text string")
+    items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
+    rows = {r.doc_id: r.containment for r in decontamination.leaks(docs, items).collect()}
+    assert rows == {1: pytest.approx(1.0), 2: pytest.approx(38 / 40)}
