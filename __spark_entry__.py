@@ -30,6 +30,7 @@ from footfall.operators import (  # noqa: E402
 )
 from footfall.operators.users import funnel_users, user_facts, user_flags  # noqa: E402
 from footfall.plans import analyses, bindings, query_library  # noqa: E402
+from footfall.sources import prepare_events, register_views  # noqa: E402
 
 try:  # the training-data operators and their pipeline are a part that may be left out
     import corpus_pipeline
@@ -91,7 +92,15 @@ def _activation(events: DataFrame) -> DataFrame:
 
 
 def _ab(events: DataFrame) -> DataFrame:
-    return experiment.ab_results(analyses.population_facts(events))
+    return experiment.ab_results(user_facts(events))
+
+
+def _ab_approx_out(events: DataFrame) -> DataFrame:
+    return _rounded(
+        experiment.ab_results(user_facts(events), approx=True),
+        "median_time_to_activation_hours",
+        "mean_time_to_activation_hours",
+    )
 
 
 def _ab_out(events: DataFrame) -> DataFrame:
@@ -108,7 +117,7 @@ def _summary_out(events: DataFrame) -> DataFrame:
 
 
 def _library_ab(events: DataFrame) -> DataFrame:
-    library = query_library.ab_test_primary_and_guardrails(analyses.population_facts(events))
+    library = query_library.ab_test_primary_and_guardrails(user_facts(events))
     return _rounded(library, "median_time_to_activation_hours")
 
 
@@ -131,16 +140,52 @@ def oracle_sql() -> dict[str, str]:
     return {**library_oracle_sql(), **(llm.oracle_sql() if llm else {})}
 
 
+def _parsed_facts(text_events: DataFrame) -> DataFrame:
+    return _facts_out(prepare_events(text_events))
+
+
+def _window_facts(events: DataFrame) -> DataFrame:
+    facts = _text_ts(user_facts(events, strategy="window"), "first_event_ts", "first_cart_ts")
+    return _rounded(facts, "time_to_activation_hours")
+
+
+def _gapped(step: Callable[[bindings.Tables], DataFrame]) -> Query:
+    return lambda spark, sf_dir: step(bindings.gapped_order_history(spark, sf_dir))
+
+
+def _gapped_segments(keep_null: bool) -> Query:
+    return _gapped(
+        lambda t: segments.segment_by_attribute(
+            funnel_users(t.events), t.users, ATTRIBUTE, keep_null
+        )
+    )
+
+
+def _sql_views(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = bindings.order_history(spark, sf_dir)
+    register_views(t.events, t.users, t.products)
+    return spark.sql(
+        """SELECT mktsegment, category, count(*) AS carts, count_if(activated) AS by_activated
+           FROM events JOIN user_facts USING (user_id) JOIN users USING (user_id)
+                JOIN products USING (product_id)
+           WHERE event_type = 'cart' GROUP BY mktsegment, category"""
+    )
+
+
 def library_queries() -> dict[str, Query]:
     return {
         # data quality
         "sanity_missing_keys": _on(bindings.raw_clickstream, quality.missing_keys),
         "sanity_unexpected_types": _on(bindings.raw_clickstream, quality.unexpected_event_types),
         "sanity_bad_timestamps": _on(bindings.raw_clickstream, quality.bad_timestamps),
+        "timestamp_forms": _on(bindings.raw_clickstream, quality.timestamp_forms),
         # per-user tables
         "user_flags": _on(_events, user_flags),
         "user_facts": _on(_events, _facts_out),
         "clicks_user_facts": _on(_clicks, _facts_out),
+        "parsed_clicks_user_facts": _on(bindings.text_clickstream, _parsed_facts),
+        "user_facts_window": _on(_events, _window_facts),
+        "sql_views": _sql_views,
         # funnel
         "funnel_strict_wide": _on(_events, lambda e: funnel.funnel_wide(funnel_users(e))),
         "funnel_stages": _on(_events, lambda e: funnel.funnel_stages(funnel_users(e))),
@@ -185,6 +230,9 @@ def library_queries() -> dict[str, Query]:
             lambda t: segments.primary_category(t.events, t.products)
         ),
         "segment_category": _on_tables(_category_segments),
+        "gapped_segment_attribute": _gapped_segments(keep_null=False),
+        "gapped_segment_attribute_null": _gapped_segments(keep_null=True),
+        "gapped_segment_category": _gapped(_category_segments),
         "segment_conversion": _on_tables(_segment_table),
         "segment_spread": _on_tables(lambda t: segments.segment_spread(_segment_table(t))),
         "segment_types": _on_tables(lambda t: segments.segment_types(_segment_table(t))),
@@ -197,6 +245,8 @@ def library_queries() -> dict[str, Query]:
         "clicks_time_to_activation": _on(_clicks, _activation),
         "ab_results": _on(_events, _ab_out),
         "clicks_ab_results": _on(_clicks, _ab_out),
+        "accounts_ab_results": _on(bindings.accounts, _ab_out),
+        "accounts_ab_results_approx": _on(bindings.accounts, _ab_approx_out),
         "ab_summary": _on(_events, _summary_out),
         "clicks_ab_summary": _on(_clicks, _summary_out),
         # presentation
@@ -240,9 +290,9 @@ def library_queries() -> dict[str, Query]:
         "kpis": _on(_events, lambda e: reports.kpis(user_facts(e))),
         "report_kpis": _on(_events, lambda e: reports.report_kpis(reports.kpis(user_facts(e)))),
         # query library conventions
-        "library_missing_values": _on(_clicks, query_library.missing_values),
-        "library_unexpected_event_types": _on(_clicks, query_library.unexpected_event_types),
-        "library_funnel_dropoff": _on(_clicks, query_library.funnel_dropoff),
+        "library_missing_values": _on(bindings.raw_clickstream, quality.missing_keys),
+        "library_unexpected_event_types": _on(_clicks, quality.unexpected_event_types),
+        "library_funnel_dropoff": _on(_clicks, lambda e: funnel.funnel_wide(funnel_users(e))),
         "library_cohort_retention_week1": _on(_clicks, query_library.cohort_retention_week1),
         "library_conversion_by_segment": _on_tables(
             lambda t: query_library.conversion_by_segment(
@@ -267,6 +317,12 @@ _CLICK_EVENTS = """ev AS (
               ELSE event_type END AS kind
   FROM events)"""
 
+_ACCOUNT_EVENTS = """ev AS (
+  SELECT CAST(user_id AS VARCHAR) AS user_id, ts,
+         CASE WHEN event_type = 'click' THEN 'cart' WHEN event_type = 'signup' THEN 'wishlist'
+              ELSE event_type END AS kind
+  FROM events)"""
+
 _RAW_CLICK_EVENTS = """ev AS (
   SELECT CASE WHEN event_type = 'signup' THEN '  ' ELSE CAST(user_id AS VARCHAR) END AS user_id,
          CASE WHEN value >= 2 THEN
@@ -454,6 +510,19 @@ GROUP BY kind"""
        CAST(nvp AS DOUBLE) / nullif(nv, 0) AS view_to_purchase_conversion_overall
 FROM totals"""
     loose = f"SELECT metric, rate, {_PCT} AS rate_pct FROM loose"
+    gapped = """listed AS (
+  SELECT c_custkey AS user_id, nullif(c_mktsegment, 'MACHINERY') AS value FROM customer
+  UNION ALL SELECT c_custkey, 'ANY' FROM customer),
+gapped_parts AS (
+  SELECT p_partkey, p_type FROM part WHERE p_type NOT IN ('PROMO', 'SMALL'))"""
+    by_value = """SELECT 'mktsegment' AS segment_type, value AS segment_value,
+       count(DISTINCT user_id) AS cart_users, count(DISTINCT user_id) FILTER (WHERE p) AS purchased,
+       CAST(count(DISTINCT user_id) FILTER (WHERE p) AS DOUBLE) / count(DISTINCT user_id)
+         AS cart_to_purchase_conversion,
+       round_even(100.0::DOUBLE * (CAST(count(DISTINCT user_id) FILTER (WHERE p) AS DOUBLE)
+                                   / count(DISTINCT user_id)), 2)
+         AS cart_to_purchase_conversion_pct
+FROM flags JOIN listed USING (user_id) WHERE c {0} GROUP BY value"""
     segment_columns = """SELECT segment_type, segment_value, cart_users, purchased,
        cart_to_purchase_conversion, cart_to_purchase_conversion_pct FROM segs"""
     return {
@@ -467,6 +536,32 @@ FROM totals"""
        p AS has_purchase FROM flags"""),
         "user_facts": _with(orders, _FACTS, _FACTS_OUT),
         "clicks_user_facts": _with(clicks, _FACTS, _FACTS_OUT),
+        "parsed_clicks_user_facts": _with(clicks, _FACTS, _FACTS_OUT),
+        "user_facts_window": _with(orders, _FACTS, _FACTS_OUT),
+        "sql_views": _with(orders, _FACTS, """SELECT c_mktsegment AS mktsegment,
+       p_type AS category, count(*) AS carts, count(*) FILTER (WHERE hours IS NOT NULL) AS by_activated
+FROM ev JOIN facts USING (user_id) JOIN customer ON user_id = c_custkey
+     JOIN part ON product_id = p_partkey
+WHERE kind = 'cart' GROUP BY c_mktsegment, p_type"""),
+        "timestamp_forms": _with(raw, """SELECT 0::BIGINT AS with_zone,
+       count(*) FILTER (WHERE try_cast(ts AS TIMESTAMP) IS NOT NULL) AS without_zone FROM ev"""),
+        "gapped_segment_attribute": _with(
+            orders, _FLAGS, gapped, by_value.format("AND value IS NOT NULL")),
+        "gapped_segment_attribute_null": _with(orders, _FLAGS, gapped, by_value.format("")),
+        "gapped_segment_category": _with(
+            orders, _FLAGS, gapped, _PRIMARY.replace("JOIN part ", "JOIN gapped_parts "),
+            """SELECT 'primary_cart_category' AS segment_type, category AS segment_value,
+       count(*) AS cart_users, count(*) FILTER (WHERE p) AS purchased,
+       CAST(count(*) FILTER (WHERE p) AS DOUBLE) / count(*) AS cart_to_purchase_conversion,
+       round_even(100.0::DOUBLE * (CAST(count(*) FILTER (WHERE p) AS DOUBLE) / count(*)), 2)
+         AS cart_to_purchase_conversion_pct
+FROM flags JOIN preferred USING (user_id) GROUP BY category"""),
+        "accounts_ab_results": _with(_ACCOUNT_EVENTS, _FACTS, _READOUT, _AB_OUT),
+        # the lower of two middle values
+        "accounts_ab_results_approx": _with(_ACCOUNT_EVENTS, _FACTS, _READOUT.replace(
+            "CAST(quantile_cont(hours, 0.5) AS DOUBLE)",
+            "CAST(list_sort(list(hours) FILTER (WHERE hours IS NOT NULL))"
+            "[CAST(ceil(count(hours) / 2) AS INT)] AS DOUBLE)"), _AB_OUT),
         "funnel_strict_wide": _with(orders, _FLAGS, _TOTALS, wide),
         "funnel_stages": _with(orders, _FLAGS, _TOTALS, _STAGES, "SELECT stage, users FROM stages"),
         "funnel_rates_loose": _with(orders, _FLAGS, _TOTALS, _LOOSE, loose),
@@ -592,7 +687,7 @@ FROM readout"""),
        printf('%.2f%%', (SELECT 100.0 * count(*) FILTER (WHERE week1) / count(*) FROM facts))
          AS "Week-1 Retention (overall)",
        format('{:,}', nc) AS "Assignment rows" FROM totals"""),
-        "library_missing_values": _with(clicks, missing),
+        "library_missing_values": _with(raw, missing),
         "library_unexpected_event_types": _with(clicks, unexpected),
         "library_funnel_dropoff": _with(clicks, _FLAGS, _TOTALS, wide),
         "library_cohort_retention_week1": _with(clicks, _FACTS, f"""SELECT {day} AS cohort_month,

@@ -35,6 +35,42 @@ def micros_from_hours(value: Column) -> Column:
     return F.round(value * F.lit(float(MICROS_PER_HOUR))).cast("long")
 
 
+def utc_time(instant: Column) -> Column:
+    """A TIMESTAMP as TIMESTAMP_NTZ in UTC; a cast would take the session's zone."""
+    micros = F.unix_micros(instant).cast("decimal(20,0)")
+    since = F.make_dt_interval(secs=(micros / F.lit(1_000_000)).cast("decimal(18,6)"))
+    return F.lit("1970-01-01 00:00:00").cast("timestamp_ntz") + since
+
+
+# A time of day followed by an offset or the name of a zone.
+ZONED = r"\d:\d{1,2}(:\d{1,2}(\.\d*)?)?\s*[A-Za-z+-]"
+# Letters of a datetime pattern that stand for an offset or a zone.
+ZONE_LETTERS = set("VzOXxZ")
+
+
+def has_zone(text: Column) -> Column:
+    return text.rlike(ZONED)
+
+
+def parsed_timestamp(text: Column, pattern: str | None = None, zone: str = "UTC") -> Column:
+    """Text to TIMESTAMP_NTZ in UTC; NULL where it does not parse as ISO.
+
+    With a ``pattern`` Spark decides what fails: an error in ANSI mode.
+    """
+
+    def in_utc(wall: Column) -> Column:
+        return wall if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
+
+    if pattern is None:
+        instant = F.when(has_zone(text), text).try_cast("timestamp")
+        wall = F.when(~has_zone(text), text).try_cast("timestamp_ntz")
+        return F.coalesce(utc_time(instant), in_utc(wall))
+    outside_quotes = "".join(pattern.split("'")[::2])
+    if ZONE_LETTERS & set(outside_quotes):
+        return utc_time(F.to_timestamp(text, pattern))
+    return in_utc(F.to_timestamp_ntz(text, F.lit(pattern)))
+
+
 def day_number(ts: Column) -> Column:
     """Whole days since 1970-01-01."""
     return F.unix_date(F.to_date(ts))

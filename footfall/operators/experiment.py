@@ -45,16 +45,35 @@ def _members(facts: DataFrame, experiment_name: str) -> DataFrame:
     return assign_variants(population(facts), experiment_name).withColumn("micros", micros)
 
 
-def _totals(members: DataFrame, success: str, *more: Column) -> DataFrame:
+# Stands for no activation among whole microseconds.
+NEVER = -1
+
+
+def _cells(members: DataFrame, success: str) -> DataFrame:
+    """Users per variant, success, week-1 activity and time to activation.
+
+    All figures of the readout follow from these counts. Every column but the count is a
+    key, so that each reader keeps the same plan and they share one shuffle.
+    """
+    return members.groupBy(
+        "variant",
+        F.coalesce(F.col(success), F.lit(False)).alias("success"),
+        F.coalesce("week1_active", F.lit(False)).alias("week1"),
+        F.coalesce("micros", F.lit(NEVER)).alias("micros"),
+    ).agg(F.count("*").alias("n"))
+
+
+def _totals(cells: DataFrame, experiment_name: str) -> DataFrame:
+    activated = F.when(F.col("micros") != NEVER, F.col("n")).otherwise(0)
     # Whole microseconds add up exactly, in any order; 64 bits could overflow.
-    micros = F.sum(F.col("micros").cast("decimal(20,0)"))
-    return members.groupBy("experiment_name", "variant").agg(
-        F.count("*").alias("total_users"),
-        F.count_if(success).alias("success_users"),
-        F.count_if("week1_active").alias("week1_users"),
-        (ratio(micros, F.count("micros")) / MICROS_PER_HOUR)
+    micros = F.sum(F.col("micros").cast("decimal(20,0)") * activated)
+    return cells.groupBy("variant").agg(
+        F.lit(experiment_name).alias("experiment_name"),
+        F.sum("n").alias("total_users"),
+        F.sum(F.when(F.col("success"), F.col("n")).otherwise(0)).alias("success_users"),
+        F.sum(F.when(F.col("week1"), F.col("n")).otherwise(0)).alias("week1_users"),
+        (ratio(micros, F.sum(activated)) / MICROS_PER_HOUR)
         .alias("mean_time_to_activation_hours"),
-        *more,
     )
 
 
@@ -67,7 +86,7 @@ def ab_totals(
 
     Enough for ``ab_summary``.
     """
-    return _totals(_members(facts, experiment_name), success)
+    return _totals(_cells(_members(facts, experiment_name), success), experiment_name)
 
 
 def ab_results(
@@ -79,20 +98,24 @@ def ab_results(
 ) -> DataFrame:
     """Primary metric and guardrails per variant.
 
-    The median time to activation is exact; ``approx`` takes ``percentile_approx``
-    instead, which saves the counting rounds. ``facts`` is read twice for the exact
-    median, so pass a written table where computing it is expensive.
+    The median time to activation is exact; ``approx`` takes ``percentile_approx`` (the
+    lower of two middle values) instead, which saves the counting rounds. ``facts`` is
+    computed once: all figures come from one table of counts.
     """
     members = _members(facts, experiment_name)
+    cells = _cells(members, success)
     if approx:
         median = F.percentile_approx("micros", 0.5).cast("double") / MICROS_PER_HOUR
-        results = _totals(members, success, median.alias("median_time_to_activation_hours"))
+        medians = members.groupBy("variant").agg(median.alias("median_time_to_activation_hours"))
     else:
-        middle = grouped_median(members, "variant", "micros", activation_hours * MICROS_PER_HOUR)
+        weight = F.when(F.col("micros") != NEVER, F.col("n")).otherwise(0)
+        middle = grouped_median(
+            cells, "variant", "micros", weight, activation_hours * MICROS_PER_HOUR
+        )
         median = (F.col("low") + F.col("high")).cast("double") / (2 * MICROS_PER_HOUR)
         medians = middle.select("variant", median.alias("median_time_to_activation_hours"))
-        # One row per variant on both sides.
-        results = _totals(members, success).join(F.broadcast(medians), "variant", "left")
+    # One row per variant on both sides.
+    results = _totals(cells, experiment_name).join(F.broadcast(medians), "variant", "left")
     conversion = ratio(F.col("success_users"), F.col("total_users"), 0.0)
     retention = ratio(F.col("week1_users"), F.col("total_users"), 0.0)
     return results.select(

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, functions as F
 
 from footfall.functions.text import is_missing
+from footfall.functions.times import has_zone, parsed_timestamp
 from footfall.schema import EVENT_TYPES
 
 
@@ -37,9 +38,23 @@ def bad_timestamps(raw_events: DataFrame) -> DataFrame:
     ``raw_events.event_timestamp`` is text, as ``sources.read_raw_events`` returns it.
     """
     text = F.col("event_timestamp")
-    parsed = text.try_cast("timestamp_ntz")
+    parsed = parsed_timestamp(text)
     return raw_events.agg(
         F.count("*").alias("events"),
         F.count_if(text.isNull()).alias("missing_timestamps"),
         F.count_if(text.isNotNull() & parsed.isNull()).alias("unparsable_timestamps"),
     )
+
+
+def timestamp_forms(raw_events: DataFrame) -> DataFrame:
+    """One row: how many timestamps are given with and without a zone of their own.
+
+    Readers take the former at their word and the latter as times of one zone, so a log
+    that has both may mix clocks.
+    """
+    text = F.col("event_timestamp")
+    good = parsed_timestamp(text).isNotNull()
+    return raw_events.agg(
+        F.count_if(good & has_zone(text)).alias("with_zone"),
+        F.count_if(good & ~has_zone(text)).alias("without_zone"),
+    )

@@ -8,14 +8,18 @@ counting, each over a number of keys that the values' range bounds.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def grouped_median(df: DataFrame, group: str, value: str, upper: int) -> DataFrame:
+def grouped_median(
+    counts: DataFrame, group: str, value: str, weight: Column, upper: int
+) -> DataFrame:
     """``group, low, high``: the middle values of an integer column in ``[0, upper)``.
 
-    ``low`` and ``high`` are the same unless the group has an even number of values; the
-    median is their mean. NULL values are skipped, and groups with no value are left out.
+    ``counts`` has rows of group and value that occur ``weight`` times; rows of one value
+    may repeat, and those of weight 0 count for nothing. ``low`` and ``high`` are the same
+    unless the group has an even number of values; the median is their mean. Groups
+    without any weight are left out.
 
     Values are counted per range of ``w`` consecutive integers, ``w`` a power of two of
     about ``sqrt(upper)``. The first round finds the at most two ranges that hold the
@@ -25,13 +29,11 @@ def grouped_median(df: DataFrame, group: str, value: str, upper: int) -> DataFra
     bits = (max(upper - 1, 0).bit_length() + 1) // 2
     # Group and range are never NULL, so the join below adds no filter of its own and
     # both rounds read the same shuffle of the counts.
-    known = F.col(group).isNotNull() & F.col(value).isNotNull()
-    bucket = F.coalesce(F.shiftright(F.col("value"), bits), F.lit(-1))
-    counts = (
-        df.where(known)
-        .groupBy(group, F.col(value).alias("value"))
-        .agg(F.count("*").alias("n"))
-        .withColumn("bucket", bucket)
+    counts = counts.select(
+        F.coalesce(group, F.lit("")).alias(group),
+        F.col(value).alias("value"),
+        weight.alias("n"),
+        F.coalesce(F.shiftright(value, bits), F.lit(-1)).alias("bucket"),
     )
 
     in_group = Window.partitionBy(group)
@@ -47,13 +49,19 @@ def grouped_median(df: DataFrame, group: str, value: str, upper: int) -> DataFra
             "mid_low": F.floor((F.col("total") - 1) / 2),
             "mid_high": F.floor(F.col("total") / 2),
         })
+        .where("total > 0")
     )
     middle = ranges.where(
         (F.col("before") <= F.col("mid_high")) & (F.col("before") + F.col("n") > F.col("mid_low"))
     ).select(group, "bucket", "before", "mid_low", "mid_high")
 
     # At most two rows per group: a proven bound for the broadcast.
-    near = counts.join(F.broadcast(middle), [group, "bucket"])
+    near = (
+        counts.join(F.broadcast(middle), [group, "bucket"])
+        .groupBy(group, "bucket", "value", "before", "mid_low", "mid_high")
+        .agg(F.sum("n").alias("n"))
+        .where("n > 0")
+    )
     in_range = (
         Window.partitionBy(group, "bucket")
         .orderBy("value")

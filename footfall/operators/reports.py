@@ -43,6 +43,13 @@ AB_LABELS = {
 }
 
 
+AB_HEADLINE_LABELS = ("Control Conversion", "Treatment Conversion")
+LIFT_TEXT = "Lift (absolute): %.2f percentage points"
+P_VALUE_TEXT = "p-value (two-sided): %.3f"
+USERS_LABEL, STEP_LABEL = "{} Users", "{} → {}"
+RETENTION_LABEL, ASSIGNMENTS_LABEL = "Week-1 Retention (overall)", "Assignment rows"
+
+
 def _relabelled(df: DataFrame, labels: dict[str, str]) -> DataFrame:
     return df.select(*labels).withColumnsRenamed(labels)
 
@@ -110,17 +117,16 @@ def report_ab_headline(
         return F.max(F.when(F.col("variant") == variant, F.col("conversion_rate_pct")))
 
     return results.agg(
-        pct_text(conversion(control)).alias("Control Conversion"),
-        pct_text(conversion(treatment)).alias("Treatment Conversion"),
+        pct_text(conversion(control)).alias(AB_HEADLINE_LABELS[0]),
+        pct_text(conversion(treatment)).alias(AB_HEADLINE_LABELS[1]),
     )
 
 
 def report_lift(summary: DataFrame) -> DataFrame:
     """Lift and p-value as display text."""
     return summary.select(
-        F.format_string("Lift (absolute): %.2f percentage points", "lift_abs_pct_points")
-        .alias("lift"),
-        F.format_string("p-value (two-sided): %.3f", "p_value_two_sided").alias("p_value"),
+        F.format_string(LIFT_TEXT, "lift_abs_pct_points").alias("lift"),
+        F.format_string(P_VALUE_TEXT, "p_value_two_sided").alias("p_value"),
     )
 
 
@@ -143,12 +149,13 @@ def kpis(facts: DataFrame, steps: Sequence[str] = FUNNEL_STEPS) -> DataFrame:
 
 def report_kpis(kpi_row: DataFrame, steps: Sequence[str] = FUNNEL_STEPS) -> DataFrame:
     """``kpis`` as display text."""
-    a, b, c = steps
+    _, b, c = steps
     return kpi_row.select(
-        count_text(F.col(f"{a}_users")).alias(f"{a.title()} Users"),
-        count_text(F.col(f"{b}_users")).alias(f"{b.title()} Users"),
-        count_text(F.col(f"{c}_users")).alias(f"{c.title()} Users"),
-        pct_text(F.col(f"{b}_to_{c}_strict_pct")).alias(f"{b.title()} → {c.title()}"),
-        pct_text(F.col("week1_retention_overall_pct")).alias("Week-1 Retention (overall)"),
-        count_text(F.col("assignment_rows")).alias("Assignment rows"),
+        *(
+            count_text(F.col(f"{step}_users")).alias(USERS_LABEL.format(step.title()))
+            for step in steps
+        ),
+        pct_text(F.col(f"{b}_to_{c}_strict_pct")).alias(STEP_LABEL.format(b.title(), c.title())),
+        pct_text(F.col("week1_retention_overall_pct")).alias(RETENTION_LABEL),
+        count_text(F.col("assignment_rows")).alias(ASSIGNMENTS_LABEL),
     )

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 
 from footfall.functions.rates import percent, ratio
 
+# Columns of the output table.
 COLUMNS = (
     "segment_type",
     "segment_value",
@@ -40,11 +41,19 @@ def segment_by_attribute(
     A user listed with two values counts in both; users without a value are left out
     unless ``keep_null``. ``flags`` is ``user_flags`` or ``user_facts``.
     """
-    values = users.select("user_id", F.col(attribute).alias("segment_value"))
-    if not keep_null:
-        values = values.where(F.col("segment_value").isNotNull())
     cart_users = flags.where("has_cart").select("user_id", "has_purchase")
-    return _conversion(cart_users.join(values.distinct(), "user_id"), attribute)
+    # Both sides are one row per user, so the join needs no shuffle beyond theirs.
+    values = users.groupBy("user_id").agg(
+        F.collect_set(attribute).alias("values"), F.bool_or(F.col(attribute).isNull()).alias("none")
+    )
+    each = F.col("values")
+    if keep_null:
+        nothing = F.array(F.lit(None).cast(users.schema[attribute].dataType))
+        each = F.when(F.col("none"), F.concat("values", nothing)).otherwise(each)
+    members = cart_users.join(values, "user_id").select(
+        "user_id", "has_purchase", F.explode(each).alias("segment_value")
+    )
+    return _conversion(members, attribute)
 
 
 def primary_category(events: DataFrame, products: DataFrame) -> DataFrame:

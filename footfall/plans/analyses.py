@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame
 from footfall.operators import experiment, funnel, retention, segments
 from footfall.operators.users import funnel_users, user_facts
 from footfall.schema import EXPERIMENT_NAME
-from footfall.sources.tables import written_table
 
 
 @dataclass(frozen=True)
@@ -73,7 +72,7 @@ def build_segment_conversion(
 def experiment_tables(
     facts: DataFrame, experiment_name: str = EXPERIMENT_NAME
 ) -> ExperimentTables:
-    """From ``user_facts``; read several times, so pass a written table."""
+    """From ``user_facts``; each table computes it once, so pass a written table for all."""
     return ExperimentTables(
         experiment.ab_results(facts, experiment_name),
         experiment.ab_summary(experiment.ab_totals(facts, experiment_name), experiment_name),
@@ -81,11 +80,6 @@ def experiment_tables(
     )
 
 
-def population_facts(events: DataFrame) -> DataFrame:
-    """``user_facts`` of the experiment population as a written table."""
-    return written_table(experiment.population(user_facts(events)), "population_facts")
-
-
 def build_ab_test(events: DataFrame, experiment_name: str = EXPERIMENT_NAME) -> ExperimentTables:
-    """Results, summary and assignments; the population's facts are computed once."""
-    return experiment_tables(population_facts(events), experiment_name)
+    """Results, summary and assignments. Nothing runs before they are read."""
+    return experiment_tables(user_facts(events), experiment_name)

@@ -63,6 +63,39 @@ def order_history(spark: SparkSession, sf_dir: str) -> Tables:
     return Tables(events, users, products)
 
 
+def gapped_order_history(spark: SparkSession, sf_dir: str) -> Tables:
+    """``order_history`` whose dimensions have gaps and doubles.
+
+    Customers of one segment have none, every customer is listed once more under ``ANY``,
+    parts of one type have no category, and those of another are not in the table.
+    """
+    whole = order_history(spark, sf_dir)
+    segment = F.when(F.col("mktsegment") != "MACHINERY", F.col("mktsegment"))
+    users = whole.users.withColumn("mktsegment", segment).union(
+        whole.users.select("user_id", F.lit("ANY"))
+    )
+    category = F.when(F.col("category") != "SMALL", F.col("category"))
+    products = whole.products.where("category <> 'PROMO'").withColumn("category", category)
+    return Tables(whole.events, users, products)
+
+
+def accounts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The event stream by account, without device numbers."""
+    return _table(spark, sf_dir, "events").select(
+        F.col("event_id"),
+        F.col("user_id").cast("string").alias("user_id"),
+        _renamed_types(F.col("event_type"), CLICK_TYPES).alias("event_type"),
+        F.col("ts").alias("event_timestamp"),
+    )
+
+
+def text_clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``clickstream`` with timestamps as text of a clock five and a half hours ahead."""
+    ahead = F.col("event_timestamp") + F.make_dt_interval(hours=F.lit(5), mins=F.lit(30))
+    text = F.concat(ahead.cast("string"), F.lit("+05:30"))
+    return clickstream(spark, sf_dir).withColumn("event_timestamp", text)
+
+
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream with one visitor per account and device number.
 

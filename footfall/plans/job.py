@@ -30,18 +30,25 @@ def run(
     input_format: str = "csv",
     output_format: str = "csv",
     attribute: str = "gender",
+    multi_line: bool = False,
+    pattern: str | None = None,
+    zone: str = "UTC",
 ) -> list[str]:
     """Read ``in_dir/{events,users,products}.<format>`` and write all results.
 
-    The log is scanned twice: once for the per-user facts, which are written to the
-    cluster's shared folder for the length of the run and serve every analysis, and once (cart events only) for the users'
-    primary categories. Returns the names of the tables written to ``out_dir``.
+    The log is scanned twice: once for the per-user facts, which are written for the length
+    of the run and serve every analysis, and once (cart events only) for the users' primary
+    categories. The last three options are the readers'. Returns the names of the tables
+    written to ``out_dir``.
     """
-    events = read_events(spark, f"{in_dir}/events.{input_format}", input_format)
-    users = read_users(spark, f"{in_dir}/users.{input_format}", input_format, attribute)
-    products = read_products(spark, f"{in_dir}/products.{input_format}", input_format)
+    def source(name: str) -> tuple[SparkSession, str, str]:
+        return spark, f"{in_dir}/{name}.{input_format}", input_format
 
-    with work_folder(spark) as work:
+    events = read_events(*source("events"), multi_line, pattern, zone)
+    users = read_users(*source("users"), attribute, multi_line)
+    products = read_products(*source("products"), multi_line)
+
+    with work_folder(spark, out_dir) as work:
         facts = written_table(user_facts(events), "user_facts", work)
         funnel = funnel_tables(facts)
         results = written_table(experiment.ab_results(facts), "ab_results", work)
@@ -55,14 +62,10 @@ def run(
             "ab_results_summary": experiment.ab_summary(results),
         }
         for name, table in reports.items():
-            write_artifact(table, out_dir, name, output_format)
+            write_artifact(table, out_dir, name, output_format, single_file=True)
         # One row per user, so it keeps its partitions.
         write_artifact(
-            experiment.assignments(facts),
-            out_dir,
-            "experiment_assignments",
-            output_format,
-            single_file=False,
+            experiment.assignments(facts), out_dir, "experiment_assignments", output_format
         )
     return [*reports, "experiment_assignments"]
 

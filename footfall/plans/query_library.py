@@ -8,24 +8,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from footfall.operators import experiment, funnel, quality, retention
-from footfall.operators.users import funnel_users, user_facts
+from footfall.operators import experiment, retention
+from footfall.operators.users import user_facts
 from footfall.plans.analyses import build_segment_conversion
 from footfall.schema import EXPERIMENT_NAME
 
 
-def missing_values(events: DataFrame) -> DataFrame:
-    return quality.missing_keys(events)
-
-
-def unexpected_event_types(events: DataFrame) -> DataFrame:
-    return quality.unexpected_event_types(events)
-
-
-def funnel_dropoff(events: DataFrame) -> DataFrame:
-    return funnel.funnel_wide(funnel_users(events))
-
-
 def cohort_retention_week1(events: DataFrame) -> DataFrame:
     """Daily cohorts; the day is named ``cohort_month`` as in the library."""
     daily = retention.cohort_retention(user_facts(events), "day")
@@ -49,7 +37,7 @@ def conversion_by_segment(
 def ab_test_primary_and_guardrails(
     facts: DataFrame, experiment_name: str = EXPERIMENT_NAME
 ) -> DataFrame:
-    """From ``user_facts``, preferably as a written table."""
+    """From ``user_facts``."""
     return experiment.ab_results(facts, experiment_name).select(
         "variant",
         "total_users",

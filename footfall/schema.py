@@ -35,7 +35,7 @@ PRODUCTS = T.StructType([
     T.StructField("category", T.StringType()),
 ])
 
-# --- output tables ----------------------------------------------------------------
+# --- fixed values: output tables ----------------------------------------------------------------
 FUNNEL_STAGES = T.StructType([
     T.StructField("stage", T.StringType()),
     T.StructField("users", T.LongType()),

@@ -10,8 +10,8 @@ SETTINGS = {
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
-    # Product tables of this size are broadcast instead of shuffling the cart events.
-    "spark.sql.autoBroadcastJoinThreshold": "64MB",
+    # Join sides that turn out to be so small at run time are broadcast.
+    "spark.sql.adaptive.autoBroadcastJoinThreshold": "64MB",
     "spark.sql.session.timeZone": "UTC",
     "spark.ui.enabled": "false",
     # Without the Python call site of every Column, plans are built twice as fast.

@@ -1,8 +1,8 @@
 """Readers for the event log, its dimensions and the written results.
 
-Everything is read with a declared schema. CSV is accepted for small extracts; Parquet
-is the format for large logs, where the engine's filters and column choices reach the
-file scan.
+CSV is read with the names of its header line and every column declared as text, Parquet
+with its own types. CSV is accepted for small extracts; Parquet is the format for large
+logs, where the engine's filters and column choices reach the file scan.
 """
 
 from __future__ import annotations
@@ -11,6 +11,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall import schema
+from footfall.functions.times import parsed_timestamp, utc_time
 
 
 class MissingArtifact(FileNotFoundError):
@@ -30,14 +31,34 @@ CSV_NULLS = (
 )
 
 
-def _read(spark: SparkSession, path: str, columns: T.StructType, fmt: str) -> DataFrame:
+# How result tables and extracts are written: quotes are doubled, blanks are kept.
+CSV_FORM = {
+    "header": True,
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": False,
+    "ignoreTrailingWhiteSpace": False,
+}
+
+
+def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
+    """All columns as text. Every record is checked against the whole header line,
+    whichever columns are read."""
+    reader = spark.read.options(**CSV_FORM, mode="FAILFAST", multiLine=multi_line)
+    names = reader.csv(path).columns
+    declared = T.StructType([T.StructField(name, T.StringType()) for name in names])
+    return reader.options(columnPruning=False, enforceSchema=False).schema(declared).csv(path)
+
+
+def _read(
+    spark: SparkSession, path: str, columns: T.StructType, fmt: str, multi_line: bool = False
+) -> DataFrame:
     """The declared columns by name, in any order and among any others.
 
     CSV columns are text; Parquet columns keep their own types, so numeric ids stay
-    numeric.
+    numeric. ``multi_line`` is for CSV with line breaks in quotes; such a file is not split.
     """
     if fmt == "csv":
-        table = spark.read.option("header", True).option("mode", "FAILFAST").csv(path)
+        table = _csv(spark, path, multi_line)
     elif fmt == "parquet":
         table = spark.read.parquet(path)
     else:
@@ -53,47 +74,69 @@ def _read(spark: SparkSession, path: str, columns: T.StructType, fmt: str) -> Da
     return table.select(*names)
 
 
-def parse_timestamps(raw_events: DataFrame) -> DataFrame:
-    """Turn text timestamps into TIMESTAMP_NTZ; text that does not parse fails the job.
+def parse_timestamps(
+    raw_events: DataFrame, pattern: str | None = None, zone: str = "UTC"
+) -> DataFrame:
+    """Turn text timestamps into TIMESTAMP_NTZ in UTC; text that does not parse fails the job.
 
-    An absent timestamp stays NULL. The check does not depend on the session's ANSI mode.
+    ``pattern`` is a datetime pattern; without one, ISO texts are read. A text with a UTC
+    offset or a zone of its own is taken at its word; any other is a time of ``zone``. An
+    absent timestamp stays NULL. Neither the session's ANSI mode nor its zone matters.
     """
     text = F.col("event_timestamp")
     error = F.raise_error(F.concat(F.lit(INVALID_TIMESTAMP), text))
-    parsed = F.coalesce(text.try_cast("timestamp_ntz"), F.when(text.isNotNull(), error))
+    parsed = F.coalesce(parsed_timestamp(text, pattern, zone), F.when(text.isNotNull(), error))
     return raw_events.withColumn("event_timestamp", parsed)
 
 
-def prepare_events(table: DataFrame) -> DataFrame:
-    """Bring the timestamp of any event table to TIMESTAMP_NTZ."""
+def prepare_events(table: DataFrame, pattern: str | None = None, zone: str = "UTC") -> DataFrame:
+    """Bring the timestamp of any event table to TIMESTAMP_NTZ.
+
+    Instants (TIMESTAMP) become UTC times, whatever the session's zone.
+    """
     kind = table.schema["event_timestamp"].dataType
     if isinstance(kind, T.StringType):
-        return parse_timestamps(table)
+        return parse_timestamps(table, pattern, zone)
     if isinstance(kind, T.TimestampNTZType):
         return table
-    return table.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp_ntz"))
+    return table.withColumn("event_timestamp", utc_time(F.col("event_timestamp")))
 
 
-def read_raw_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
+def read_raw_events(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
     """The log as delivered, timestamps as text: input of ``quality.bad_timestamps``."""
-    raw = _read(spark, path, schema.EVENTS, fmt)
+    raw = _read(spark, path, schema.EVENTS, fmt, multi_line)
     return raw.withColumn("event_timestamp", F.col("event_timestamp").cast("string"))
 
 
-def read_events(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    """The log with parsed timestamps."""
-    return prepare_events(_read(spark, path, schema.EVENTS, fmt))
+def read_events(
+    spark: SparkSession,
+    path: str,
+    fmt: str = "csv",
+    multi_line: bool = False,
+    pattern: str | None = None,
+    zone: str = "UTC",
+) -> DataFrame:
+    """The log with parsed timestamps; ``pattern`` and ``zone`` as in ``parse_timestamps``."""
+    return prepare_events(_read(spark, path, schema.EVENTS, fmt, multi_line), pattern, zone)
 
 
 def read_users(
-    spark: SparkSession, path: str, fmt: str = "csv", attribute: str = "gender"
+    spark: SparkSession,
+    path: str,
+    fmt: str = "csv",
+    attribute: str = "gender",
+    multi_line: bool = False,
 ) -> DataFrame:
     columns = T.StructType([schema.USERS["user_id"], T.StructField(attribute, T.StringType())])
-    return _read(spark, path, columns, fmt)
+    return _read(spark, path, columns, fmt, multi_line)
 
 
-def read_products(spark: SparkSession, path: str, fmt: str = "csv") -> DataFrame:
-    return _read(spark, path, schema.PRODUCTS, fmt)
+def read_products(
+    spark: SparkSession, path: str, fmt: str = "csv", multi_line: bool = False
+) -> DataFrame:
+    return _read(spark, path, schema.PRODUCTS, fmt, multi_line)
 
 
 def read_artifact(spark: SparkSession, out_dir: str, name: str, fmt: str = "csv") -> DataFrame:
@@ -105,7 +148,8 @@ def read_artifact(spark: SparkSession, out_dir: str, name: str, fmt: str = "csv"
         raise MissingArtifact(f"no such artifact: {name!r}; known: {sorted(schema.ARTIFACTS)}")
     reader = spark.read.schema(schema.ARTIFACTS[name]).format(fmt)
     if fmt == "csv":
-        reader = reader.option("header", True).option("mode", "FAILFAST")
+        # An empty field is NULL and a quoted empty one a text: NULL gets a sign no text has.
+        reader = reader.options(**CSV_FORM, mode="FAILFAST", multiLine=True, nullValue="\x00")
     try:
         return reader.load(f"{out_dir}/{name}")
     except AnalysisException as error:

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
@@ -12,25 +11,15 @@ from pyspark.sql import DataFrame, SparkSession
 from footfall.operators.users import user_facts
 
 
-def new_work_folder(spark: SparkSession) -> str:
-    """A folder of its own for intermediate tables, where all executors can reach it.
+@contextmanager
+def work_folder(spark: SparkSession, beside: str) -> Iterator[str]:
+    """A folder for intermediate tables, for the length of a block; deleted at its end.
 
-    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``. Only a
-    local master, whose executors are this machine, may go without that setting.
+    It lies in the shared folder the cluster names in ``spark.checkpoint.dir``, or else in
+    ``beside``: a folder of results, which all executors reach as well.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        shared = tempfile.gettempdir()
-    application = spark.sparkContext.applicationId
-    return f"{shared.rstrip('/')}/footfall/{application}/{uuid.uuid4().hex}"
-
-
-@contextmanager
-def work_folder(spark: SparkSession) -> Iterator[str]:
-    """``new_work_folder`` for the length of a block; deleted at its end."""
-    folder = new_work_folder(spark)
+    shared = spark.conf.get("spark.checkpoint.dir", None) or f"{beside.rstrip('/')}/_work"
+    folder = f"{shared.rstrip('/')}/footfall/{uuid.uuid4().hex}"
     try:
         yield folder
     finally:
@@ -39,17 +28,15 @@ def work_folder(spark: SparkSession) -> Iterator[str]:
         path.getFileSystem(context._jsc.hadoopConfiguration()).delete(path, True)
 
 
-def written_table(df: DataFrame, name: str, folder: str | None = None) -> DataFrame:
+def written_table(df: DataFrame, name: str, folder: str) -> DataFrame:
     """Run ``df`` once, as a Parquet table in ``folder``, and return that table.
 
     For results that several queries read: it cuts the lineage, survives the loss of
-    executors, and later reads fetch only the columns they use. Without a ``folder`` the
-    table gets a new one, which stays until the cluster cleans its shared folder.
+    executors, and later reads fetch only the columns they use. The caller owns the folder.
     """
-    spark = df.sparkSession
-    path = f"{folder or new_work_folder(spark)}/{name}"
+    path = f"{folder}/{name}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def register_views(

@@ -4,18 +4,20 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from footfall.sources.readers import CSV_FORM
+
 
 def write_artifact(
-    df: DataFrame, out_dir: str, name: str, fmt: str = "csv", single_file: bool = True
+    df: DataFrame, out_dir: str, name: str, fmt: str = "csv", single_file: bool = False
 ) -> None:
     """Write a result table to ``out_dir/name``, replacing an earlier one.
 
-    ``single_file`` is for report tables, whose rows the definitions bound; a table with
-    a row per user keeps its partitions.
+    ``single_file`` is for report tables, whose rows the definitions bound; any other table
+    keeps its partitions. CSV doubles quotes and keeps blanks, as ``read_artifact`` reads it.
     """
     writer = (df.coalesce(1) if single_file else df).write.mode("overwrite").format(fmt)
     if fmt == "csv":
-        writer = writer.option("header", True)
+        writer = writer.options(**CSV_FORM)
     writer.save(f"{out_dir}/{name}")
 
 

@@ -110,7 +110,11 @@ def test_grouped_median(spark, seed, upper):
         groups[name] = values
     rows = [(g, v) for g, values in groups.items() for v in values] + [("odd", None), ("none", None)]
     df = spark.createDataFrame(rows, "g STRING, v LONG").repartition(4)
-    found = {r.g: (r.low, r.high) for r in grouped_median(df, "g", "v", upper).collect()}
+    counts = df.withColumns({
+        "w": F.when(F.col("v").isNull(), 0).otherwise(1), "v": F.coalesce("v", F.lit(-1))
+    })
+    medians = grouped_median(counts, "g", "v", F.col("w"), upper).collect()
+    found = {r.g: (r.low, r.high) for r in medians}
     assert found == {
         g: (statistics.median_low(v), statistics.median_high(v)) for g, v in groups.items()
     }

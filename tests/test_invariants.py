@@ -9,18 +9,23 @@ from conftest import table_dir
 from footfall.operators import experiment, funnel, retention
 from footfall.operators.users import user_facts
 from footfall.plans import analyses, bindings
+from footfall.sources import written_table
 
 
 @pytest.fixture(scope="module")
-def order_log(spark):
+def order_log(spark, tmp_path_factory):
     tables = bindings.order_history(spark, table_dir("0.01"))
-    return tables, analyses.written_table(user_facts(tables.events), "facts")
+    return tables, written_table(
+        user_facts(tables.events), "facts", str(tmp_path_factory.mktemp("orders"))
+    )
 
 
 @pytest.fixture(scope="module")
-def click_facts(spark):
+def click_facts(spark, tmp_path_factory):
     events = bindings.clickstream(spark, table_dir("0.01"))
-    return events, analyses.written_table(user_facts(events), "facts")
+    return events, written_table(
+        user_facts(events), "facts", str(tmp_path_factory.mktemp("clicks"))
+    )
 
 
 def test_segments_and_variants_cover_the_cart_users(order_log):

@@ -105,8 +105,43 @@ def test_hot_product_is_split_at_run_time(events, spark):
     assert users == carts.select("user_id").distinct().count()
 
 
+def test_building_a_query_runs_nothing(spark):
+    """Neither a job nor a written table."""
+    tracker = spark.sparkContext.statusTracker()
+    spark.sparkContext.setJobGroup("building", "building")
+    try:
+        for query in registry.library_queries().values():
+            query(spark, table_dir("0.001"))
+        assert not tracker.getJobIdsForGroup("building")
+        spark.range(1).collect()
+        assert tracker.getJobIdsForGroup("building")  # a job would have been seen
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+def test_attribute_join_adds_no_shuffle(events, spark):
+    users = spark.range(997).selectExpr("concat('u', id) AS user_id", "'A' AS gender")
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "-1")
+    try:
+        text = plan(segments.segment_by_attribute(user_flags(events), users))
+    finally:
+        spark.conf.set(key, before)
+    # users' flags, users' values, and the segments
+    assert len(exchanges(text)) == 3
+
+
+def test_readout_computes_the_facts_once(events):
+    results = experiment.ab_results(user_facts(events))
+    results.collect()
+    final = plan(results).split("Initial Plan")[0]
+    assert final.count("FileScan") == 1
+    assert final.count("ReusedExchange") >= 2
+
+
 def test_readout_orders_aggregated_rows_only(events, tmp_path, spark):
-    write_artifact(user_facts(events), str(tmp_path), "facts", "parquet", single_file=False)
+    write_artifact(user_facts(events), str(tmp_path), "facts", "parquet")
     facts = spark.read.parquet(f"{tmp_path}/facts")
     results = experiment.ab_results(facts)
     text = plan(results)
@@ -118,8 +153,8 @@ def test_readout_orders_aggregated_rows_only(events, tmp_path, spark):
     assert "ReusedExchange" in plan(results), "the counts are computed once"
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.library_queries()))
 def test_no_query_leaves_the_jvm_or_forms_all_pairs(spark, name):
-    text = plan(registry.queries()[name](spark, table_dir("0.001")))
+    text = plan(registry.library_queries()[name](spark, table_dir("0.001")))
     for node in ("EvalPython", "InPandas", "InArrow", "CartesianProduct", "NestedLoopJoin"):
         assert node not in text

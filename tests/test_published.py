@@ -9,6 +9,7 @@ import reconstruction
 from footfall.operators import experiment, funnel, reports, retention, segments
 from footfall.operators.users import user_facts, user_flags
 from footfall.plans import analyses
+from footfall.sources import written_table
 from footfall.schema import AB_RESULTS, SEGMENT_CONVERSION
 
 CLOSE = {"rel": 1e-12, "abs": 0.0}
@@ -29,8 +30,8 @@ def log(spark):
 
 
 @pytest.fixture(scope="module")
-def facts(log):
-    return analyses.written_table(user_facts(log[0]), "reconstructed_facts")
+def facts(log, tmp_path_factory):
+    return written_table(user_facts(log[0]), "facts", str(tmp_path_factory.mktemp("reconstructed")))
 
 
 def test_funnel(log):

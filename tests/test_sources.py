@@ -8,6 +8,7 @@ from types import SimpleNamespace
 
 import pytest
 from pyspark.errors import PySparkException
+from pyspark.sql import functions as F
 
 import published as pub
 import reconstruction
@@ -15,7 +16,8 @@ from footfall import schema, sources
 from footfall.operators import quality
 from footfall.plans import analyses, query_library
 from footfall.plans.job import run
-from footfall.sources import tables
+from footfall.operators.funnel import funnel_wide
+from footfall.operators.users import funnel_users, user_facts
 
 HEADER = "event_id,user_id,product_id,event_type,event_timestamp,extra\n"
 
@@ -104,7 +106,8 @@ def test_artifacts(spark, tmp_path):
         again = sources.read_artifact(spark, f"{out}/{fmt}", "funnel_rates", fmt)
         assert again.schema == schema.FUNNEL_RATES
         assert again.collect() == rates.collect()
-    assert len(list((tmp_path / "csv" / "funnel_rates").glob("part-*.csv"))) == 1
+    sources.write_artifact(rates.repartition(2), out, "funnel_rates", single_file=True)
+    assert len(list((tmp_path / "funnel_rates").glob("part-*.csv"))) == 1
 
 
 def test_write_events_by_day(spark, tmp_path):
@@ -140,7 +143,7 @@ def test_views(spark):
 
 def test_written_table_and_work_folder(spark):
     shared = Path(spark.conf.get("spark.checkpoint.dir"))
-    with sources.work_folder(spark) as folder:
+    with sources.work_folder(spark, "/elsewhere") as folder:
         assert Path(folder).is_relative_to(shared)
         table = sources.written_table(spark.range(5), "five", folder)
         assert table.count() == 5
@@ -148,18 +151,86 @@ def test_written_table_and_work_folder(spark):
     assert not Path(folder).exists()
 
 
-class FakeSession:
-    """A session without spark.checkpoint.dir."""
+def test_work_folder_without_a_setting_is_beside_the_results(spark, tmp_path):
+    conf = SimpleNamespace(get=lambda key, default: default)
+    session = SimpleNamespace(conf=conf, sparkContext=spark.sparkContext)
+    with sources.work_folder(session, str(tmp_path)) as folder:
+        assert Path(folder).is_relative_to(tmp_path)
 
-    def __init__(self, master):
-        self.sparkContext = SimpleNamespace(master=master, applicationId="app")
-        self.conf = SimpleNamespace(get=lambda key, default: default)
 
+ROWS = [
+    ("u1 ", 'a "quoted" name, with comma', "x"),
+    (" u1", "two\nlines", "x"),
+    ("u1", "back\\slash\\", "x"),
+    ("", None, "x"),
+]
 
-def test_a_cluster_has_to_name_its_shared_folder():
-    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
-        tables.new_work_folder(FakeSession("yarn"))
-    assert "/footfall/app/" in tables.new_work_folder(FakeSession("local[8]"))
+
+def test_csv_keeps_what_it_is_given(spark, tmp_path):
+    table = spark.createDataFrame(ROWS, schema.ASSIGNMENTS)
+    sources.write_artifact(table, str(tmp_path), "experiment_assignments")
+    back = sources.read_artifact(spark, str(tmp_path), "experiment_assignments")
+    assert sorted(map(tuple, back.collect()), key=str) == sorted(ROWS, key=str)
+
+
+@pytest.mark.parametrize("reader", ["read_users", "read_products", "read_events"])
+def test_quoted_csv(spark, tmp_path, reader):
+    names = {
+        "read_users": "user_id,gender",
+        "read_products": "product_id,category",
+        "read_events": "user_id,product_id,event_type,event_timestamp",
+    }[reader]
+    n = names.count(",") + 1
+    more = ["2024-01-01 00:00:00"] if reader == "read_events" else []
+    cells = ['"12"" pans, steel"', '" two\nlines "', "back\\slash"][: n - len(more)]
+    text = names + "\n" + ",".join([*cells, *more]) + "\n"
+    path = write_text(tmp_path / "t.csv", text)
+    row = tuple(getattr(sources, reader)(spark, path, multi_line=True).first())
+    assert row[: len(cells)] == ('12" pans, steel', " two\nlines ", "back\\slash")[: len(cells)]
+
+
+def test_short_row_fails_whichever_columns_are_read(spark, tmp_path):
+    path = write_text(tmp_path / "users.csv", "user_id,gender,city,zip\nu1,x,a,b\nu2,y\n")
+    with pytest.raises(Exception, match="MALFORMED_CSV_RECORD"):
+        sources.read_users(spark, path).collect()
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_instants_mean_the_same_in_every_session_zone(spark, tmp_path, zone):
+    """Seven days less half an hour, over a change to daylight saving."""
+    key = "spark.sql.session.timeZone"
+    before = spark.conf.get(key)
+    spark.conf.set(key, zone)
+    try:
+        rows = [("u", "cart", "2024-03-08T12:00:00Z"), ("u", "purchase", "2024-03-15T11:30:00Z")]
+        text = spark.createDataFrame(rows, "user_id string, event_type string, event_timestamp string")
+        instants = text.withColumn("event_timestamp", F.col("event_timestamp").cast("timestamp"))
+        for events in (text, instants):
+            found = user_facts(sources.prepare_events(events)).first()
+            assert (found.week1_active, found.purchase_within_7d) == (False, True)
+            assert found.first_cart_ts == datetime(2024, 3, 8, 12)
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_offsets_patterns_and_zones(spark):
+    def read(text, **options):
+        raw = spark.createDataFrame([(text,)], "event_timestamp string")
+        return sources.parse_timestamps(raw, **options).first()[0]
+
+    assert read("2024-01-01 10:00:00+05:00") == datetime(2024, 1, 1, 5)
+    assert read("2024-01-01T10:00:00Z") == datetime(2024, 1, 1, 10)
+    assert read("2024-01-01 10:00:00 Europe/Paris") == datetime(2024, 1, 1, 9)
+    assert read("2024-01-01 10:00:00") == datetime(2024, 1, 1, 10)
+    assert read("2024-01-01") == datetime(2024, 1, 1)
+    assert read("2024-01-01 10:00:00", zone="America/New_York") == datetime(2024, 1, 1, 15)
+    assert read("01/02/2024 10:00", pattern="dd/MM/yyyy HH:mm") == datetime(2024, 2, 1, 10)
+    assert read("01/02/2024 10:00 +0200", pattern="dd/MM/yyyy HH:mm xx") == datetime(2024, 2, 1, 8)
+    raw = spark.createDataFrame(
+        [("2024-01-01 10:00:00Z",), ("2024-01-01 10:00",), ("junk",), (None,)], "event_timestamp string"
+    )
+    assert tuple(quality.timestamp_forms(raw).first()) == (1, 1)
+    assert tuple(quality.bad_timestamps(raw).first()) == (4, 1, 1)
 
 
 def csv_inputs(folder):
@@ -229,7 +300,7 @@ def test_query_library_conventions(spark, job_output):
     events = sources.read_events(spark, f"{in_dir}/events.csv")
     users = sources.read_users(spark, f"{in_dir}/users.csv")
     products = sources.read_products(spark, f"{in_dir}/products.csv")
-    dropoff = query_library.funnel_dropoff(events).first().asDict()
+    dropoff = funnel_wide(funnel_users(events)).first().asDict()
     assert dropoff["view_users"] == pub.STAGES["view"]
     assert dropoff["cart_to_purchase_conversion_strict"] == pytest.approx(2313 / 6994)
     daily = query_library.cohort_retention_week1(events)
