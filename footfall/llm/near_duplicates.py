@@ -10,11 +10,13 @@ moved passages that is the Jaccard similarity of the shingles.
   agrees. Longer documents are sampled by six shingles and forty functions, short ones by
   two and twenty; lengths near the limit take both, so that no pair falls between. At a
   similarity of 0.8 a pair is missed with a probability of about one in 100,000.
-* In each bucket all nodes are aligned with the bucket's first, so that a group of thousands
-  of copies costs thousands of alignments and not millions.
+* In each bucket all nodes are aligned with one, so that a group of thousands of copies costs
+  thousands of alignments and not millions. It is the node that shares buckets with most
+  others: the original, where a group has one, to which its copies are nearer than to each
+  other.
 * Where a bucket then still holds more than one connected component, links across them are
-  found exactly. In any one order of all shingles, similar documents share one of their
-  first n - ceil(0.8 n) + 1. With rare shingles first, documents that have no more than a
+  found exactly. In any one order of all shingles, similar documents share three of their
+  first n - ceil(0.8 n) + 3. With rare shingles first, documents that have no more than a
   common passage share none of these, and only the others are aligned.
 * Components are labelled by joins, with pointer jumping.
 
@@ -25,7 +27,7 @@ shared folder.
 from __future__ import annotations
 
 import re
-from collections import OrderedDict
+from collections import Counter, OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +38,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from footfall.llm.tables import small_batches, written
 
 SHINGLE, SIMILARITY = 5, 0.8
+#: So many of the first shingles are shared by any similar pair.
+FIRST = 3
 #: Sampled shingles and hash functions: from ``LONG_FROM`` shingles on, and up to ``SHORT_TO``.
 #: SHORT_TO * SIMILARITY >= LONG_FROM: a similar pair has one of the two in common.
 LONG, LONG_FROM = (6, 40), 16
@@ -159,10 +163,22 @@ def aligned(a: list[int], b: list[int], least: float) -> int:
     return same + (high - low) - row.bit_count()
 
 
+def _shared(a: list[int], b: list[int]) -> int:
+    """No alignment has more in common than this: equal shingles, wherever they are."""
+    once, other = set(a), set(b)
+    both = len(once & other)
+    if len(once) == len(a) or len(other) == len(b):
+        return both  # one of them has no repeats
+    return (Counter(a) & Counter(b)).total()
+
+
 def similarity(a: list[int], b: list[int], least: float = SIMILARITY) -> float:
-    """Aligned shingles over the union; 0 if the lengths alone rule ``least`` out."""
+    """Aligned shingles over the union; 0 if lengths or equal shingles rule ``least`` out."""
     if not a or not b or min(len(a), len(b)) < least * max(len(a), len(b)):
         return 0.0
+    most = _shared(a, b)
+    if most < least * (len(a) + len(b) - most):
+        return 0.0
     common = aligned(a, b, least)
     return common / (len(a) + len(b) - common)
 
@@ -181,28 +197,26 @@ def _name(doc_id: Column) -> Column:
 
 
 def sketches(documents: DataFrame) -> DataFrame:
-    """doc_id, _key, _n (shingles) and _buckets of every row."""
+    """doc_id, _key and _buckets of every row."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = _Hashes()
         for batch in small_batches(batches, "text"):
-            sizes, keys = [], []
+            keys = []
             for text in batch.column("text").to_pylist():
                 found = shingle_hashes(text or "", hashes)
-                sizes.append(len(found))
                 keys.append(np.concatenate(sketch(found)).view(np.int64))
             yield pa.RecordBatch.from_arrays(
                 [
                     *(batch.column(c) for c in ("doc_id", "_key")),
-                    pa.array(sizes, pa.int32()),
                     pa.array(keys, pa.list_(pa.int64())),
                 ],
-                ["doc_id", "_key", "_n", "_buckets"],
+                ["doc_id", "_key", "_buckets"],
             )
 
     given = documents.select("doc_id", "text", text_key(F.col("text")).alias("_key"))
     kind = given.schema["doc_id"].dataType.simpleString()
-    return given.mapInArrow(rows, f"doc_id {kind}, _key binary, _n int, _buckets array<bigint>")
+    return given.mapInArrow(rows, f"doc_id {kind}, _key binary, _buckets array<bigint>")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -270,8 +284,10 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def across_components(texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different _label that may be similar, with their labels.
 
-    ``texts`` has _key, _label and _text. A pair shares a shingle of both nodes' first
-    n - ceil(0.8 n) + 1 in the order of (how often it occurs, hash).
+    ``texts`` has _key, _label and _text. A similar pair has at least ceil(0.8 n) shingles in
+    common, n being the larger number. So it shares three of both nodes' first
+    n - ceil(0.8 n) + 3 in the order of (how often a shingle occurs, hash), or all that it
+    has to share if that is less.
     """
     sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
@@ -285,7 +301,7 @@ def across_components(texts: DataFrame) -> DataFrame:
                 at = np.minimum(np.searchsorted(often, shingles), max(0, len(often) - 1))
                 known = often[at] == shingles if len(often) else np.zeros(n, bool)
                 rank = np.where(known, counts[at], 0) if len(often) else np.zeros(n, np.int64)
-                used = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1 if n else 0
+                used = n - int(np.ceil(SIMILARITY * n - 1e-9)) + FIRST if n else 0
                 chosen = shingles[np.argsort(rank, kind="stable")[:used]]
                 first.append(chosen.view(np.int64))
                 owners.append(np.full(len(chosen), i))
@@ -315,7 +331,9 @@ def across_components(texts: DataFrame) -> DataFrame:
     near = F.least("_na", "_nb") >= SIMILARITY * F.greatest("_na", "_nb")
     apart = (F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb"))
     pairs = side("a").join(side("b"), "_shingle").where(apart & near)
-    return pairs.select("a", "b", "_la", "_lb").distinct()
+    least = F.least(F.lit(FIRST), F.ceil(SIMILARITY * F.greatest("_na", "_nb") - 1e-9))
+    enough = pairs.groupBy("a", "b", "_la", "_lb", least.alias("_least")).agg(F.count("*").alias("_shared"))
+    return enough.where("_shared >= _least").select("a", "b", "_la", "_lb")
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
@@ -355,14 +373,16 @@ def classes(documents: DataFrame) -> DataFrame:
     drawn = written(sketches(documents.select("doc_id", "text")), "sketches")
     nodes = written(
         drawn.groupBy("_key").agg(
-            F.min("doc_id").alias("_id"), F.first("_n").alias("_n"), F.first("_buckets").alias("_buckets")
+            F.min("doc_id").alias("_id"), F.first("_buckets").alias("_buckets")
         ),
         "nodes",
     )
-    met = nodes.select("_key", "_n", F.explode("_buckets").alias("_bucket"))
-    shared = met.groupBy("_bucket").agg(F.min("_key").alias("_first"), F.count("*").alias("_of"))
-    shared = shared.where("_of > 1").select("_bucket", "_first")
-    met = written(met.join(shared, "_bucket"), "buckets")  # only buckets of two and more
+    met = nodes.select("_key", F.explode("_buckets").alias("_bucket"))
+    shared = met.groupBy("_bucket").agg(F.count("*").alias("_of")).where("_of > 1")
+    met = written(met.join(shared, "_bucket"), "shared")  # only buckets of two and more
+    known = met.join(met.groupBy("_key").agg(F.sum("_of").alias("_met")), "_key")
+    most = known.groupBy("_bucket").agg(F.max(F.struct("_met", "_key"))["_key"].alias("_first"))
+    met = written(met.select("_bucket", "_key").join(most, "_bucket"), "buckets")
     first = (
         met.where(F.col("_key") != F.col("_first"))
         .select(F.col("_first").alias("a"), F.col("_key").alias("b"))
