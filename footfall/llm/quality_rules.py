@@ -173,8 +173,8 @@ def judged(measured: DataFrame, reference: DataFrame) -> DataFrame:
     shown = joined.select(
         "_row",
         *(F.col(f"_f.{c}").alias(c) for c in COUNTS),
-        distance(F.col("_f.classes"), F.col("_classes")).alias("class_distance"),
-        distance(words, F.col("_words")).alias("word_distance"),
+        F.round(distance(F.col("_f.classes"), F.col("_classes")), 9).alias("class_distance"),
+        F.round(distance(words, F.col("_words")), 9).alias("word_distance"),
     )
     few = F.col("n_words") < MIN_WORDS
     repeats = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
@@ -218,3 +218,65 @@ def kept_documents(documents: DataFrame, text: str = "text", lang: str = "lang")
     measured = written(features(documents, text, lang), "rules")
     shown = judged(measured, written(references(measured), "references"))
     return shown.where("kept").select("_row.*")
+
+
+def _oracle() -> str:
+    space = r"[\x20\x09-\x0D]"
+    lists = " ".join(f"WHEN '{k}' THEN {words}" for k, words in COMMON_WORDS.items())
+    classes = ", ".join(
+        f"length(regexp_replace(t, '[^{_inside(c).replace(chr(39), chr(39) * 2)}]+', '', 'g'))"
+        for c in CHARACTER_CLASSES
+    )
+
+    def js(a: str, b: str, n: int) -> str:
+        def part(p: str, q: str) -> str:
+            return f"CASE WHEN {p} > 0 THEN {p} * log2({p} / (({p} + {q}) / 2)) ELSE 0 END"
+
+        p, q = f"({a}[i] / list_sum({a}))", f"({b}[i] / list_sum({b}))"
+        total = f"list_sum(list_transform(range(1, {n + 1}), lambda i: {part(p, q)} + {part(q, p)}))"
+        return (
+            f"CASE WHEN list_sum({a}) > 0 AND list_sum({b}) > 0"
+            f" THEN round(sqrt(greatest({total} / 2, 0)), 9) END"
+        )
+
+    n_classes, n_words = len(CLASS_NAMES), BINS + 1
+    sums = ", ".join(f"sum(classes[{i}])::DOUBLE" for i in range(1, n_classes + 1))
+    word_sums = ", ".join(f"sum(listed[{i}])::DOUBLE" for i in range(1, n_words + 1))
+    return f"""
+WITH given AS (SELECT doc_id, coalesce(lang, '') AS lang, coalesce(text, '') AS t FROM documents),
+split AS (SELECT *, list_filter(regexp_split_to_array(t, '{space}+'), lambda x: x <> '') AS w,
+  list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^{space[1:]}')) AS lines
+  FROM given),
+triples AS (SELECT doc_id, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS x
+            FROM split, unnest(range(1, len(w) - 1)) AS r(i)),
+again AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, x) AS n FROM triples)
+          WHERE n > 1),
+covered AS (SELECT doc_id, count(DISTINCT i + k) AS n FROM again, range(0, 3) AS r(k) GROUP BY doc_id),
+counted AS (SELECT split.doc_id, lang, len(w) AS n_words, length(array_to_string(w, '')) AS word_chars,
+  length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g')) AS n_symbols,
+  len(lines) - len(list_distinct(lines)) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words,
+  length(t) AS chars, [{classes}] AS kinds,
+  list_transform(CASE lang {lists} END, lambda c: len(list_filter(w, lambda x: x = c))) AS common
+  FROM split LEFT JOIN covered USING (doc_id)),
+measured AS (SELECT *,
+  list_transform(list_concat(kinds, [chars - word_chars, word_chars - list_sum(kinds)::BIGINT]),
+                 lambda x: x::DOUBLE) AS classes,
+  list_transform(list_concat(common, [n_words - list_sum(common)::BIGINT]), lambda x: x::DOUBLE) AS listed
+  FROM counted),
+reference AS (SELECT lang, [{sums}] AS all_classes,
+  CASE WHEN sum(listed[1]) IS NOT NULL THEN [{word_sums}] END AS all_words FROM measured GROUP BY lang),
+far AS (SELECT measured.*, {js("classes", "all_classes", n_classes)} AS class_distance,
+  CASE WHEN common IS NOT NULL THEN {js("listed", "all_words", n_words)} END AS word_distance
+  FROM measured JOIN reference USING (lang)),
+judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words
+  AS base_failed FROM far)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
+  word_distance, base_failed,
+  NOT base_failed AND NOT (n_words >= {GUARD_WORDS} AND (
+    coalesce(class_distance, 0) > {MAX_CLASS_DISTANCE} + {CLASS_MARGIN} / sqrt(n_words)
+    OR coalesce(word_distance, 0) > {MAX_WORD_DISTANCE} + {WORD_MARGIN} / sqrt(n_words))) AS kept
+FROM judged"""
+
+
+#: The same rows, from lists.
+ORACLE_SQL = _oracle()

@@ -92,5 +92,6 @@ def queries() -> dict[str, Query]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op4_url_filter": url_filter.ORACLE_SQL,
+        "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op9_decontamination": decontamination.ORACLE_SQL,
     }
