@@ -110,6 +110,8 @@ def fold_merges(tokens: Column, shifts: Column, entries: Column, size: int) -> C
     2**17 and more stand for a pair that doesn't merge.
     """
 
+    gone = F.lit(-1).cast("bigint")
+
     def rank(left: Column, right: Column) -> Column:
         key = F.shiftleft(left, _BITS).bitwiseOR(right)
         place = (key + F.get(shifts, (key % F.lit(_BUCKETS)).cast("int"))) % F.lit(size)
@@ -121,12 +123,18 @@ def fold_merges(tokens: Column, shifts: Column, entries: Column, size: int) -> C
         return F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
     def step(now: Column, _: Column) -> Column:
-        ids, lowest = now["ids"], F.array_min(now["ranks"])
-        at = F.array_position(now["ranks"], lowest).cast("int")
-        merged = F.concat(
-            F.slice(ids, F.lit(1), at - 1), F.array(lowest), F.slice(ids, at + 2, F.size(ids))
-        )
-        return F.when(lowest < F.lit(_LIMIT), _bind(merged, state)).otherwise(now)
+        ids, ranks = now["ids"], now["ranks"]
+        lowest = F.array_min(ranks)
+
+        def merged(at: Column) -> Column:
+            """The pair's left token becomes the new one, its right token goes."""
+            marked = F.transform(
+                ids, lambda x, i: F.when(i == at, gone).when(i == at - 1, F.get(ranks, i)).otherwise(x)
+            )
+            return F.array_remove(marked, gone)
+
+        found = _bind(F.array_position(ranks, lowest).cast("int"), merged)
+        return F.when(lowest < F.lit(_LIMIT), _bind(found, state)).otherwise(now)
 
     # A word of n bytes has n - 1 merges at most. Longer ones come merged.
     steps = F.slice(tokens, F.lit(2), F.size(tokens))
@@ -162,6 +170,18 @@ def merge_long(tokens: list[int], pairs: dict[tuple[int, int], int]) -> list[int
 # --- the two Arrow passes -----------------------------------------------------------
 
 
+class _Numbers(dict):
+    """Numbers of words in order of their first appearance; ``told`` are the new ones."""
+
+    def __init__(self):
+        self.told: list[str] = []
+
+    def __missing__(self, word: str) -> int:
+        self.told.append(word)
+        n = self[word] = len(self)
+        return n
+
+
 def _number_words(text: str, pattern: str, ranks: dict[bytes, int], max_words: int):
     """Replace the text by the numbers of its words; new words come as byte tokens."""
 
@@ -169,30 +189,28 @@ def _number_words(text: str, pattern: str, ranks: dict[bytes, int], max_words: i
         find = regex.compile(pattern).findall
         of_byte = [ranks[bytes([b])] for b in range(256)]
         pairs: dict[tuple[int, int], int] = {}
-        numbers: dict[str, int] = {}
+        numbers = _Numbers()
         for batch in small_batches(batches, text):
             found, new, fresh = [], [], []
             for value in batch.column(text).to_pylist():
                 words = find(value or "")
                 fresh.append(len(numbers) >= max_words)
                 if fresh[-1]:
-                    numbers.clear()
-                told = []
-                for word in dict.fromkeys(words):
-                    if word not in numbers:
-                        numbers[word] = len(numbers)
-                        told.append([of_byte[b] for b in word.encode()])
-                        if len(told[-1]) > FOLD_BYTES:
-                            pairs = pairs or pair_ranks(ranks)
-                            told[-1] = merge_long(told[-1], pairs)
-                found.append([numbers[word] for word in words])
-                new.append(told)
+                    numbers = _Numbers()
+                found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
+                new.append([[of_byte[b] for b in word.encode()] for word in numbers.told])
+                numbers.told = []
+                for i, tokens in enumerate(new[-1]):
+                    if len(tokens) > FOLD_BYTES:
+                        pairs = pairs or pair_ranks(ranks)
+                        new[-1][i] = merge_long(tokens, pairs)
+            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             columns = [batch.column(n) for n in batch.schema.names if n != text]
             names = [n for n in batch.schema.names if n != text]
             yield pa.RecordBatch.from_arrays(
                 [
                     *columns,
-                    pa.array(found, pa.list_(pa.int32())),
+                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
                     pa.array(new, pa.list_(pa.list_(pa.int64()))),
                     pa.array(fresh, pa.bool_()),
                 ],
