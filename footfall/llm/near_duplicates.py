@@ -15,9 +15,10 @@ moved passages that is the Jaccard similarity of the shingles.
   others: the original, where a group has one, to which its copies are nearer than to each
   other.
 * Where a bucket then still holds more than one connected component, links across them are
-  found exactly. In any one order of all shingles, similar documents share three of their
-  first n - ceil(0.8 n) + 3. With rare shingles first, documents that have no more than a
-  common passage share none of these, and only the others are aligned.
+  found exactly. A similar pair has at least k = ceil(4/9 (n + m)) of its n and m shingles in
+  common. So, in any one order of all shingles, it shares one of the first n - k + 1 of the
+  one and m - k + 1 of the other. With rare shingles first, these are a document's own:
+  neither those with a common passage nor distant copies of one original meet in them.
 * Components are labelled by joins, with pointer jumping.
 
 Texts move only for nodes that share a bucket with another. Intermediate tables are in the
@@ -38,8 +39,6 @@ from pyspark.sql import Column, DataFrame, functions as F
 from footfall.llm.tables import small_batches, written
 
 SHINGLE, SIMILARITY = 5, 0.8
-#: So many of the first shingles are shared by any similar pair.
-FIRST = 3
 #: Sampled shingles and hash functions: from ``LONG_FROM`` shingles on, and up to ``SHORT_TO``.
 #: SHORT_TO * SIMILARITY >= LONG_FROM: a similar pair has one of the two in common.
 LONG, LONG_FROM = (6, 40), 16
@@ -284,40 +283,41 @@ def frequent_shingles(texts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 def across_components(texts: DataFrame) -> DataFrame:
     """Pairs (a, b) of nodes of different _label that may be similar, with their labels.
 
-    ``texts`` has _key, _label and _text. A similar pair has at least ceil(0.8 n) shingles in
-    common, n being the larger number. So it shares three of both nodes' first
-    n - ceil(0.8 n) + 3 in the order of (how often a shingle occurs, hash), or all that it
-    has to share if that is less.
+    ``texts`` has _key, _label and _text. The order is (how often a shingle occurs, hash). A
+    partner has 0.8 n shingles at least, so that no more than the first n - ceil(0.8 n) + 1
+    can matter; which of them do for a pair follows from both numbers.
     """
     sent = texts.sparkSession.sparkContext.broadcast(frequent_shingles(texts))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, (often, counts) = _Hashes(), sent.value
         for batch in small_batches(batches, "_text"):
-            owners, sizes, first = [], [], []
+            owners, sizes, places, first = [], [], [], []
             for i, text in enumerate(batch.column("_text").to_pylist()):
                 shingles = np.sort(labelled(shingle_hashes(text, hashes)))
                 n = len(shingles)
                 at = np.minimum(np.searchsorted(often, shingles), max(0, len(often) - 1))
                 known = often[at] == shingles if len(often) else np.zeros(n, bool)
                 rank = np.where(known, counts[at], 0) if len(often) else np.zeros(n, np.int64)
-                used = n - int(np.ceil(SIMILARITY * n - 1e-9)) + FIRST if n else 0
+                used = n - int(np.ceil(SIMILARITY * n - 1e-9)) + 1 if n else 0
                 chosen = shingles[np.argsort(rank, kind="stable")[:used]]
                 first.append(chosen.view(np.int64))
                 owners.append(np.full(len(chosen), i))
                 sizes.append(np.full(len(chosen), n, np.int32))
+                places.append(np.arange(len(chosen), dtype=np.int32))
             owner = pa.array(np.concatenate(owners))
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("_key").take(owner),
                     batch.column("_label").take(owner),
                     pa.array(np.concatenate(sizes)),
+                    pa.array(np.concatenate(places)),
                     pa.array(np.concatenate(first)),
                 ],
-                ["_key", "_label", "_n", "_shingle"],
+                ["_key", "_label", "_n", "_p", "_shingle"],
             )
 
-    kinds = "_key binary, _label binary, _n int, _shingle bigint"
+    kinds = "_key binary, _label binary, _n int, _p int, _shingle bigint"
     firsts = written(texts.select("_key", "_label", "_text").mapInArrow(rows, kinds), "firsts")
     mixed = firsts.groupBy("_shingle").agg(
         F.min("_label").alias("_low"), F.max("_label").alias("_high")
@@ -325,15 +325,15 @@ def across_components(texts: DataFrame) -> DataFrame:
     firsts = firsts.join(mixed.where("_low <> _high").select("_shingle"), "_shingle")
 
     def side(key: str) -> DataFrame:
-        named = {"_key": key, "_label": f"_l{key}", "_n": f"_n{key}"}
+        named = {"_key": key, "_label": f"_l{key}", "_n": f"_n{key}", "_p": f"_p{key}"}
         return firsts.withColumnsRenamed(named)
 
     near = F.least("_na", "_nb") >= SIMILARITY * F.greatest("_na", "_nb")
     apart = (F.col("a") < F.col("b")) & (F.col("_la") != F.col("_lb"))
-    pairs = side("a").join(side("b"), "_shingle").where(apart & near)
-    least = F.least(F.lit(FIRST), F.ceil(SIMILARITY * F.greatest("_na", "_nb") - 1e-9))
-    enough = pairs.groupBy("a", "b", "_la", "_lb", least.alias("_least")).agg(F.count("*").alias("_shared"))
-    return enough.where("_shared >= _least").select("a", "b", "_la", "_lb")
+    common = F.ceil(SIMILARITY / (1 + SIMILARITY) * (F.col("_na") + F.col("_nb")) - 1e-9)
+    early = (F.col("_pa") <= F.col("_na") - common) & (F.col("_pb") <= F.col("_nb") - common)
+    pairs = side("a").join(side("b"), "_shingle").where(apart & near & early)
+    return pairs.select("a", "b", "_la", "_lb").distinct()
 
 
 def components(edges: DataFrame, name: str = "components") -> DataFrame:
