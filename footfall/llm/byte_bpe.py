@@ -190,7 +190,7 @@ def _number_words(text: str, pattern: str, ranks: dict[bytes, int], max_words: i
         of_byte = [ranks[bytes([b])] for b in range(256)]
         pairs: dict[tuple[int, int], int] = {}
         numbers = _Numbers()
-        for batch in small_batches(batches, text):
+        for batch in small_batches(batches, text, 1 << 20):
             found, new, fresh = [], [], []
             for value in batch.column(text).to_pylist():
                 words = find(value or "")
