@@ -35,8 +35,9 @@ from footfall.llm.tables import small_batches, written
 EXCHANGED, RARE = 32, 7
 CLASSES = EXCHANGED + RARE + 1
 END = CLASSES - 1
-#: A frequent word has one of so many tokens, and is not longer than this.
-SHARE, FREQUENT_BYTES = 1 << 20, 64
+#: A frequent word has one of so many tokens, and so many at least, as fewer tell little of
+#: its contexts; and it is not longer than this.
+SHARE, LEAST, FREQUENT_BYTES = 1 << 20, 5, 64
 ROUNDS, SWEEPS = 2, 4
 #: Added to each rare word's count, and the weight of a class's own share.
 ADDED, PRIOR = 0.5, 20.0
@@ -308,7 +309,8 @@ def trained(training: DataFrame, counts: DataFrame, rounds: int = ROUNDS, sweeps
     totals = counts.agg(F.sum("n").alias("n"), F.count("*").alias("v")).first()
     n, v = totals["n"] or 0, totals["v"]
     divisor = n + v + 1
-    enough = (F.col("n") * SHARE >= n) & (F.octet_length("word") <= FREQUENT_BYTES)
+    often = (F.col("n") * SHARE >= n) & (F.col("n") >= LEAST)
+    enough = often & (F.octet_length("word") <= FREQUENT_BYTES)
     frequent = counts.where(F.col("word").isNotNull() & enough)
     # at most SHARE rows, of at most FREQUENT_BYTES each
     rows = frequent.orderBy(F.desc("n"), "word").select("word", "n").toArrow()
