@@ -1,107 +1,122 @@
 """Shards of equal row counts that cut few links: balanced label propagation.
 
 Documents that share a key are linked; here the key is the text, so that copies are linked.
-Each document starts in the shard that its hash names. In each round the links' histograms
-over shards are counted, joined to their documents, and each document wishes for the shard
-where most of its neighbours are. All members of a group see the same histogram and the same
-order of ties, so that they wish alike and groups don't chase each other. Capacity quotas
-limit how many may enter a shard; who enters is drawn by group, not by document.
+Each document starts in the shard that its hash names. A group of copies wishes for the
+shard where most of it is, among those with room for all of it. All its members see the
+same histogram and the same order of ties, so they move together and groups don't chase
+each other. Capacity quotas limit how much may enter a shard.
 
-A group larger than half a shard can't stay whole under the quotas. It is cut by
-hash into parts of at most that size, which also keeps any join key small.
+Groups above 1/64 of a shard are placed first, the largest before the others; there are
+fewer than 64 times the shards of them, so they are placed one by one. Rounds follow for
+the others: who enters is drawn by group, with a share that the shard's room allows. They
+are repeated until all are placed; the last few are placed one by one again.
+
+Only a group that no shard has room for is cut, into the fewest shards, of which it fills all
+but the last. All its parts are placed from one histogram. ``cut_links`` tells what was cut.
 
 At the end the law ``rows`` holds exactly: shard sizes differ by one document at most.
 Documents are numbered within their shard, linked ones first; the numbers beyond a shard's
-size go to the shards with room. Only counts per shard, 16 x 16 at most, reach the driver.
-Built-in expressions only; texts are read once and not shuffled.
+size go to the shards with room. Only counts per shard and histograms of at most 64 groups
+per shard reach the driver. Built-in expressions only; texts are read once and not shuffled.
 """
 
 from __future__ import annotations
 
+import itertools
+
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.llm.tables import written
 
-SHARDS, ROUNDS = 16, 4
+SHARDS = 16
+#: Groups above this part of a shard are placed one by one, and so are the last of the others.
+SINGLE = 64
+#: The share of its room that a shard gives away in a round, if more wish to enter.
+FILL = 0.9
 #: Parts of a shard that are numbered independently.
 PARTS = 256
 #: The law of the result.
 LAW = "rows"
 
 
-def rows_of(documents: DataFrame) -> DataFrame:
-    """doc_id, size, text_crc32, _text (a digest; NULL for none) and _hash of every row."""
+def rows_of(documents: DataFrame, shards: int) -> DataFrame:
+    """doc_id, size, text_crc32, _text (a digest; NULL for none), _hash and first shard."""
     text = F.col("text")
     size = F.coalesce(F.octet_length(text), F.lit(0)).cast("bigint") + 1
     digest = F.unhex(F.md5(text))
+    row_hash = F.xxhash64(F.col("doc_id"), digest)
     return documents.select(
         "doc_id",
         size.alias("size"),
         F.crc32(F.coalesce(text, F.lit(""))).cast("bigint").alias("text_crc32"),
         digest.alias("_text"),
-        F.xxhash64(F.col("doc_id"), digest).alias("_hash"),
+        row_hash.alias("_hash"),
+        F.pmod(F.xxhash64(row_hash, F.lit("start")), F.lit(shards)).cast("int").alias("shard"),
     )
 
 
-def _part(total: int, shards: int) -> int:
-    """The most rows of a group that stay together."""
-    return max(1, total // (2 * shards))
-
-
-def linked_rows(rows: DataFrame, total: int, shards: int) -> DataFrame:
-    """``rows`` with _group: a number for each part of a group of copies; NULL if alone."""
-    part = _part(total, shards)
-    counts = rows.where(F.col("_text").isNotNull()).groupBy("_text").agg(F.count("*").alias("_n"))
-    counts = written(counts.where("_n > 1"), "groups")
-    joined = rows.join(counts, "_text", "left")
-    parts = F.ceil(F.col("_n") / part)
-    group = F.xxhash64("_text", F.pmod("_hash", parts))
-    return joined.select(
-        *rows.columns, F.when(F.col("_n").isNotNull(), group).alias("_group")
-    )
+def groups_of(rows: DataFrame, shards: int) -> DataFrame:
+    """_text, _n (rows) and _held (rows by shard) of every text that is there repeatedly."""
+    held = [F.count(F.when(F.col("shard") == s, 1)) for s in range(shards)]
+    counts = rows.where(F.col("_text").isNotNull()).groupBy("_text")
+    return counts.agg(F.count("*").alias("_n"), F.array(*held).alias("_held")).where("_n > 1")
 
 
-def wishes(linked: DataFrame, shards: int, full: set[int]) -> DataFrame:
-    """``linked`` with _wish: the shard that most of the group is in.
+def place(groups: list, used: list[int], total: int) -> list[tuple[bytes, list[tuple[int, int]]]]:
+    """For each group its parts (first number, shard); fills up ``used``, the largest first.
 
-    A full shard is wished for only by a group that has more than half of itself there.
+    A group goes where most of it is, if there is room. One that fits nowhere fills the
+    shard with the most room, and so on until its rest fits.
     """
-
-    def weight(s: int) -> Column:
-        n = F.count(F.when(F.col("shard") == s, 1))
-        return F.when(2 * n > F.count("*"), n).otherwise(-1) if s in full else n
-
-    counts = linked.groupBy("_group").agg(
-        F.array(
-            *(
+    shards = len(used)
+    floor, left = divmod(total, shards)
+
+    def room(s: int) -> int:
+        larger = sum(n > floor for i, n in enumerate(used) if i != s)
+        return floor + (larger < left) - used[s]
+
+    plan = []
+    for g in sorted(groups, key=lambda g: (-g["_n"], bytes(g["_text"]))):
+        parts, begin = [], 0
+        while begin < g["_n"]:
+            rest, rooms = g["_n"] - begin, [room(s) for s in range(shards)]
+            fits = [s for s in range(shards) if rooms[s] >= rest]
+            if fits:
+                s = max(fits, key=lambda s: (g["_held"][s], -rooms[s], -s))
+            else:
+                s = max(range(shards), key=lambda s: (rooms[s], g["_held"][s], -s))
+                if rooms[s] <= 0:  # only after more was drawn than there was room
+                    rooms[s] = rest
+            parts.append((begin, s))
+            used[s] += min(rest, rooms[s])
+            begin += min(rest, rooms[s])
+        plan.append((bytes(g["_text"]), parts))
+    return plan
+
+
+def wishes(groups: DataFrame, rooms: list[int]) -> DataFrame:
+    """``groups`` with _wish: the shard that most of the group is in, of those with room."""
+    options = F.array(
+        *(
+            F.when(
+                F.col("_n") <= room,
                 F.struct(
-                    weight(s).alias("n"),
-                    F.xxhash64("_group", F.lit(s)).alias("tie"),
+                    F.get("_held", F.lit(s)).alias("n"),
+                    F.xxhash64("_text", F.lit(s)).alias("tie"),
                     F.lit(s).alias("shard"),
-                )
-                for s in range(shards)
+                ),
             )
-        ).alias("_counts")
+            for s, room in enumerate(rooms)
+        )
     )
-    best = counts.select("_group", F.array_max("_counts")["shard"].alias("_wish"))
-    return linked.join(best, "_group")
+    return groups.withColumn("_wish", F.array_max(options)["shard"])
 
 
-def quotas(flows: list, total: int, shards: int) -> list[float]:
-    """For each shard the share of those who wish to enter that may.
-
-    ``flows`` has rows (shard, _wish, n). What is linked and stays, and what enters, must
-    fit a shard; documents without links make room for it.
-    """
-    size = -(-total // shards)
-    stay, enter = [0] * shards, [0] * shards
-    for row in flows:
-        if row["shard"] == row["_wish"]:
-            stay[row["shard"]] += row["n"]
-        else:
-            enter[row["_wish"]] += row["n"]
+def quotas(wanted: dict[int, int], rooms: list[int]) -> list[float]:
+    """For each shard the share of those who wish to enter that may."""
     return [
-        min(1.0, max(0, size - s) / e) if e else 1.0 for s, e in zip(stay, enter, strict=True)
+        1.0 if wanted.get(s, 0) <= room else FILL * room / wanted[s]
+        for s, room in enumerate(rooms)
     ]
 
 
@@ -110,48 +125,104 @@ def _by_shard(of: Column, values: list) -> Column:
     return F.get(F.array(*map(F.lit, values)), of)
 
 
-def propagated(linked: DataFrame, total: int, shards: int, rounds: int) -> DataFrame:
-    """``linked`` after some rounds; each is written, so that a lost executor costs one."""
-    for step in range(rounds):
-        loads = linked.groupBy("shard").agg(F.count("*").alias("n")).collect()
-        full = {r["shard"] for r in loads if r["n"] + _part(total, shards) > total // shards}
-        asked = written(wishes(linked, shards, full), f"wishes-{step}")
-        flows = asked.groupBy("shard", "_wish").agg(F.count("*").alias("n")).collect()
-        if all(row["shard"] == row["_wish"] for row in flows):
-            return asked.drop("_wish")
-        share = _by_shard(F.col("_wish"), quotas(flows, total, shards))
-        drawn = F.pmod(F.xxhash64("_group", F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
-        linked = asked.withColumn(
-            "shard", F.when(drawn < share, F.col("_wish")).otherwise(F.col("shard"))
-        ).drop("_wish")
-    return linked
+def propagated(groups: DataFrame, total: int, shards: int) -> tuple[list, DataFrame | None]:
+    """The plan of the groups placed one by one, and _text and _to of all others.
 
+    Each round is written, so that a lost executor costs one. While more than the last few
+    groups are open, some shard has room for the smallest of them, so that rounds end.
+    """
+    large = F.col("_n") > total // shards // SINGLE
+    used, others = [0] * shards, None
+    plan = place(groups.where(large).collect(), used, total)
+    rest = groups.where(~large)
+    for step in itertools.count():
+        some = rest.limit(SINGLE * shards + 1).collect()
+        if len(some) <= SINGLE * shards:
+            return plan + place(some, used, total), others
+        rooms = [max(0, total // shards - n) for n in used]
+        asked = written(wishes(rest, rooms), f"wishes-{step}")
+        flows = asked.where("_wish IS NOT NULL").groupBy("_wish").agg(F.sum("_n").alias("n"))
+        share = quotas({r["_wish"]: r["n"] for r in flows.collect()}, rooms)
+        drawn = F.pmod(F.xxhash64("_text", F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
+        enters = F.coalesce(drawn < _by_shard(F.col("_wish"), share), F.lit(False))
+        entered = asked.where(enters).select("_text", F.col("_wish").alias("_to"), "_n")
+        for r in entered.groupBy("_to").agg(F.sum("_n").alias("n")).collect():
+            used[r["_to"]] += r["n"]
+        entered = entered.drop("_n")
+        others = entered if others is None else others.unionByName(entered)
+        rest = asked.where(~enters).drop("_wish")
+
+
+def _at(rows: DataFrame, group: list[str], part: Column, order: list[str]) -> DataFrame:
+    """``rows`` with _number: 0, 1, 2, ... in each group, part after part, and _part.
+
+    A group is numbered in parts, and a part's numbers go on where the part before ended.
+    """
+    rows = rows.withColumn("_part", part.cast("int"))
+    sizes = rows.groupBy(*group, "_part").agg(F.count("*").alias("_size"))
+    before = Window.partitionBy(*group).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sizes.select(
+        *group, "_part", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_begin")
+    )
+    own = Window.partitionBy(*group, "_part").orderBy(*order)
+    placed = rows.withColumn("_row", F.row_number().over(own) - 1)
+    return placed.join(begins, [*group, "_part"]).withColumn(
+        "_number", F.col("_begin") + F.col("_row")
+    )
 
-def numbered(labels: DataFrame) -> DataFrame:
-    """``labels`` with _number: 0, 1, 2, ... within a shard, linked documents first.
 
-    A shard is numbered in parts, and a part's numbers go on where the part before ended.
+def moved(rows: DataFrame, plan: list, others: DataFrame | None) -> DataFrame:
+    """``rows`` in their groups' shards, with _order: 0 and 1 for linked rows, 2 for others.
+
+    The plan has fewer than 2 * ``SINGLE`` groups per shard, so it may be broadcast; only
+    small groups go through the other join.
     """
-    part = F.pmod("_hash", F.lit(PARTS)) + F.when(F.col("_group").isNull(), PARTS).otherwise(0)
-    labels = labels.withColumn("_part", part.cast("int"))
-    sizes = labels.groupBy("shard", "_part").agg(F.count("*").alias("_n"))
-    before = Window.partitionBy("shard").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    begins = sizes.select(
-        "shard", "_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin")
+    spark, columns = rows.sparkSession, rows.columns
+    kind = "_text binary, _parts array<struct<begin: bigint, to: int>>"
+    parts = F.broadcast(written(spark.createDataFrame(plan, kind), "plan"))
+    cut, number = F.size("_parts") > 1, F.pmod("_hash", F.lit(PARTS))
+    joined = rows.join(parts, "_text", "left")
+    whole = joined.where(F.col("_parts").isNull() | ~cut)
+    to, order = F.get("_parts", F.lit(0))["to"], F.when(F.col("_parts").isNotNull(), 0)
+    if others is not None:
+        whole = whole.join(others, "_text", "left")
+        to = F.coalesce(to, "_to")
+        order = order.when(F.col("_to").isNotNull(), 1)
+    others_columns = [c for c in columns if c != "shard"]
+    out = whole.select(
+        *others_columns,
+        F.coalesce(to, "shard").alias("shard"),
+        order.otherwise(2).alias("_order"),
     )
-    own = Window.partitionBy("shard", "_part").orderBy("_group", "doc_id", "_hash", "size")
-    placed = labels.withColumn("_at", F.row_number().over(own) - 1)
-    return placed.join(begins, ["shard", "_part"]).withColumn(
-        "_number", F.col("_begin") + F.col("_at")
+    if all(len(p) == 1 for _, p in plan):
+        return out
+    pieces = _at(joined.where(cut), ["_text"], number, ["doc_id", "_hash", "size"])
+    reached = F.filter("_parts", lambda p: p["begin"] <= F.col("_number"))
+    to = F.element_at(reached, -1)["to"]
+    return out.unionByName(
+        pieces.select(*others_columns, to.alias("shard"), F.lit(0).alias("_order"))
     )
 
 
+def numbered(labels: DataFrame) -> DataFrame:
+    """``labels`` with _number: 0, 1, 2, ... within a shard, linked documents first.
+
+    Small groups stay together in the order, so that what is beyond a shard cuts few.
+    """
+    by = F.when(F.col("_order") == 1, F.xxhash64("_text")).otherwise(F.col("_hash"))
+    part = F.pmod(by, F.lit(PARTS)) + F.col("_order") * PARTS
+    return _at(labels, ["shard"], part, ["_text", "doc_id", "_hash", "size"])
+
+
 def balanced(labels: DataFrame, total: int, shards: int) -> DataFrame:
     """``labels`` with their final shard and slot: sizes differ by one at most."""
-    found = {r["shard"]: r["n"] for r in labels.groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    counts = [found.get(s, 0) for s in range(shards)]
-    # The larger shards get the rows that are left over.
-    larger = sorted(range(shards), key=lambda s: (-counts[s], s))[: total % shards]
+    linked = F.count(F.when(F.col("_order") < 2, 1))
+    loads = labels.groupBy("shard").agg(F.count("*").alias("n"), linked.alias("linked")).collect()
+    found = {r["shard"]: (r["linked"], r["n"]) for r in loads}
+    counts = [found.get(s, (0, 0))[1] for s in range(shards)]
+    # The shards with the most linked rows get the rows that are left over.
+    by_load = sorted(range(shards), key=lambda s: (*(-n for n in found.get(s, (0, 0))), s))
+    larger = by_load[: total % shards]
     sizes = [total // shards + (s in larger) for s in range(shards)]
     over, room = [0], [0]
     for n, size in zip(counts, sizes, strict=True):
@@ -163,16 +234,25 @@ def balanced(labels: DataFrame, total: int, shards: int) -> DataFrame:
     beyond = _by_shard(shard, over[:-1]) + number - _by_shard(shard, sizes)
     target = sum(((beyond >= end).cast("int") for end in room[1:]), F.lit(0))
     kept = [min(n, size) for n, size in zip(counts, sizes, strict=True)]
-    moved = numbered(labels).withColumn("_target", F.when(stays, shard).otherwise(target))
+    placed = numbered(labels).withColumn("_target", F.when(stays, shard).otherwise(target))
     slot = F.when(stays, number).otherwise(
         _by_shard(F.col("_target"), kept) + beyond - _by_shard(F.col("_target"), room[:-1])
     )
-    return moved.withColumn("slot", slot.cast("bigint")).withColumn(
+    return placed.withColumn("slot", slot.cast("bigint")).withColumn(
         "shard", F.col("_target").cast("int")
     )
 
 
-def sharded(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
+def assigned(documents: DataFrame, shards: int) -> DataFrame:
+    """``rows_of`` the documents with their final shard and slot."""
+    rows = written(rows_of(documents, shards), "rows")
+    total = rows.count()
+    plan, others = propagated(written(groups_of(rows, shards), "groups"), total, shards)
+    labels = written(moved(rows, plan, others), "labels")
+    return balanced(labels, total, shards)
+
+
+def sharded(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot and grown_shard (NULL) of every row.
 
     ``size`` is the text's UTF-8 bytes plus 1. A NULL text has size 1 and crc 0, and is
@@ -180,17 +260,7 @@ def sharded(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
     and each get a slot. Slots of a shard run from 0 without gaps. An empty table gives no
     rows. Other columns don't matter.
     """
-    rows = written(rows_of(documents), "rows")
-    total = rows.count()
-    start = linked_rows(rows, total, shards).withColumn(
-        "shard", F.pmod(F.xxhash64("_hash", F.lit("start")), F.lit(shards)).cast("int")
-    )
-    start = written(start, "start")
-    moved = propagated(start.where(F.col("_group").isNotNull()), total, shards, rounds)
-    labels = written(
-        start.where(F.col("_group").isNull()).unionByName(moved.select(*start.columns)), "labels"
-    )
-    return balanced(labels, total, shards).select(
+    return assigned(documents, shards).select(
         "doc_id",
         "size",
         "text_crc32",
@@ -199,3 +269,23 @@ def sharded(documents: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) ->
         "slot",
         F.lit(None).cast("int").alias("grown_shard"),
     )
+
+
+def cut_links(documents: DataFrame, shards: int = SHARDS) -> DataFrame:
+    """For each text that lies in several shards: its md5, rows, shards and cut links.
+
+    A link is a pair of copies; it is cut if they are in different shards.
+    """
+    parts = assigned(documents, shards).where(F.col("_text").isNotNull())
+    parts = parts.groupBy("_text", "shard").agg(F.count("*").alias("_n"))
+    n, pairs = F.sum("_n"), F.sum(F.col("_n") * (F.col("_n") - 1))
+    return (
+        parts.groupBy("_text")
+        .agg(
+            n.alias("n_rows"),
+            F.count("*").alias("n_shards"),
+            ((n * (n - 1) - pairs) / 2).cast("bigint").alias("n_cut"),
+        )
+        .where("n_shards > 1")
+        .select(F.lower(F.hex("_text")).alias("text_md5"), "n_rows", "n_shards", "n_cut")
+    )

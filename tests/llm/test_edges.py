@@ -159,6 +159,48 @@ def test_a_group_of_a_third_is_cut_into_few_shards(spark):
     assert sum(n > 0 for n in held) <= 6 and sum(sorted(held)[-4:]) >= 650
 
 
+def copies(spark, sizes, alone=0):
+    rows = [(f"copy {i}",) for i, n in enumerate(sizes) for _ in range(n)]
+    rows += [(f"own {i}",) for i in range(alone)]
+    return spark.createDataFrame([(i, t) for i, (t,) in enumerate(rows)], "doc_id bigint, text string")
+
+
+def held_by(rows, docs):
+    texts, held = {r.doc_id: r.text for r in docs.collect()}, {}
+    for r in rows:
+        held.setdefault(texts[r.doc_id], []).append(r.shard)
+    return held
+
+
+@pytest.mark.parametrize(
+    "sizes, alone, shards, most",
+    [
+        ([1000], 2000, 8, {0: 3}),  # 1000 rows need three shards of 375
+        ([90, 60, 55], 195, 4, {}),  # between half a shard and a whole one
+        ([3, 2, 2], 41, 16, {}),  # shards of three rows
+        ([12, 3], 25, 16, {0: 4}),  # four of the eight shards that hold three rows
+        ([2] * 1200 + [3] * 900, 300, 4, {}),  # rounds, as the groups are small and many
+    ],
+)
+def test_groups_stay_whole_where_they_fit(spark, sizes, alone, shards, most):
+    docs = copies(spark, sizes, alone)
+    rows = sharding.sharded(docs, shards=shards).collect()
+    found = [sum(r.shard == s for r in rows) for s in range(shards)]
+    assert len(rows) == sum(sizes) + alone and max(found) - min(found) <= 1
+    held = held_by(rows, docs)
+    parted = {i: len(set(held[f"copy {i}"])) for i in range(len(sizes))}
+    assert {i: n for i, n in parted.items() if n > 1} == most
+
+
+def test_cut_links_are_told(spark):
+    docs = copies(spark, [10, 2], 4)
+    ((n_rows, n_shards, n_cut),) = (
+        sharding.cut_links(docs, shards=2).select("n_rows", "n_shards", "n_cut").collect()
+    )
+    assert (n_rows, n_shards, n_cut) == (10, 2, 16)  # eight rows and two
+    assert sharding.cut_links(docs.limit(0)).count() == 0
+
+
 # --- language model -----------------------------------------------------------------
 
 
