@@ -22,9 +22,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from footfall.llm.tables import small_batches, written
 
-#: Rated documents to fit on, at most, and characters of each that are looked at. Scoring
-#: looks at whole texts.
-SAMPLE, SAMPLE_CHARS = 12_000, 200_000
+#: Rated documents to fit on, at most. Their texts are taken whole, as in scoring.
+SAMPLE = 12_000
 #: Numbers of hashed words, and after them of hashed shapes.
 BUCKETS, SHAPES = 1 << 18, 1 << 10
 #: A word gets a weight if it is in so many documents of the sample, and in at most this
@@ -156,8 +155,7 @@ def sampled(documents: DataFrame, labels: DataFrame) -> DataFrame:
     ids = grades(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(SAMPLE)
     ids = written(ids.select(F.col("doc_id").alias("_id"), "grade"), "ratings")
     texts = documents.select(
-        F.col("doc_id").alias("_of"),
-        F.substring(F.coalesce("text", F.lit("")), 1, SAMPLE_CHARS).alias("_text"),
+        F.col("doc_id").alias("_of"), F.coalesce("text", F.lit("")).alias("_text")
     )
     return texts.join(F.broadcast(ids), F.col("_of") == F.col("_id")).select("grade", "_text")
 

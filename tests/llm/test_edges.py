@@ -360,6 +360,26 @@ def test_quality_classifier(messy, nothing, labels):
     assert graded == {3: 1, 6: 2}
 
 
+def test_classifier_learns_from_the_ends_of_long_texts(spark, monkeypatch):
+    clean = "word of the text " * 12_000
+    assert len(clean) > 200_000
+    rows = [(i, clean + ("vile" if i % 3 == 0 else "fine")) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame(
+        [(i, 1, int(i % 3 == 0)) for i in range(12)], "doc_id bigint, quality int, toxic int"
+    )
+    fitted = []
+    monkeypatch.setattr(quality_classifier, "fit", lambda found, grades: fitted.append((found, grades)))
+    quality_classifier.trained(docs, labels)
+    ((found, grades),) = fitted
+    vile = quality_classifier._Hashes()["vile"]
+    assert sorted(grades) == [0] * 4 + [2] * 8
+    assert [vile in f for f in found] == [g == 0 for g in grades]
+    # a text teaches the features by which it is scored
+    whole = {tuple(quality_classifier.features(t, quality_classifier._Hashes())) for _, t in rows}
+    assert {tuple(f) for f in found} == whole
+
+
 # --- near duplicates ----------------------------------------------------------------
 
 
