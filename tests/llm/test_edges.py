@@ -227,6 +227,34 @@ def test_probabilities_add_up(messy):
     assert all(x == pytest.approx(1) or x == 0 for x in of[: class_lm.EXCHANGED])
 
 
+def test_a_word_is_exchanged_by_its_own_count(spark, monkeypatch):
+    """Five occurrences suffice, however large the input is and however long the word."""
+    monkeypatch.setattr(class_lm, "BLOCK", 7)  # several blocks
+    filler = "the cat sat on a mat and " * 2000
+    long = "x" * 300
+    texts = [f"{filler} seldom {long} {long}y"] * 5 + ["once twice"] * 4
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    counts = class_lm.word_counts(docs.select(F.col("text").cast("binary").alias("text"))).cache()
+    keys = {bytes(r["_key"]) for r in class_lm.frequent(counts).collect()}
+    expected = {b"the", b"cat", b"sat", b"on", b"a", b"mat", b"and", b"seldom"}
+    assert keys == expected | {class_lm._key(w.encode()) for w in (long, f"{long}y")}
+    read, vocabulary = class_lm.numbered(
+        docs.select("doc_id", F.col("text").cast("binary").alias("text")), counts
+    )
+    rows = {r.doc_id: r for r in read.collect()}
+    assert sorted(vocabulary.seen) == [5] * 3 + [10_000] * 7
+    assert all(rows[i].rest == [] and rows[i].known == 14_003 for i in range(5))
+    assert all([bytes(w) for w in rows[i].rest] == [b"once", b"twice"] for i in range(5, 9))
+    numbers = np.frombuffer(rows[0].numbers, np.int32)
+    assert (numbers[:7] == numbers[7:14]).all() and set(numbers) == set(range(10))
+    assert rows[0].logs == pytest.approx(np.log10(vocabulary.seen[numbers]).sum())
+    # blocks don't change the scores
+    some = {r.doc_id: r.score for r in class_lm.scored(docs).collect()}
+    monkeypatch.setattr(class_lm, "BLOCK", 1 << 20)
+    whole = {r.doc_id: r.score for r in class_lm.scored(docs).collect()}
+    assert some == pytest.approx(whole)
+
+
 # --- URLs ---------------------------------------------------------------------------
 
 
