@@ -1,4 +1,4 @@
-"""Chat formatting from event logs: partition by conversation, sort by sequence, fold, render.
+"""Chat formatting from event logs: fold by message, render, sort by conversation.
 
 A log has the columns conv_id, message, seq, kind, role and text. ``message`` orders the
 messages of a conversation, ``seq`` all its events. Kinds:
@@ -9,9 +9,10 @@ messages of a conversation, ``seq`` all its events. Kinds:
 * ``regenerate``: the message begins anew, with this text if any, and all later messages that
   were there by then are gone.
 
-Which events still count is found by two windows, so that no conversation is held in
-memory: what remains is folded message by message from a sorted stream, and rendered one
-piece per message. One shuffle, by conv_id, carries it all.
+The log is written once. Which events still count follows from a table without texts, of one
+row per message: its last edit and its role, and the last regeneration up to it. The events
+are joined to it, folded and rendered by message, so that a conversation of any length is
+spread over all tasks. Only the finished pieces of a conversation go through one stream.
 
 The template marks turns with ``<|im_start|>`` and ``<|im_end|>``. Within roles and texts
 every ``<|`` gets a backslash after the ``<``, one more than it had, so that no text can
@@ -27,6 +28,8 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
+from footfall.llm.tables import written
+
 OPEN, CLOSE = "<|im_start|>", "<|im_end|>"
 #: Loss is on the texts of this role.
 LEARNED = "assistant"
@@ -74,7 +77,7 @@ def log_of_turns(turns: DataFrame) -> DataFrame:
     message = F.struct(
         F.col("turn"),
         F.coalesce("role", F.lit("")).alias("role"),
-        F.md5(F.coalesce("text", F.lit(""))).alias("digest"),
+        F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"),
         F.monotonically_increasing_id().alias("row"),  # tells equal rows apart
     )
     pieces = F.regexp_extract_all(
@@ -93,32 +96,34 @@ def log_of_turns(turns: DataFrame) -> DataFrame:
     )
 
 
-def standing(events: DataFrame) -> DataFrame:
-    """The events that still count, with their message's role, partitioned by conversation
-    and sorted by message and sequence."""
-    given = events.repartition("conv_id")
-    upto = Window.partitionBy("conv_id").orderBy("message")
-    message = Window.partitionBy("conv_id", "message")
-    ordered = message.orderBy("seq").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing
-    )
-    marked = given.withColumns(
-        {
-            "_anew": F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).over(upto),
-            "_edit": F.max(F.when(F.col("kind") == "edit", F.col("seq"))).over(message),
-            "_role": F.first("role", ignorenulls=True).over(ordered),
-        }
-    )
-    last = marked.where(
-        (F.col("_anew").isNull() | (F.col("seq") >= F.col("_anew")))
-        & (F.col("_edit").isNull() | (F.col("seq") >= F.col("_edit")))
+def cuts(events: DataFrame) -> DataFrame:
+    """A row for each message: _conv, _message, _role, and _since, the event from which on its
+    events count (NULL: all of them)."""
+    role = F.when(F.col("role").isNotNull(), F.struct("seq", "role"))
+    of_message = events.groupBy(F.col("conv_id").alias("_conv"), F.col("message").alias("_message")).agg(
+        F.max(F.when(F.col("kind") == "regenerate", F.col("seq"))).alias("_anew"),
+        F.max(F.when(F.col("kind") == "edit", F.col("seq"))).alias("_edit"),
+        F.min(role)["role"].alias("_role"),
     )
-    sort = last.sortWithinPartitions("conv_id", "message", "seq")
-    return sort.select(
-        "conv_id",
-        F.to_json(F.struct("message")).alias("_message"),
+    upto = Window.partitionBy("_conv").orderBy("_message")
+    return of_message.select(
+        "_conv",
+        "_message",
         F.coalesce("_role", F.lit("")).alias("_role"),
-        F.coalesce("text", F.lit("")).alias("_text"),
+        F.greatest(F.max("_anew").over(upto), "_edit").alias("_since"),
+    )
+
+
+def standing(events: DataFrame) -> DataFrame:
+    """conv_id, message, _role and _text of every message of which events still count."""
+    of_message = cuts(events)
+    same = events["conv_id"].eqNullSafe(of_message["_conv"])
+    same &= events["message"].eqNullSafe(of_message["_message"])
+    last = events.join(of_message, same).where(F.col("_since").isNull() | (F.col("seq") >= F.col("_since")))
+    parts = F.struct("seq", F.coalesce("text", F.lit("")).alias("text"))
+    return last.groupBy("conv_id", "message").agg(
+        F.first("_role").alias("_role"),
+        F.array_join(F.array_sort(F.collect_list(parts))["text"], "").alias("_text"),
     )
 
 
@@ -129,36 +134,28 @@ def formatted(events: DataFrame) -> DataFrame:
     order. An event of unknown kind appends its text like a delta. NULL role and text are
     empty. An empty log gives no rows.
     """
-    rows_in = standing(events)
-    kind = rows_in.schema["conv_id"].dataType.simpleString()
+    rows_in = standing(written(events, "chat-log"))
+    kinds = ", ".join(f"{c} {rows_in.schema[c].dataType.simpleString()}" for c in ("conv_id", "message"))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, role, parts, id_type = None, "", [], None
-        out: list[tuple] = []
-
-        def batch_of(found: list[tuple]) -> pa.RecordBatch:
-            ids, pieces, begins, ends = zip(*found, strict=True)
-            return pa.RecordBatch.from_arrays(
-                [pa.array(ids, id_type), pa.array(pieces), pa.array(begins, pa.int32()), pa.array(ends, pa.int32())],
-                ["conv_id", "piece", "loss_begin", "loss_end"],
-            )
-
         for batch in batches:
-            id_type = batch.column("conv_id").type
-            columns = (c.to_pylist() for c in batch.columns)
-            for conv, message, of_role, text in zip(*columns, strict=True):
-                if now != (conv, message):
-                    if now is not None:
-                        out.append((now[0], *render(role, "".join(parts))))
-                    now, role, parts = (conv, message), of_role, []
-                parts.append(text)
-            if out:
-                yield batch_of(out)
-                out = []
-        if now is not None:
-            yield batch_of([(now[0], *render(role, "".join(parts)))])
+            told = zip(batch.column("_role").to_pylist(), batch.column("_text").to_pylist(), strict=True)
+            found = [render(role, text) for role, text in told]
+            pieces, begins, ends = zip(*found, strict=True) if found else ((), (), ())
+            yield pa.RecordBatch.from_arrays(
+                [
+                    batch.column("conv_id"),
+                    batch.column("message"),
+                    pa.array(pieces, pa.string()),
+                    pa.array(begins, pa.int32()),
+                    pa.array(ends, pa.int32()),
+                ],
+                ["conv_id", "message", "piece", "loss_begin", "loss_end"],
+            )
 
-    return rows_in.mapInArrow(rows, f"conv_id {kind}, piece string, loss_begin int, loss_end int")
+    made = rows_in.mapInArrow(rows, f"{kinds}, piece string, loss_begin int, loss_end int")
+    ordered = made.repartition("conv_id").sortWithinPartitions("conv_id", "message")
+    return ordered.select("conv_id", "piece", "loss_begin", "loss_end")
 
 
 def read_back(pieces: DataFrame) -> DataFrame:

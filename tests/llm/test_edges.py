@@ -329,6 +329,28 @@ def test_events_fold(spark):
     assert masked == ["good answer"]
 
 
+def test_messages_of_one_conversation_are_spread(spark):
+    """Folding and rendering don't send a conversation through one task."""
+    rows = [(1, i // 3, i, "delta" if i % 3 else "start", "user", f"part {i} ") for i in range(3000)]
+    rows += [(1, 500, 5000, "regenerate", None, "anew")]
+    names = "conv_id bigint, message int, seq int, kind string, role string, text string"
+    log = spark.createDataFrame(rows, names)
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    coalesce = spark.conf.get("spark.sql.adaptive.coalescePartitions.enabled")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        folded = chat_format.standing(log)
+        tasks = folded.select("message", F.spark_partition_id().alias("task")).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", coalesce)
+    assert sorted(r.message for r in tasks) == list(range(501))
+    assert len({r.task for r in tasks}) > 1
+    texts = {r.message: r["_text"] for r in folded.collect()}
+    assert texts[500] == "anew" and texts[499] == "part 1497 part 1498 part 1499 "
+
+
 def test_turn_logs(spark):
     turns = spark.createDataFrame(
         [(1, 1, "assistant", None), (1, 0, None, "a\nb"), (1, 0, None, "a\nb"), (2, None, "user", "x" * 5000)],
