@@ -26,7 +26,7 @@ import re
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.llm.tables import written
 
@@ -69,30 +69,69 @@ def render(role: str, text: str) -> tuple[str, int, int]:
 
 
 def log_of_turns(turns: DataFrame) -> DataFrame:
-    """A log as a stream would have left it: a start and deltas for each turn.
+    """A log as a stream could have left it, whose fold gives the turns.
+
+    By their digest, a fourth of the turns each has a start and deltas only; a draft that an
+    edit replaces; a draft and a later message that a regeneration drops; and both. A text
+    that an edit or a regeneration begins goes on with deltas.
 
     Rows of equal turn are messages of their own, ordered by role and text. NULL text has no
     delta; a NULL turn comes first.
     """
+    text, role = F.coalesce("text", F.lit("")), F.coalesce("role", F.lit(""))
     message = F.struct(
         F.col("turn"),
-        F.coalesce("role", F.lit("")).alias("role"),
-        F.unhex(F.md5(F.coalesce("text", F.lit("")))).alias("digest"),
+        role.alias("role"),
+        F.unhex(F.md5(text)).alias("digest"),
         F.monotonically_increasing_id().alias("row"),  # tells equal rows apart
     )
-    pieces = F.regexp_extract_all(
-        F.coalesce("text", F.lit("")), F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0)
+    # later than the message, and before the next turn's
+    dropped = F.struct(
+        F.col("message.turn").alias("turn"),
+        F.concat("message.role", F.lit("~")).alias("role"),
+        F.col("message.digest").alias("digest"),
+        F.col("message.row").alias("row"),
     )
+    pieces = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{DELTA}}}"), F.lit(0))
     told = turns.select("conv_id", message.alias("message"), "role", pieces.alias("_pieces"))
-    whole = F.concat(F.array(F.lit(None).cast("string")), "_pieces")
-    parts = told.select("conv_id", "message", "role", F.posexplode(whole).alias("part", "text"))
+
+    def event(kind: str, text: Column, role: Column | None = None, later: bool = False) -> Column:
+        return F.struct(
+            F.lit(later).alias("later"),
+            F.lit(kind).alias("kind"),
+            (F.lit(None) if role is None else role).cast("string").alias("role"),
+            text.cast("string").alias("text"),
+        )
+
+    def deltas(texts: Column) -> Column:
+        return F.transform(texts, lambda x: event("delta", x))
+
+    none, head = F.lit(None), F.get("_pieces", F.lit(0))
+    tail = deltas(F.slice("_pieces", F.lit(2), F.greatest(F.size("_pieces") - 1, F.lit(0))))
+    begin = event("start", none, F.col("role"))
+    draft = event("delta", F.concat(F.lit("draft "), F.reverse(F.coalesce(head, F.lit("")))))
+    gone = [event("start", none, F.lit("user"), True), event("delta", F.lit("to be gone"), None, True)]
+    histories = [
+        F.concat(F.array(begin), deltas(F.col("_pieces"))),
+        F.concat(F.array(begin, draft, event("edit", head)), tail),
+        F.concat(F.array(begin, draft, *gone, event("regenerate", none)), deltas(F.col("_pieces"))),
+        F.concat(
+            F.array(begin, draft, event("edit", F.lit("edited")), *gone, event("regenerate", head)),
+            tail,
+        ),
+    ]
+    kind = F.pmod(F.xxhash64("message.digest", "message.turn", "conv_id"), F.lit(len(histories)))
+    history = F.when(kind == 0, histories[0])
+    for i, events in enumerate(histories[1:], 1):
+        history = history.when(kind == i, events)
+    parts = told.select("conv_id", "message", dropped.alias("_gone"), F.posexplode(history).alias("part", "_e"))
     return parts.select(
         "conv_id",
-        "message",
+        F.when(F.col("_e.later"), F.col("_gone")).otherwise(F.col("message")).alias("message"),
         F.struct("message", "part").alias("seq"),
-        F.when(F.col("part") == 0, "start").otherwise("delta").alias("kind"),
-        F.when(F.col("part") == 0, F.col("role")).alias("role"),
-        "text",
+        "_e.kind",
+        "_e.role",
+        "_e.text",
     )
 
 

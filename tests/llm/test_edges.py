@@ -363,6 +363,19 @@ def test_turn_logs(spark):
     assert none.count() == 0
 
 
+def test_turn_logs_hold_all_kinds_of_events(spark):
+    turns = [(i, t, "assistant" if t % 2 else "user", f"turn {t} of {i} " * (40 * t)) for i in range(30) for t in range(4)]
+    docs = spark.createDataFrame(turns, "conv_id bigint, turn bigint, role string, text string")
+    log = chat_format.log_of_turns(docs).cache()
+    kinds = {r.kind: r.n for r in log.groupBy("kind").agg(F.count("*").alias("n")).collect()}
+    assert set(kinds) == {"start", "delta", "edit", "regenerate"} and min(kinds.values()) >= 20
+    assert log.where("text = 'to be gone'").count() >= 20
+    assert log.where("text like 'draft %'").count() >= 40
+    found = chat_format.standing(log).orderBy("conv_id", "message").collect()
+    given = [(i, r, t) for i, _, r, t in turns]
+    assert [(r.conv_id, r["_role"], r["_text"]) for r in found] == given
+
+
 def test_escaping_is_reversible():
     rng = random.Random(2)
     for _ in range(5000):
