@@ -16,6 +16,7 @@ from footfall.llm import (
     quality_classifier,
     quality_rules,
     sharding,
+    substring_dedup,
     token_counts,
     url_filter,
 )
@@ -74,6 +75,10 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classified(documents, labels)
 
 
+def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -86,6 +91,7 @@ def queries() -> dict[str, Query]:
         "op8_byte_bpe": op8_byte_bpe,
         "op9_decontamination": op9_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
+        "op11_substring_dedup": op11_substring_dedup,
     }
 
 
@@ -94,4 +100,5 @@ def oracle_sql() -> dict[str, str]:
         "op4_url_filter": url_filter.ORACLE_SQL,
         "op6_quality_rules": quality_rules.ORACLE_SQL,
         "op9_decontamination": decontamination.ORACLE_SQL,
+        "op11_substring_dedup": substring_dedup.ORACLE_SQL,
     }
