@@ -19,6 +19,7 @@ from footfall.llm import (
     substring_dedup,
     token_counts,
     url_filter,
+    whitening,
 )
 from footfall.llm.tables import table
 
@@ -79,6 +80,10 @@ def op11_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring_dedup.without_repeats(table(spark, sf_dir, "documents"))
 
 
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whitened(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -92,6 +97,7 @@ def queries() -> dict[str, Query]:
         "op9_decontamination": op9_decontamination,
         "op10_quality_classifier": op10_quality_classifier,
         "op11_substring_dedup": op11_substring_dedup,
+        "op12_whitening": op12_whitening,
     }
 
 
