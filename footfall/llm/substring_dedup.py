@@ -5,19 +5,19 @@ anchor: of its runs of ``GRAM`` words the one of lowest hash. Consecutive window
 make a *block*; its words depend on the text only, so that copies of a passage fall into the
 same blocks, but for the passage's ends.
 
-* A window can only occur in two documents if its anchor does. A first pass counts anchors by
-  their least and greatest document; texts without a shared anchor are done.
-* The blocks of shared anchors are the reference: the index holds each distinct block, in 128
-  bits, with the first document that has it.
+* The index has a row for each anchor: the least and greatest document that has it, and whether
+  all its blocks are alike. A window can only occur in two documents if its anchor does.
 * Each document is factored greedily against all of the index: consecutive blocks that an
   earlier document has as well make one factor, as long as they go on.
-* A block that isn't found whole ends a factor. There the windows are looked up one by one among
-  the windows of all indexed blocks, so that spans end at the very word.
+* A factor ends in an anchor whose blocks differ between documents. Such boundary blocks are
+  looked up window by window, among all windows of that anchor, so that spans end at the very
+  word.
 
 A window that occurs in a document with a smaller doc_id is so found wherever it stands. Blocks
-are dealt by their hash and pre-aggregated, so a passage that a third of all documents share
-costs one row per task; texts move only by document. Hashes of words, blocks and windows are
-computed for whole batches at once.
+are dealt by their anchor and pre-aggregated, and joins on it may be split, so a passage that a
+third of all documents share costs one row per task; texts move only by document. Blocks and
+windows are told apart by 128 bits, the anchor's hash and their own. Hashes are computed for
+whole batches at once.
 """
 
 from __future__ import annotations
@@ -34,17 +34,16 @@ from pyspark.sql import Column, DataFrame, functions as F
 from footfall.llm.tables import small_batches, written
 
 #: Words of a window that counts as repeated, and of the runs that anchors are chosen from.
-WINDOW, GRAM = 13, 5
+WINDOW, GRAM = 13, 6
 #: Words whose hashes are held at once; pieces of a text overlap, so that no window is lost.
 PIECE = 1 << 19
 #: Bytes whose hashes are made at once. Longer words are hashed on their own.
 BYTES = 1 << 20
 
-_ODD = np.uint64(0x9E3779B97F4A7C15)
+_ODD, _BASE = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x20, *range(0x09, 0x0E)]] = True
-_SEEDS = (11, 12)
-_LETTERS = [np.random.default_rng(s).integers(1, 1 << 63, 256, np.uint64) for s in _SEEDS]
+_LETTERS = np.random.default_rng(11).integers(1, 1 << 63, 256, np.uint64)
 
 
 def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
@@ -54,7 +53,7 @@ def _powers(base: int) -> tuple[np.ndarray, np.ndarray]:
     return np.multiply.accumulate(forth), np.multiply.accumulate(back)
 
 
-_POWERS = [_powers(int(_LETTERS[0][i]) | 1) for i in (3, 5)]
+_FORTH, _BACK = _powers(int(_LETTERS[3]) | 1)
 
 
 def _mixed(values: np.ndarray) -> np.ndarray:
@@ -77,56 +76,50 @@ def word_spans(data: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.nda
     return starts, ends
 
 
-def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, kind: int) -> np.ndarray:
+def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """64-bit hashes of the words, from polynomials over their bytes."""
     out = np.empty(len(starts), np.uint64)
-    letters, (forth, back) = _LETTERS[kind], _POWERS[kind]
     i = 0
     while i < len(starts):
         j = int(np.searchsorted(ends, starts[i] + BYTES, "right"))
         if j <= i:  # a word of more than BYTES
-            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes(), kind)
+            out[i] = xxhash.xxh3_64_intdigest(data[starts[i] : ends[i]].tobytes())
             i += 1
             continue
         first, last = int(starts[i]), int(ends[j - 1])
         sums = np.zeros(last - first + 1, np.uint64)
-        np.cumsum(letters[data[first:last]] * forth[: last - first], out=sums[1:])
+        np.cumsum(_LETTERS[data[first:last]] * _FORTH[: last - first], out=sums[1:])
         at = starts[i:j] - first
-        out[i:j] = (sums[ends[i:j] - first] - sums[at]) * back[at]
+        out[i:j] = (sums[ends[i:j] - first] - sums[at]) * _BACK[at]
         i = j
     return _mixed(out)
 
 
-def _runs(words: np.ndarray, length: int) -> np.ndarray:
+def _runs(words: np.ndarray, length: int, base: np.uint64) -> np.ndarray:
     """Hash of each run of ``length`` words."""
     n = max(0, len(words) - length + 1)
     out = np.zeros(n, np.uint64)
     for k in range(length):
-        out = out * _ODD + words[k : k + n]
+        out = out * base + words[k : k + n]
     return _mixed(out)
 
 
 class Blocks:
     """The blocks of a batch of texts: anchor, text, first window and number of windows.
 
-    ``windows`` are the two hashes of each window, if asked for; ``at`` is each block's first
-    window among them.
+    ``windows`` are the hashes of all windows, ``at`` each block's first one among them, and
+    ``content`` a hash of the block: its first and last window cover all its words.
     """
 
-    def __init__(self, data: np.ndarray, offsets: np.ndarray, windows: bool = False):
+    def __init__(self, data: np.ndarray, offsets: np.ndarray):
         starts, ends = word_spans(data, offsets[:-1])
         text = np.searchsorted(offsets, starts, "right") - 1
         self.n_words = np.bincount(text, minlength=len(offsets) - 1)
         first_word = np.concatenate(([0], np.cumsum(self.n_words)))
-        found: list[list[np.ndarray]] = []
-        held, done = 0, 0
-        self.windows: list[np.ndarray] = [np.empty(0, np.uint64), np.empty(0, np.uint64)]
-        parts: list[list[np.ndarray]] = [[], []]
+        found, windows, held, done = [], [np.empty(0, np.uint64)], 0, 0
         while done < len(starts):
             end = min(len(starts), done + PIECE)
-            piece = slice(done, end)
-            words = word_hashes(data, starts[piece], ends[piece], 0)
-            of = text[piece]
+            words, of = word_hashes(data, starts[done:end], ends[done:end]), text[done:end]
             n = len(words) - WINDOW + 1
             if n > 0:
                 anchors, places = self._anchors(words)
@@ -134,15 +127,12 @@ class Blocks:
                 fresh = np.ones(n, bool)
                 fresh[1:] = (places[1:] != places[:-1]) | ~whole[:-1]
                 at = np.flatnonzero(fresh & whole)
-                # windows of a block follow each other up to the next fresh or broken one
+                # a block goes on to the next fresh or broken window
                 stop = np.append(np.flatnonzero(fresh | ~whole), n)
                 length = stop[np.searchsorted(stop, at, "right")] - at
                 found.append([anchors[at], of[at], at + done - first_word[of[at]], length, at + held])
-                if windows:
-                    parts[0].append(_runs(words, WINDOW))
-                    other = word_hashes(data, starts[piece], ends[piece], 1)
-                    parts[1].append(_runs(other, WINDOW))
-                    held += n
+                windows.append(_runs(words, WINDOW, _BASE))
+                held += n
             if end == len(starts):
                 break
             done = end - (WINDOW - 1)
@@ -150,13 +140,14 @@ class Blocks:
         self.anchor, self.text, self.begin, self.length, self.at = (
             [np.concatenate(c) for c in zip(*found, strict=True)] if found else empty
         )
-        if windows and parts[0]:
-            self.windows = [np.concatenate(p) for p in parts]
+        self.windows = np.concatenate(windows)
+        last = self.at + self.length - 1
+        self.content = _mixed(self.windows[self.at] * _ODD + self.windows[last])
 
     @staticmethod
     def _anchors(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """The lowest hash of each window's runs of words, and where it stands first."""
-        runs = _runs(words, GRAM)
+        runs = _runs(words, GRAM, _ODD)
         n = len(words) - WINDOW + 1
         best, place = runs[:n].copy(), np.arange(n)
         for k in range(1, WINDOW - GRAM + 1):
@@ -166,11 +157,6 @@ class Blocks:
             place[lower] = np.flatnonzero(lower) + k
         return best, place
 
-    def chosen(self, keep: np.ndarray) -> None:
-        """Leave only the blocks of ``keep``."""
-        for name in ("anchor", "text", "begin", "length", "at"):
-            setattr(self, name, getattr(self, name)[keep])
-
 
 def _signed(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64))
@@ -189,32 +175,25 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return held[ends[0] : ends[-1]], ends - ends[0]
 
 
-def _id(documents: DataFrame) -> Column:
-    return F.col("doc_id").cast("bigint").alias("doc_id")
-
-
 def _named(documents: DataFrame) -> DataFrame:
-    return documents.select(_id(documents), F.xxhash64("text").alias("_own"), "text")
-
-
-def _same(left: str = "") -> list[Column]:
-    return [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in ("doc_id", "_own")]
+    id = F.col("doc_id").cast("bigint").alias("doc_id")
+    return documents.select(id, F.xxhash64("text").alias("_own"), "text")
 
 
 # --- passes over the texts ------------------------------------------------------------
 
 
 def anchors(named: DataFrame) -> DataFrame:
-    """_anchor, doc_id and _own, a row for each block."""
+    """_anchor, _content and doc_id, a row for each block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
             found = Blocks(*_bytes_of(batch.column("text")))
-            of = pa.array(found.text)
-            columns = [_signed(found.anchor), batch.column("doc_id").take(of), batch.column("_own").take(of)]
-            yield pa.RecordBatch.from_arrays(columns, ["_anchor", "doc_id", "_own"])
+            of = batch.column("doc_id").take(pa.array(found.text))
+            columns = [_signed(found.anchor), _signed(found.content), of]
+            yield pa.RecordBatch.from_arrays(columns, ["_anchor", "_content", "doc_id"])
 
-    return named.mapInArrow(rows, "_anchor bigint, doc_id bigint, _own bigint")
+    return named.mapInArrow(rows, "_anchor bigint, _content bigint, doc_id bigint")
 
 
 def _kept_digest(text: bytes, removed: np.ndarray | None) -> str:
@@ -241,97 +220,126 @@ def _pieces(text: bytes) -> Iterator[bytes]:
         done = end
 
 
-FOUND = (
-    "doc_id bigint, _own bigint, n_words bigint, text string, kept_sha256 string, "
-    "begin bigint, length bigint, b1 bigint, b2 bigint, w1 array<bigint>, w2 array<bigint>"
-)
-_FOUND = pa.schema(
-    [
-        ("doc_id", pa.int64()),
-        ("_own", pa.int64()),
-        ("n_words", pa.int64()),
-        ("text", pa.string()),
-        ("kept_sha256", pa.string()),
-        ("begin", pa.int64()),
-        ("length", pa.int64()),
-        ("b1", pa.int64()),
-        ("b2", pa.int64()),
-        ("w1", pa.list_(pa.int64())),
-        ("w2", pa.list_(pa.int64())),
-    ]
+def _removed(n: int, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Which of a text's words the spans cover."""
+    depth = np.zeros(n + 1, np.int64)
+    np.add.at(depth, begins, 1)
+    np.subtract.at(depth, ends, 1)
+    return np.cumsum(depth[:-1]) > 0
+
+
+def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(values, kind))
+
+
+FACTORED = pa.schema(
+    {
+        "doc_id": pa.int64(),
+        "_own": pa.int64(),
+        "n_words": pa.int64(),
+        "n_removed": pa.int64(),
+        "kept_sha256": pa.string(),
+        "text": pa.string(),
+        "_begins": pa.list_(pa.int64()),
+        "_ends": pa.list_(pa.int64()),
+        "_anchor": pa.int64(),
+        "begin": pa.int64(),
+        "_windows": pa.list_(pa.int64()),
+    }
 )
 
 
-def blocks(marked: DataFrame) -> DataFrame:
-    """One row per document and one per block whose anchor is in ``_shared``.
+def factored(marked: DataFrame) -> DataFrame:
+    """One row per document, and one per boundary block.
 
-    Documents without such a block have their digest, others their text. Blocks have the hashes
-    of their windows and, from those, two of the whole block.
+    ``marked`` has the shared anchors of each document: ``_whole``, whose blocks are all alike
+    and stand in an earlier document, and ``_differ``, whose blocks aren't. Documents without a
+    boundary block are done; others have their text and the spans of whole blocks.
     """
 
-    def lists(values: np.ndarray, found: Blocks) -> pa.Array:
-        ends = np.cumsum(found.length)
-        places = np.arange(ends[-1] if len(ends) else 0) + np.repeat(found.at - ends + found.length, found.length)
-        offsets = pa.array(np.concatenate(([0], ends)).astype(np.int32))
-        return pa.ListArray.from_arrays(offsets, _signed(values[places]))
-
-    def whole(values: np.ndarray, found: Blocks) -> np.ndarray:
-        """A hash of each block: a block's first and last window cover all its words."""
-        first, last = values[found.at], values[found.at + found.length - 1]
-        return _mixed(first * _ODD + last)
+    def mask(found: Blocks, anchors: pa.Array) -> np.ndarray:
+        """The blocks whose anchor is in their own text's list."""
+        held = anchors.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+        of = np.repeat(
+            np.arange(len(anchors), dtype=np.uint64),
+            anchors.value_lengths().fill_null(0).to_numpy(zero_copy_only=False),
+        )
+        # told apart by text; one in 2 ** 64 too many is harmless for boundaries, and whole
+        # blocks are asked for by anchors that their own document has
+        return np.isin(found.anchor + _mixed(found.text.astype(np.uint64)), held + _mixed(of))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in small_batches(batches, "text"):
+            n = batch.num_rows
             data, offsets = _bytes_of(batch.column("text"))
-            shared = batch.column("_shared")
-            held = shared.flatten().to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            n_held = shared.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
-            found = Blocks(data, offsets, windows=bool(len(held)))
-            holder = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), n_held)
-            key = found.anchor ^ _mixed(found.text.astype(np.uint64) + np.uint64(1))
-            found.chosen(np.isin(key, held ^ _mixed(holder + np.uint64(1))))
-            with_blocks = np.zeros(batch.num_rows, bool)
-            with_blocks[found.text] = True
-            digests = [
-                None if b else _kept_digest(data[s:e].tobytes(), None)
-                for b, s, e in zip(with_blocks, offsets, offsets[1:], strict=False)
-            ]
-            n, of = batch.num_rows, pa.array(found.text)
-            texts = batch.column("text").take(pa.array(np.arange(n), mask=~with_blocks))
-            columns = [batch.column("doc_id"), batch.column("_own"), pa.array(found.n_words), texts, pa.array(digests, pa.string())]
-            columns += [pa.nulls(n, t.type) for t in list(_FOUND)[5:]]
-            yield pa.RecordBatch.from_arrays([c.cast(t.type) for c, t in zip(columns, _FOUND, strict=True)], schema=_FOUND)
-            m = len(found.text)
+            found = Blocks(data, offsets)
+            whole, differ = (mask(found, batch.column(c)) for c in ("_whole", "_differ"))
+            begins = found.begin[whole]
+            ends = begins + found.length[whole] + (WINDOW - 1)
+            counts = np.bincount(found.text[whole], minlength=n)
+            edges = np.concatenate(([0], np.cumsum(counts)))
+            open_ones = np.bincount(found.text[differ], minlength=n) > 0
+            removed, digests = [], []
+            for i in range(n):
+                of = slice(edges[i], edges[i + 1])
+                gone = _removed(found.n_words[i], begins[of], ends[of]) if counts[i] else None
+                removed.append(0 if gone is None else int(gone.sum()))
+                text = b"" if open_ones[i] else data[offsets[i] : offsets[i + 1]].tobytes()
+                digests.append(None if open_ones[i] else _kept_digest(text, gone))
+            columns = {
+                "doc_id": batch.column("doc_id"),
+                "_own": batch.column("_own"),
+                "n_words": pa.array(found.n_words),
+                "n_removed": pa.array(removed, pa.int64()),
+                "kept_sha256": pa.array(digests, pa.string()),
+                "text": batch.column("text").take(pa.array(np.arange(n), mask=~open_ones)),
+                "_begins": _lists(begins, counts, pa.int64()),
+                "_ends": _lists(ends, counts, pa.int64()),
+            }
+            yield _batch(columns, n)
+            m = int(differ.sum())
             if m:
-                columns = [batch.column("doc_id").take(of), batch.column("_own").take(of)]
-                columns += [pa.nulls(m, t.type) for t in list(_FOUND)[2:5]]
-                columns += [pa.array(found.begin), pa.array(found.length)]
-                columns += [_signed(whole(w, found)) for w in found.windows]
-                columns += [lists(w, found) for w in found.windows]
-                yield pa.RecordBatch.from_arrays(columns, schema=_FOUND)
-
-    return marked.mapInArrow(rows, FOUND)
+                of, length, at = pa.array(found.text[differ]), found.length[differ], found.at[differ]
+                upto = np.cumsum(length)
+                places = np.arange(upto[-1]) + np.repeat(at - upto + length, length)
+                columns = {
+                    "doc_id": batch.column("doc_id").take(of),
+                    "_own": batch.column("_own").take(of),
+                    "_anchor": _signed(found.anchor[differ]),
+                    "begin": pa.array(found.begin[differ]),
+                    "_windows": _lists(found.windows[places].view(np.int64), length, pa.int64()),
+                }
+                yield _batch(columns, m)
+
+    def _batch(columns: dict[str, pa.Array], n: int) -> pa.RecordBatch:
+        arrays = [columns.get(f.name, pa.nulls(n, f.type)) for f in FACTORED]
+        return pa.RecordBatch.from_arrays(arrays, schema=FACTORED)
+
+    kinds = {pa.int64(): "bigint", pa.string(): "string"}
+    schema = ", ".join(f"{f.name} {kinds.get(f.type, 'array<bigint>')}" for f in FACTORED)
+    return marked.mapInArrow(rows, schema)
 
 
 def _cleaned(spans: DataFrame) -> DataFrame:
-    """doc_id, n_words, n_removed and kept_sha256 of texts less their ``_spans``."""
+    """The texts less ``_begins`` to ``_ends`` and the windows at ``_at``."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def lists(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+            counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
+            return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(counts)))
+
         for batch in small_batches(batches, "text"):
             data, offsets = _bytes_of(batch.column("text"))
-            n_words = batch.column("n_words").to_numpy()
-            ends = np.cumsum(batch.column("_spans").value_lengths().fill_null(0).to_numpy())
-            edges = batch.column("_spans").flatten()
-            begin, end = (edges.field(i).to_numpy() for i in (0, 1))
+            begins, edges = lists(batch.column("_begins"))
+            ends, _ = lists(batch.column("_ends"))
+            windows, places = lists(batch.column("_at"))
             counts, digests = [], []
-            for i, n in enumerate(n_words):
-                of = slice(ends[i - 1] if i else 0, ends[i])
-                depth = np.zeros(n + 1, np.int64)
-                np.add.at(depth, begin[of], 1)
-                np.subtract.at(depth, end[of], 1)
-                removed = np.cumsum(depth[:-1]) > 0
-                counts.append(int(removed.sum()))
-                digests.append(_kept_digest(data[offsets[i] : offsets[i + 1]].tobytes(), removed))
+            for i, n in enumerate(batch.column("n_words").to_numpy()):
+                of, at = slice(edges[i], edges[i + 1]), windows[places[i] : places[i + 1]]
+                gone = _removed(n, np.append(begins[of], at).astype(int), np.append(ends[of], at + WINDOW).astype(int))
+                counts.append(int(gone.sum()))
+                digests.append(_kept_digest(data[offsets[i] : offsets[i + 1]].tobytes(), gone))
             columns = [batch.column("doc_id"), batch.column("n_words")]
             columns += [pa.array(counts, pa.int64()), pa.array(digests, pa.string())]
             yield pa.RecordBatch.from_arrays(columns, NAMES)
@@ -349,77 +357,19 @@ def _earlier(first: str, doc: str) -> Column:
     return F.col(first).isNotNull() & (F.col(doc).isNull() | (F.col(first) < F.col(doc)))
 
 
-def shared_anchors(found: DataFrame) -> DataFrame:
-    """The anchors that stand in documents of different ids."""
+def _in_two(rows: DataFrame, keys: list[str], *more: Column) -> DataFrame:
+    """The keys that stand in documents of different ids, with the least id."""
     greatest = F.coalesce("doc_id", F.lit((1 << 63) - 1))
-    by_anchor = found.groupBy("_anchor").agg(
-        F.min("doc_id").alias("_least"), F.max(greatest).alias("_greatest")
+    found = rows.groupBy(*keys).agg(
+        F.min("doc_id").alias("_least"), F.max(greatest).alias("_greatest"), *more
     )
-    return by_anchor.where("_least < _greatest").select("_anchor")
+    return found.where("_least < _greatest").drop("_greatest")
 
 
-def reference(found: DataFrame) -> DataFrame:
-    """The index: each distinct block, its first document, and its windows."""
-    content = F.struct("w1", "w2")
-    return found.groupBy("b1", "b2", "length").agg(
-        F.min("doc_id").alias("_least"), F.first(content).alias("_windows")
-    )
-
-
-def repeated_spans(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(texts, spans): the documents' rows of ``blocks``, and doc_id, _own, begin and end, in
-    words, of what documents with smaller ids have as well."""
-    named = _named(documents)
-    anchored = written(anchors(named), "anchors")
-    shared = written(shared_anchors(anchored), "shared-anchors")
-    of_doc = (
-        anchored.join(shared, "_anchor")
-        .groupBy("doc_id", "_own")
-        .agg(F.collect_set("_anchor").alias("_shared"))
-    )
-    marked = named.alias("l").join(of_doc.alias("r"), _same(), "left").select("l.*", "r._shared")
-    all_rows = written(blocks(marked), "reference-blocks")
-    texts = all_rows.where("begin IS NULL")
-    # rows of equal id and text have the same blocks
-    found = all_rows.where("begin IS NOT NULL").select(
-        "doc_id", "_own", "begin", "length", "b1", "b2", "w1", "w2"
-    )
-    index = written(reference(found), "reference-index")
-
-    heads = index.select("b1", "b2", "length", "_least")
-    factored = found.join(heads, ["b1", "b2", "length"]).withColumn(
-        "_whole", _earlier("_least", "doc_id")
-    )
-    factored = written(
-        factored.select(
-            "doc_id",
-            "_own",
-            "begin",
-            "length",
-            "_whole",
-            F.when(~F.col("_whole"), F.col("w1")).alias("w1"),
-            F.when(~F.col("_whole"), F.col("w2")).alias("w2"),
-        ),
-        "factored-blocks",
-    )
-    # a window is in w1[i] and w2[i]; boundaries only
-    windows = index.select("_least", F.posexplode(F.arrays_zip("_windows.w1", "_windows.w2")).alias("i", "w"))
-    first = windows.groupBy(F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2")).agg(
-        F.min("_least").alias("_least")
-    )
-    boundary = factored.where("NOT _whole").select(
-        "doc_id", "_own", "begin", F.posexplode(F.arrays_zip("w1", "w2")).alias("i", "w")
-    )
-    boundary = boundary.select(
-        "doc_id", "_own", (F.col("begin") + F.col("i")).alias("begin"), F.col("w.w1").alias("w1"), F.col("w.w2").alias("w2")
-    )
-    at_ends = boundary.join(first, ["w1", "w2"]).where(_earlier("_least", "doc_id"))
-    whole = factored.where("_whole")
-    spans = whole.select("doc_id", "_own", "begin", (F.col("begin") + F.col("length") + (WINDOW - 1)).alias("end"))
-    spans = spans.unionByName(
-        at_ends.select("doc_id", "_own", "begin", (F.col("begin") + WINDOW).alias("end"))
-    )
-    return texts, spans
+def reference(named: DataFrame) -> DataFrame:
+    """The index: _anchor, _least (first document) and _alike, of anchors in two documents."""
+    alike = F.min("_content") == F.max("_content")
+    return _in_two(anchors(named), ["_anchor"], alike.alias("_alike"))
 
 
 def without_repeats(documents: DataFrame) -> DataFrame:
@@ -431,16 +381,32 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     NULL or short text loses nothing. Repeated rows give a row each; an empty table gives none.
     Other columns don't matter.
     """
-    texts, spans = repeated_spans(documents)
-    merged = spans.groupBy("doc_id", "_own").agg(
-        F.collect_set(F.struct("begin", "end")).alias("_spans")
+    named = _named(documents)
+    index = written(reference(named), "reference-index")
+    blocks = anchors(named).join(index, "_anchor")
+    shared = blocks.where(~F.col("_alike") | _earlier("_least", "doc_id"))
+    of_doc = shared.groupBy(F.col("doc_id").alias("_of")).agg(
+        F.collect_set(F.when(F.col("_alike"), F.col("_anchor"))).alias("_whole"),
+        F.collect_set(F.when(~F.col("_alike"), F.col("_anchor"))).alias("_differ"),
+    )
+    marked = named.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
+    rows = written(factored(marked), "factored")
+
+    boundary = rows.where("begin IS NOT NULL").select(
+        "doc_id", "_own", "_anchor", "begin", F.posexplode("_windows").alias("_i", "_window")
+    )
+    keys = ["_anchor", "_window"]
+    first = _in_two(boundary.select("doc_id", *keys), keys)
+    at_ends = boundary.join(first, keys).where(_earlier("_least", "doc_id"))
+    by_doc = at_ends.groupBy(F.col("doc_id").alias("_of"), F.col("_own").alias("_hash")).agg(
+        F.collect_set(F.col("begin") + F.col("_i")).alias("_at")
     )
-    done = texts.where("text IS NULL").select(
-        "doc_id", "n_words", F.lit(0).cast("bigint").alias("n_removed"), "kept_sha256"
+    done = rows.where("begin IS NULL AND kept_sha256 IS NOT NULL").select(*NAMES)
+    rest = rows.where("begin IS NULL AND kept_sha256 IS NULL").select(
+        "doc_id", "_own", "n_words", "text", "_begins", "_ends"
     )
-    rest = texts.where("text IS NOT NULL").select("doc_id", "_own", "n_words", "text")
-    joined = rest.alias("l").join(merged.alias("r"), _same(), "left").select("l.*", "r._spans")
-    return done.unionByName(_cleaned(joined))
+    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_own") == F.col("_hash"))
+    return done.unionByName(_cleaned(rest.join(by_doc, same, "left")))
 
 
 #: The same from all windows, for ids that are set and distinct.
