@@ -11,6 +11,7 @@ from footfall.llm import (
     byte_bpe,
     chat_format,
     class_lm,
+    conversation_repair,
     decontamination,
     near_duplicates,
     quality_classifier,
@@ -84,6 +85,10 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
     return whitening.whitened(table(spark, sf_dir, "embeddings"))
 
 
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repaired_conversations(table(spark, sf_dir, "conversations"))
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_token_counts": op1_token_counts,
@@ -98,6 +103,7 @@ def queries() -> dict[str, Query]:
         "op10_quality_classifier": op10_quality_classifier,
         "op11_substring_dedup": op11_substring_dedup,
         "op12_whitening": op12_whitening,
+        "op13_conversation_repair": op13_conversation_repair,
     }
 
 
