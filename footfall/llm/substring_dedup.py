@@ -396,7 +396,8 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         "doc_id", "_own", "_anchor", "begin", F.posexplode("_windows").alias("_i", "_window")
     )
     keys = ["_anchor", "_window"]
-    first = _in_two(boundary.select("doc_id", *keys), keys)
+    # a table of its own, so that the join may split a window that very many texts share
+    first = written(_in_two(boundary.select("doc_id", *keys), keys), "window-index")
     at_ends = boundary.join(first, keys).where(_earlier("_least", "doc_id"))
     by_doc = at_ends.groupBy(F.col("doc_id").alias("_of"), F.col("_own").alias("_hash")).agg(
         F.collect_set(F.col("begin") + F.col("_i")).alias("_at")
