@@ -28,7 +28,12 @@ from footfall.operators import (  # noqa: E402
     retention,
     segments,
 )
-from footfall.operators.users import funnel_users, user_facts, user_flags  # noqa: E402
+from footfall.operators.users import (  # noqa: E402
+    funnel_users,
+    ordered_times,
+    user_facts,
+    user_flags,
+)
 from footfall.plans import analyses, bindings, query_library  # noqa: E402
 from footfall.sources import prepare_events, register_views  # noqa: E402
 
@@ -149,6 +154,10 @@ def _window_facts(events: DataFrame) -> DataFrame:
     return _rounded(facts, "time_to_activation_hours")
 
 
+def _ordered_times_out(events: DataFrame) -> DataFrame:
+    return _text_ts(ordered_times(events), "view_ts", "cart_ts", "purchase_ts")
+
+
 def _gapped(step: Callable[[bindings.Tables], DataFrame]) -> Query:
     return lambda spark, sf_dir: step(bindings.gapped_order_history(spark, sf_dir))
 
@@ -196,6 +205,14 @@ def library_queries() -> dict[str, Query]:
         "funnel_long": _on(_events, lambda e: funnel.funnel_long(funnel_users(e))),
         "funnel_leaks": _on(_events, lambda e: funnel.funnel_leaks(funnel_users(e))),
         "clicks_funnel_rates": _on(_clicks, lambda e: funnel.funnel_rates(funnel_users(e))),
+        "ordered_times": _on(_events, _ordered_times_out),
+        "clicks_ordered_times": _on(_clicks, _ordered_times_out),
+        "accounts_ordered_times": _on(bindings.accounts, _ordered_times_out),
+        "funnel_ordered_stages": _on(_clicks, lambda e: analyses.build_funnel(e, order="time").stages),
+        "funnel_ordered_rates": _on(_clicks, lambda e: analyses.build_funnel(e, order="time").rates),
+        "funnel_ordered_wide": _on(
+            _clicks, lambda e: funnel.funnel_wide(funnel_users(e, order="time"))
+        ),
         "gap_viewless_users": _on(
             _events, lambda e: funnel.users_without(user_flags(e), "view")
         ),
@@ -394,6 +411,16 @@ density AS (
 summary AS (
   SELECT tested.*, 1 - 2 * (SELECT sum(weight * y) * max(h) / 3 FROM density) AS pv FROM tested)"""
 
+_ORDERED = """viewed AS (SELECT user_id, min(ts) AS t1 FROM ev WHERE kind = 'view' GROUP BY user_id),
+carted AS (
+  SELECT user_id, any_value(t1) AS t1, min(ts) FILTER (WHERE kind = 'cart' AND ts >= t1) AS t2
+  FROM viewed JOIN ev USING (user_id) GROUP BY user_id),
+ordered AS (
+  SELECT user_id, any_value(t1) AS t1, any_value(t2) AS t2,
+         min(ts) FILTER (WHERE kind = 'purchase' AND ts >= t2) AS t3
+  FROM carted JOIN ev USING (user_id) GROUP BY user_id),
+flags AS (SELECT user_id, true AS v, t2 IS NOT NULL AS c, t3 IS NOT NULL AS p FROM ordered)"""
+
 _PRIMARY = """per_category AS (
   SELECT user_id, p_type AS category, count(*) AS cnt, min(ts) AS seen
   FROM ev JOIN part ON product_id = p_partkey WHERE kind = 'cart' GROUP BY ALL),
@@ -450,6 +477,10 @@ _STAGES = """stages AS (
 
 _PCT = "round_even(100.0::DOUBLE * rate, 2)"
 
+_ORDERED_OUT = f"""SELECT user_id, {_TEXT_TS.format('t1')} AS view_ts,
+       {_TEXT_TS.format('t2')} AS cart_ts, {_TEXT_TS.format('t3')} AS purchase_ts
+FROM ordered"""
+
 _ATTRIBUTION_OUT = f"""SELECT user_id, {_TEXT_TS.format('first_cart')} AS first_cart_ts,
        bought AS purchase_within_7d
 FROM facts WHERE c"""
@@ -582,6 +613,13 @@ lost AS (
             """SELECT *, coalesce(lost_rate = (SELECT max(lost_rate) FROM lost), false)
          AS largest_leak FROM lost"""),
         "clicks_funnel_rates": _with(clicks, _FLAGS, _TOTALS, _LOOSE, loose),
+        "ordered_times": _with(orders, _ORDERED, _ORDERED_OUT),
+        "clicks_ordered_times": _with(clicks, _ORDERED, _ORDERED_OUT),
+        "accounts_ordered_times": _with(_ACCOUNT_EVENTS, _ORDERED, _ORDERED_OUT),
+        "funnel_ordered_stages": _with(
+            clicks, _ORDERED, _TOTALS, _STAGES, "SELECT stage, users FROM stages"),
+        "funnel_ordered_rates": _with(clicks, _ORDERED, _TOTALS, _LOOSE, loose),
+        "funnel_ordered_wide": _with(clicks, _ORDERED, _TOTALS, wide),
         "gap_viewless_users": _with(orders, """viewers AS (
   SELECT DISTINCT user_id FROM ev WHERE kind = 'view')""",
             "SELECT DISTINCT user_id FROM ev ANTI JOIN viewers USING (user_id)"),

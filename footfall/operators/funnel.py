@@ -1,4 +1,8 @@
-"""User-level conversion funnel. Membership needs one event of a type, in any order."""
+"""User-level conversion funnel.
+
+Membership needs one event of a type, in any order, or, with users of ``funnel_users(order="time")``,
+the steps one after another.
+"""
 
 from __future__ import annotations
 

@@ -58,12 +58,94 @@ def user_flags(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS) -> DataFr
     return users.select("user_id", *_step_flags(F.col("seen"), steps))
 
 
-def funnel_users(events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS) -> DataFrame:
-    """``user_flags`` of the users that entered the funnel anywhere.
+def funnel_users(
+    events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS, order: str = "any"
+) -> DataFrame:
+    """``user_flags`` of the users that entered the funnel.
+
+    ``order="any"``: an event of a type is enough, whenever it was. ``order="time"``: a flag is
+    set if the user reached the step in order, see ``ordered_times``; users without the first
+    step are left out. The event types are filtered first, so the filter reaches the file scan.
+    """
+    if order not in ("any", "time"):
+        raise ValueError(f"order must be 'any' or 'time', not {order!r}")
+    if order == "any":
+        return user_flags(events.where(F.col("event_type").isin(*steps)), steps)
+    flags = [F.col(f"{step}_ts").isNotNull().alias(f"has_{step}") for step in steps]
+    return ordered_times(events, steps).select("user_id", *flags)
+
+
+def _period(ts: Column, period_days: int) -> Column:
+    day = day_number(ts)
+    return day - F.pmod(day, F.lit(period_days))
+
+
+def step_periods(
+    events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS, period_days: int = 1
+) -> DataFrame:
+    """``user_id, period, first_<i>, last_<i>...``: a user's first and last event of each step
+    in each period. Tables of parts of a log are merged by minimum and maximum."""
+    ts = F.col("event_timestamp")
+    known = _known_users(events).where(F.col("event_type").isin(*steps) & ts.isNotNull())
+    ends = []
+    for place, step in enumerate(steps):
+        of_step = F.when(_is(step), ts)
+        ends += [F.min(of_step).alias(f"first_{place}"), F.max(of_step).alias(f"last_{place}")]
+    return known.groupBy("user_id", _period(ts, period_days).alias("period")).agg(*ends)
+
 
-    The event types are filtered first, so the filter reaches the file scan.
+def ordered_times(
+    events: DataFrame, steps: Sequence[str] = FUNNEL_STEPS, period_days: int = 1
+) -> DataFrame:
+    """``user_id, <step>_ts...``: when a user reached each step in order, NULL from the first
+    step that was not reached.
+
+    A step is reached by its earliest event that is not before the one that reached the step
+    before it; events of the same instant are in order. Users without the first step are left
+    out, and so are events without timestamp.
+
+    No plain minimum over a user's events gives these times, as an earlier event may be too
+    early. They follow from the first and last event of each type and period: where a
+    period's first event of a step is late enough, it is the earliest one there, and where
+    its last one is too early, there is none. Only in the period that holds the time to be
+    late for can there be some of both; only for such users, and of that period, the events
+    themselves are looked up. So a hot user costs a row per task and period, and raw events are
+    shuffled only where their order is in doubt.
     """
-    return user_flags(events.where(F.col("event_type").isin(*steps)), steps)
+    if len(set(steps)) != len(steps) or not steps:
+        raise ValueError(f"steps must be distinct, and one at least, not {list(steps)!r}")
+    periods = step_periods(events, steps, period_days)
+    ts = F.col("event_timestamp")
+    times = periods.groupBy("user_id").agg(F.min("first_0").alias(f"{steps[0]}_ts"))
+    times = times.where(F.col(f"{steps[0]}_ts").isNotNull())
+    for place, step in enumerate(steps[1:], 1):
+        since, first, last = F.col("since"), F.col(f"first_{place}"), F.col(f"last_{place}")
+        reached = times.select("user_id", F.col(f"{steps[place - 1]}_ts").alias("since"))
+        of_step = periods.where(first.isNotNull()).select("user_id", "period", first, last)
+        found = (
+            of_step.join(reached.where(since.isNotNull()), "user_id")
+            .groupBy("user_id")
+            .agg(
+                F.min(F.when(first >= since, first)).alias("sure"),
+                F.max(F.when((first < since) & (last >= since), F.col("period"))).alias("period"),
+                F.first("since").alias("since"),
+            )
+        )
+        doubtful = found.where(F.col("period").isNotNull()).select("user_id", "period", "since")
+        raw = _known_users(events).where(_is(step) & ts.isNotNull())
+        looked_up = (
+            raw.select("user_id", _period(ts, period_days).alias("period"), ts)
+            .join(doubtful, ["user_id", "period"])
+            .where(ts >= since)
+            .groupBy("user_id")
+            .agg(F.min(ts).alias("within"))
+        )
+        # what is found within the doubtful period precedes all later periods
+        at = found.join(looked_up, "user_id", "left").select(
+            "user_id", F.coalesce("within", "sure").alias(f"{step}_ts")
+        )
+        times = times.join(at, "user_id", "left")
+    return times
 
 
 def user_periods(
@@ -77,11 +159,9 @@ def user_periods(
     """
     _, middle, last = steps
     ts = F.col("event_timestamp")
-    day = day_number(ts)
-    period = day - F.pmod(day, F.lit(period_days))
     return (
         _known_users(events)
-        .groupBy("user_id", period.alias("period"))
+        .groupBy("user_id", _period(ts, period_days).alias("period"))
         .agg(
             F.min(ts).alias("first_ts"),
             F.max(ts).alias("last_ts"),

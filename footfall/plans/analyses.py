@@ -34,8 +34,11 @@ def funnel_tables(users: DataFrame, rate_mode: str = "loose") -> FunnelTables:
     )
 
 
-def build_funnel(events: DataFrame, rate_mode: str = "loose") -> FunnelTables:
-    return funnel_tables(funnel_users(events), rate_mode)
+def build_funnel(
+    events: DataFrame, rate_mode: str = "loose", order: str = "any"
+) -> FunnelTables:
+    """``order="time"`` counts users that took the steps in order."""
+    return funnel_tables(funnel_users(events, order=order), rate_mode)
 
 
 def build_cohort_retention_week1(events: DataFrame, grain: str = "month") -> DataFrame:
