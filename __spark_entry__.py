@@ -29,10 +29,14 @@ from footfall.operators import (  # noqa: E402
     segments,
 )
 from footfall.operators.users import (  # noqa: E402
+    advanced,
+    facts_of_periods,
     funnel_users,
     ordered_times,
+    period_length,
     user_facts,
     user_flags,
+    user_periods,
 )
 from footfall.plans import analyses, bindings, query_library  # noqa: E402
 from footfall.sources import prepare_events, register_views  # noqa: E402
@@ -154,6 +158,18 @@ def _window_facts(events: DataFrame) -> DataFrame:
     return _rounded(facts, "time_to_activation_hours")
 
 
+def _kept_facts(events: DataFrame) -> DataFrame:
+    """Facts of a log that came in two parts: by the week, and each part has late events."""
+    ts = F.col("event_timestamp")
+    late = F.pmod(F.weekofyear(ts), F.lit(3)) == 1
+    first, second = events.where(~late), events.where(late | ts.isNull())
+    periods = user_periods(first, period_length())
+    _, facts = advanced(periods, facts_of_periods(periods), second)
+    return _rounded(
+        _text_ts(facts, "first_event_ts", "first_cart_ts"), "time_to_activation_hours"
+    )
+
+
 def _ordered_times_out(events: DataFrame) -> DataFrame:
     return _text_ts(ordered_times(events), "view_ts", "cart_ts", "purchase_ts")
 
@@ -194,6 +210,8 @@ def library_queries() -> dict[str, Query]:
         "clicks_user_facts": _on(_clicks, _facts_out),
         "parsed_clicks_user_facts": _on(bindings.text_clickstream, _parsed_facts),
         "user_facts_window": _on(_events, _window_facts),
+        "kept_user_facts": _on(_events, _kept_facts),
+        "clicks_kept_user_facts": _on(_clicks, _kept_facts),
         "sql_views": _sql_views,
         # funnel
         "funnel_strict_wide": _on(_events, lambda e: funnel.funnel_wide(funnel_users(e))),
@@ -569,6 +587,8 @@ FROM flags JOIN listed USING (user_id) WHERE c {0} GROUP BY value"""
         "clicks_user_facts": _with(clicks, _FACTS, _FACTS_OUT),
         "parsed_clicks_user_facts": _with(clicks, _FACTS, _FACTS_OUT),
         "user_facts_window": _with(orders, _FACTS, _FACTS_OUT),
+        "kept_user_facts": _with(orders, _FACTS, _FACTS_OUT),
+        "clicks_kept_user_facts": _with(clicks, _FACTS, _FACTS_OUT),
         "sql_views": _with(orders, _FACTS, """SELECT c_mktsegment AS mktsegment,
        p_type AS category, count(*) AS carts, count(*) FILTER (WHERE hours IS NOT NULL) AS by_activated
 FROM ev JOIN facts USING (user_id) JOIN customer ON user_id = c_custkey

@@ -192,6 +192,58 @@ def _single_events(events: DataFrame, steps: Sequence[str]) -> DataFrame:
     )
 
 
+def merged_periods(periods: DataFrame) -> DataFrame:
+    """Period rows of several tables, one row per user and period again."""
+    return periods.groupBy("user_id", "period").agg(
+        F.min("first_ts").alias("first_ts"),
+        F.max("last_ts").alias("last_ts"),
+        F.min("first_middle_ts").alias("first_middle_ts"),
+        F.min("first_final_ts").alias("first_final_ts"),
+        F.max("last_final_ts").alias("last_final_ts"),
+        F.bit_or("seen").alias("seen"),
+    )
+
+
+def merge_periods(periods: DataFrame, more: DataFrame) -> DataFrame:
+    """``user_periods`` of a log, from those of its parts: the state that facts are kept by.
+
+    Every column is a minimum, a maximum or a union, so parts may overlap in time, come late or
+    be merged in any order; a part that is merged twice changes nothing.
+    """
+    return merged_periods(periods.unionByName(more))
+
+
+def period_length(
+    retention_days: tuple[int, int] = (RETENTION_START_DAYS, RETENTION_END_DAYS),
+    attribution_days: int = ATTRIBUTION_DAYS,
+) -> int:
+    """Days of a period of ``user_periods`` that facts with these windows need."""
+    start, end = retention_days
+    if end <= start or attribution_days < 1:
+        raise ValueError("windows must span at least one day")
+    return min(end - start, attribution_days)
+
+
+def advanced(
+    periods: DataFrame, facts: DataFrame, new_events: DataFrame, **options: object
+) -> tuple[DataFrame, DataFrame]:
+    """(periods, facts) of a log that ``new_events`` were added to.
+
+    ``periods`` and ``facts`` are those of the log so far, made with the same options, which are
+    ``user_facts``'s but for ``strategy``. Only users with new events are computed again, from
+    their periods; no event of the log so far is read. New events may be of any time.
+    """
+    shape = {k: options[k] for k in ("retention_days", "attribution_days") if k in options}
+    steps = {k: options[k] for k in ("steps",) if k in options}
+    delta = user_periods(new_events, period_length(**shape), **steps)
+    touched = delta.select("user_id").distinct()
+    fresh = facts_of_periods(
+        merge_periods(periods.join(touched, "user_id", "left_semi"), delta), **options
+    )
+    kept = facts.join(touched, "user_id", "left_anti")
+    return merge_periods(periods, delta), kept.unionByName(fresh)
+
+
 def user_facts(
     events: DataFrame,
     steps: Sequence[str] = FUNNEL_STEPS,
@@ -222,15 +274,24 @@ def user_facts(
     """
     if strategy not in ("rollup", "window"):
         raise ValueError(f"strategy must be 'rollup' or 'window', not {strategy!r}")
-    _, middle, last = steps
-    start, end = retention_days
-    if end <= start or attribution_days < 1:
-        raise ValueError("windows must span at least one day")
+    length = period_length(retention_days, attribution_days)
     if strategy == "rollup":
-        periods = user_periods(events, min(end - start, attribution_days), steps)
+        periods = user_periods(events, length, steps)
     else:
         periods = _single_events(events, steps)
+    return facts_of_periods(periods, steps, retention_days, attribution_days, activation_hours)
+
 
+def facts_of_periods(
+    periods: DataFrame,
+    steps: Sequence[str] = FUNNEL_STEPS,
+    retention_days: tuple[int, int] = (RETENTION_START_DAYS, RETENTION_END_DAYS),
+    attribution_days: int = ATTRIBUTION_DAYS,
+    activation_hours: int = ACTIVATION_HOURS,
+) -> DataFrame:
+    """``user_facts`` from ``user_periods`` of ``period_length`` days at most."""
+    _, middle, last = steps
+    start, end = retention_days
     by_user = Window.partitionBy("user_id")
     anchored = periods.withColumns({
         "first_event_ts": F.min("first_ts").over(by_user),

@@ -6,6 +6,7 @@
 from __future__ import annotations
 
 import argparse
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -21,6 +22,10 @@ from footfall.sources import (
     write_artifact,
     written_table,
 )
+from footfall.sources.publication import Folder, publish, published, withdraw
+
+#: Whole runs whose tables stay: readers of the former one aren't disturbed.
+KEPT_RUNS = 2
 
 
 def run(
@@ -38,8 +43,11 @@ def run(
 
     The log is scanned twice: once for the per-user facts, which are written for the length
     of the run and serve every analysis, and once (cart events only) for the users' primary
-    categories. The last three options are the readers'. Returns the names of the tables
-    written to ``out_dir``.
+    categories. The last three options are the readers'.
+
+    The tables are written to a folder of the run's own and published together at its end, so
+    that ``read_artifact`` finds all of one run; a run that stops halfway leaves the former
+    results as they were. Returns the names of the tables.
     """
     def source(name: str) -> tuple[SparkSession, str, str]:
         return spark, f"{in_dir}/{name}.{input_format}", input_format
@@ -48,6 +56,9 @@ def run(
     users = read_users(*source("users"), attribute, multi_line)
     products = read_products(*source("products"), multi_line)
 
+    number, _ = published(spark, out_dir)
+    folder = f"runs/{number + 1:08d}-{uuid.uuid4().hex}"
+    target = f"{out_dir}/{folder}"
     with work_folder(spark, out_dir) as work:
         facts = written_table(user_facts(events), "user_facts", work)
         funnel = funnel_tables(facts)
@@ -62,12 +73,17 @@ def run(
             "ab_results_summary": experiment.ab_summary(results),
         }
         for name, table in reports.items():
-            write_artifact(table, out_dir, name, output_format, single_file=True)
+            write_artifact(table, target, name, output_format, single_file=True)
         # One row per user, so it keeps its partitions.
         write_artifact(
-            experiment.assignments(facts), out_dir, "experiment_assignments", output_format
+            experiment.assignments(facts), target, "experiment_assignments", output_format
         )
-    return [*reports, "experiment_assignments"]
+    names = [*reports, "experiment_assignments"]
+    publish(spark, out_dir, {"folder": folder, "format": output_format, "tables": names}, number)
+    gone, _ = withdraw(spark, out_dir, KEPT_RUNS)
+    for run_ in gone:
+        Folder(spark, out_dir).delete(run_["folder"])
+    return names
 
 
 def main() -> None:

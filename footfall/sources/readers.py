@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall import schema
 from footfall.functions.times import parsed_timestamp, utc_time
+from footfall.sources.publication import published
 
 
 class MissingArtifact(FileNotFoundError):
@@ -142,10 +143,15 @@ def read_products(
 def read_artifact(spark: SparkSession, out_dir: str, name: str, fmt: str = "csv") -> DataFrame:
     """A result table by name, with its declared types.
 
-    Raises ``MissingArtifact`` where it has not been written.
+    Of a folder that the batch job published to, the table of its last whole run, in that run's
+    format; else the table that was written to the folder itself. Raises ``MissingArtifact``
+    where it has not been written.
     """
     if name not in schema.ARTIFACTS:
         raise MissingArtifact(f"no such artifact: {name!r}; known: {sorted(schema.ARTIFACTS)}")
+    _, run = published(spark, out_dir)
+    if run is not None and name in run["tables"]:
+        out_dir, fmt = f"{out_dir}/{run['folder']}", run["format"]
     reader = spark.read.schema(schema.ARTIFACTS[name]).format(fmt)
     if fmt == "csv":
         # An empty field is NULL and a quoted empty one a text: NULL gets a sign no text has.

@@ -1,0 +1,168 @@
+"""Facts kept up to date batch by batch, and publications that are whole or not there."""
+
+from __future__ import annotations
+
+import random
+from pathlib import Path
+
+import pytest
+from pyspark.sql import functions as F
+
+from footfall import schema, sources
+from footfall.operators.users import (
+    advanced,
+    facts_of_periods,
+    merge_periods,
+    period_length,
+    user_facts,
+    user_periods,
+)
+from footfall.plans import job
+from footfall.plans.facts_store import FactsStore
+from footfall.sources import publication
+from test_brute_force import EVENTS, random_log
+from test_plans import plan
+from test_sources import csv_inputs
+
+
+def by_user(facts):
+    rows = {r.user_id: r for r in facts.collect()}
+    assert len(rows) == facts.count()
+    return rows
+
+
+def cut(rows, seed, parts):
+    """A log dealt to parts at random days, so that parts are interleaved and late."""
+    rng = random.Random(seed)
+    part_of = {}
+    out = [[] for _ in range(parts)]
+    for row in rows:
+        day = row[3] and row[3].date()
+        out[part_of.setdefault(day, rng.randrange(parts))].append(row)
+    return out
+
+
+@pytest.mark.parametrize("seed", [1, 2, 3])
+def test_cut_at_any_day(spark, seed):
+    rows = random_log(seed)
+    days = sorted({r[3].date() for r in rows if r[3]})
+    day = days[len(days) * seed // 4]
+    first = [r for r in rows if r[3] and r[3].date() < day]
+    second = [r for r in rows if not (r[3] and r[3].date() < day)]
+    whole = user_facts(spark.createDataFrame(rows, EVENTS))
+    for before, after in ((first, second), (second, first)):  # the second way all are late
+        periods = user_periods(spark.createDataFrame(before, EVENTS), period_length())
+        state, facts = advanced(periods, facts_of_periods(periods), spark.createDataFrame(after, EVENTS))
+        assert facts.columns == whole.columns and by_user(facts) == by_user(whole)
+        all_periods = user_periods(spark.createDataFrame(rows, EVENTS), period_length())
+        assert sorted(map(str, state.collect())) == sorted(map(str, all_periods.collect()))
+
+
+def test_a_part_that_is_merged_twice_changes_nothing(spark):
+    periods = user_periods(spark.createDataFrame(random_log(5), EVENTS), 7)
+    twice = merge_periods(periods, periods)
+    assert sorted(map(str, twice.collect())) == sorted(map(str, periods.collect()))
+
+
+def test_only_touched_users_are_computed_again(spark, tmp_path):
+    periods = user_periods(spark.createDataFrame(random_log(5), EVENTS), 7)
+    periods.write.parquet(str(tmp_path / "p"))
+    facts_of_periods(periods).write.parquet(str(tmp_path / "f"))
+    kept = spark.read.parquet(str(tmp_path / "f"))
+    new = spark.createDataFrame([("u1", None, "cart", None)], EVENTS)
+    _, facts = advanced(spark.read.parquet(str(tmp_path / "p")), kept, new)
+    text = plan(facts)
+    assert "LeftSemi" in text and "LeftAnti" in text
+    assert by_user(facts)["u1"].has_cart
+
+
+@pytest.mark.parametrize("options", [
+    {}, {"retention_days": (3, 13), "attribution_days": 4, "activation_hours": 36},
+])
+def test_store(spark, tmp_path, options):
+    rows, path = random_log(7), str(tmp_path / "store")
+    store = FactsStore(spark, path, **options)
+    with pytest.raises(ValueError, match="no batch"):
+        store.facts()
+    so_far = []
+    for i, part in enumerate(cut(rows, 7, 5)):
+        so_far += part
+        assert store.append(spark.createDataFrame(part, EVENTS), f"day {i}")
+        expected = user_facts(spark.createDataFrame(so_far, EVENTS), **options)
+        assert by_user(store.facts()) == by_user(expected)
+        if i == 2:
+            store.compact(keep=1)
+            assert len(list(Path(path, "parts").iterdir())) == 1
+            assert by_user(store.facts()) == by_user(expected)
+    again = FactsStore(spark, path, **options)
+    assert not again.append(spark.createDataFrame(rows, EVENTS), "day 3")
+    assert again.batches() == [f"day {i}" for i in range(5)]
+    assert by_user(again.facts()) == by_user(expected)
+    with pytest.raises(ValueError, match="was made with"):
+        FactsStore(spark, path, attribution_days=2).facts()
+
+
+def test_a_batch_that_stops_halfway_does_not_count(spark, tmp_path):
+    rows, path = random_log(9), str(tmp_path / "store")
+    store = FactsStore(spark, path)
+    half = len(rows) // 2
+    store.append(spark.createDataFrame(rows[:half], EVENTS), "first")
+    before = by_user(store.facts())
+    events = spark.createDataFrame(rows[half:], EVENTS)
+    broken = events.withColumn(
+        "event_timestamp",
+        F.when(F.col("event_type") == "cart", F.raise_error(F.lit("lost")).cast("timestamp_ntz"))
+        .otherwise(F.col("event_timestamp")),
+    )
+    with pytest.raises(Exception, match="lost"):
+        store.append(broken, "second")
+    assert store.batches() == ["first"] and by_user(store.facts()) == before
+    assert store.append(events, "second")
+    assert by_user(store.facts()) == by_user(user_facts(spark.createDataFrame(rows, EVENTS)))
+
+
+def test_publications(spark, tmp_path):
+    path = str(tmp_path / "out")
+    assert publication.published(spark, path) == (0, None)
+    assert publication.publish(spark, path, {"a": 1}, 0) == 1
+    assert publication.publish(spark, path, {"a": "é"}, 1) == 2
+    with pytest.raises(publication.PublicationConflict):
+        publication.publish(spark, path, {"a": 3}, 1)
+    assert publication.published(spark, path) == (2, {"a": "é"})
+    assert publication.withdraw(spark, path, 1) == ([{"a": 1}], [{"a": "é"}])
+    assert publication.published(spark, path) == (2, {"a": "é"})
+    assert [p.name for p in Path(path, "_manifest").iterdir() if p.suffix == ".json"] == ["00000002.json"]
+
+
+@pytest.mark.parametrize("fmt", ["csv", "parquet"])
+def test_a_job_that_stops_halfway_leaves_the_former_results(spark, tmp_path, monkeypatch, fmt):
+    in_dir, out_dir = tmp_path / "in", str(tmp_path / "out")
+    in_dir.mkdir()
+    csv_inputs(in_dir)
+    job.run(spark, str(in_dir), out_dir, output_format=fmt)
+
+    def results():
+        names = schema.ARTIFACTS
+        return {n: sorted(map(str, sources.read_artifact(spark, out_dir, n).collect())) for n in names}
+
+    before = results()
+    events = (in_dir / "events.csv").read_text(encoding="utf-8").splitlines()
+    (in_dir / "events.csv").write_text("\n".join(events[: len(events) // 2]) + "\n", encoding="utf-8")
+    write, written = job.write_artifact, []
+
+    def stops(table, folder, name, *rest, **more):
+        if len(written) == 5:
+            raise RuntimeError("lost")
+        written.append(name)
+        write(table, folder, name, *rest, **more)
+
+    monkeypatch.setattr(job, "write_artifact", stops)
+    with pytest.raises(RuntimeError, match="lost"):
+        job.run(spark, str(in_dir), out_dir, output_format=fmt)
+    assert len(written) == 5 and results() == before
+    monkeypatch.setattr(job, "write_artifact", write)
+    job.run(spark, str(in_dir), out_dir, output_format=fmt)
+    assert results() != before
+    reader = sources.read_artifact(spark, out_dir, "experiment_assignments")
+    job.run(spark, str(in_dir), out_dir, output_format=fmt)
+    assert reader.count() > 0  # the former run's tables are still there
