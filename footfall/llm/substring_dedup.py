@@ -29,6 +29,7 @@ from itertools import compress
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
 from footfall.llm.tables import small_batches, written
@@ -176,8 +177,7 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _named(documents: DataFrame) -> DataFrame:
-    id = F.col("doc_id").cast("bigint").alias("doc_id")
-    return documents.select(id, F.xxhash64("text").alias("_own"), "text")
+    return documents.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
 
 
 # --- passes over the texts ------------------------------------------------------------
@@ -236,7 +236,7 @@ def _lists(values: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Arra
 FACTORED = pa.schema(
     {
         "doc_id": pa.int64(),
-        "_own": pa.int64(),
+        "_row": pa.int64(),
         "n_words": pa.int64(),
         "n_removed": pa.int64(),
         "kept_sha256": pa.string(),
@@ -255,7 +255,8 @@ def factored(marked: DataFrame) -> DataFrame:
 
     ``marked`` has the shared anchors of each document: ``_whole``, whose blocks are all alike
     and stand in an earlier document, and ``_differ``, whose blocks aren't. Documents without a
-    boundary block are done; others have their text and the spans of whole blocks.
+    boundary block are done; others have their text and the spans of whole blocks. ``_row`` numbers
+    the documents.
     """
 
     def mask(found: Blocks, anchors: pa.Array) -> np.ndarray:
@@ -270,8 +271,10 @@ def factored(marked: DataFrame) -> DataFrame:
         return np.isin(found.anchor + _mixed(found.text.astype(np.uint64)), held + _mixed(of))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done = TaskContext.get().partitionId() << 33
         for batch in small_batches(batches, "text"):
             n = batch.num_rows
+            numbers, done = np.arange(done, done + n), done + n
             data, offsets = _bytes_of(batch.column("text"))
             found = Blocks(data, offsets)
             whole, differ = (mask(found, batch.column(c)) for c in ("_whole", "_differ"))
@@ -289,7 +292,7 @@ def factored(marked: DataFrame) -> DataFrame:
                 digests.append(None if open_ones[i] else _kept_digest(text, gone))
             columns = {
                 "doc_id": batch.column("doc_id"),
-                "_own": batch.column("_own"),
+                "_row": pa.array(numbers),
                 "n_words": pa.array(found.n_words),
                 "n_removed": pa.array(removed, pa.int64()),
                 "kept_sha256": pa.array(digests, pa.string()),
@@ -305,7 +308,7 @@ def factored(marked: DataFrame) -> DataFrame:
                 places = np.arange(upto[-1]) + np.repeat(at - upto + length, length)
                 columns = {
                     "doc_id": batch.column("doc_id").take(of),
-                    "_own": batch.column("_own").take(of),
+                    "_row": pa.array(numbers).take(of),
                     "_anchor": _signed(found.anchor[differ]),
                     "begin": pa.array(found.begin[differ]),
                     "_windows": _lists(found.windows[places].view(np.int64), length, pa.int64()),
@@ -393,21 +396,19 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     rows = written(factored(marked), "factored")
 
     boundary = rows.where("begin IS NOT NULL").select(
-        "doc_id", "_own", "_anchor", "begin", F.posexplode("_windows").alias("_i", "_window")
+        "doc_id", "_row", "_anchor", "begin", F.posexplode("_windows").alias("_i", "_window")
     )
     keys = ["_anchor", "_window"]
+    boundary = boundary.select("doc_id", "_row", *keys, (F.col("begin") + F.col("_i")).alias("_at"))
     # a table of its own, so that the join may split a window that very many texts share
     first = written(_in_two(boundary.select("doc_id", *keys), keys), "window-index")
     at_ends = boundary.join(first, keys).where(_earlier("_least", "doc_id"))
-    by_doc = at_ends.groupBy(F.col("doc_id").alias("_of"), F.col("_own").alias("_hash")).agg(
-        F.collect_set(F.col("begin") + F.col("_i")).alias("_at")
-    )
+    by_row = at_ends.groupBy("_row").agg(F.collect_set("_at").alias("_at"))
     done = rows.where("begin IS NULL AND kept_sha256 IS NOT NULL").select(*NAMES)
     rest = rows.where("begin IS NULL AND kept_sha256 IS NULL").select(
-        "doc_id", "_own", "n_words", "text", "_begins", "_ends"
+        "doc_id", "_row", "n_words", "text", "_begins", "_ends"
     )
-    same = F.col("doc_id").eqNullSafe(F.col("_of")) & (F.col("_own") == F.col("_hash"))
-    return done.unionByName(_cleaned(rest.join(by_doc, same, "left")))
+    return done.unionByName(_cleaned(rest.join(by_row, "_row", "left")))
 
 
 #: The same from all windows, for ids that are set and distinct.
