@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from footfall import schema
 from footfall.functions.times import parsed_timestamp, utc_time
 from footfall.sources.publication import published
+from footfall.sources.records import parsed, records
 
 
 class MissingArtifact(FileNotFoundError):
@@ -46,6 +47,8 @@ def _csv(spark: SparkSession, path: str, multi_line: bool) -> DataFrame:
     whichever columns are read."""
     reader = spark.read.options(**CSV_FORM, mode="FAILFAST", multiLine=multi_line)
     names = reader.csv(path).columns
+    if multi_line:
+        return parsed(records(spark, path), names, CSV_FORM)
     declared = T.StructType([T.StructField(name, T.StringType()) for name in names])
     return reader.options(columnPruning=False, enforceSchema=False).schema(declared).csv(path)
 
@@ -56,7 +59,8 @@ def _read(
     """The declared columns by name, in any order and among any others.
 
     CSV columns are text; Parquet columns keep their own types, so numeric ids stay
-    numeric. ``multi_line`` is for CSV with line breaks in quotes; such a file is not split.
+    numeric. ``multi_line`` is for CSV with line breaks in quotes, see
+    ``sources.records``.
     """
     if fmt == "csv":
         table = _csv(spark, path, multi_line)
