@@ -158,6 +158,11 @@ def _window_facts(events: DataFrame) -> DataFrame:
     return _rounded(facts, "time_to_activation_hours")
 
 
+def _quarantined_out(events: DataFrame) -> DataFrame:
+    bad = quality.quarantined(quality.judged(events))
+    return bad.withColumn("reasons", F.array_join("reasons", ","))
+
+
 def _kept_facts(events: DataFrame) -> DataFrame:
     """Facts of a log that came in two parts: by the week, and each part has late events."""
     ts = F.col("event_timestamp")
@@ -204,6 +209,21 @@ def library_queries() -> dict[str, Query]:
         "sanity_unexpected_types": _on(bindings.raw_clickstream, quality.unexpected_event_types),
         "sanity_bad_timestamps": _on(bindings.raw_clickstream, quality.bad_timestamps),
         "timestamp_forms": _on(bindings.raw_clickstream, quality.timestamp_forms),
+        "patterned_bad_timestamps": _on(
+            bindings.patterned_clickstream,
+            lambda e: quality.bad_timestamps(e, bindings.CLOCK_PATTERN, bindings.CLOCK_ZONE),
+        ),
+        "patterned_timestamp_forms": _on(
+            bindings.patterned_clickstream,
+            lambda e: quality.timestamp_forms(e, bindings.CLOCK_PATTERN),
+        ),
+        "quarantine_counts": _on(
+            bindings.raw_clickstream, lambda e: quality.quarantine_counts(quality.judged(e))
+        ),
+        "quarantined_events": _on(bindings.raw_clickstream, _quarantined_out),
+        "good_user_facts": _on(
+            bindings.raw_clickstream, lambda e: _facts_out(quality.good_events(quality.judged(e)))
+        ),
         # per-user tables
         "user_flags": _on(_events, user_flags),
         "user_facts": _on(_events, _facts_out),
@@ -369,6 +389,22 @@ _RAW_CLICK_EVENTS = """ev AS (
          END AS ts
   FROM events)"""
 
+_PATTERNED = """ev AS (
+  SELECT CASE WHEN value < 60 THEN
+           CASE WHEN event_type = 'error' THEN props
+                ELSE strftime(ts + INTERVAL 330 MINUTE, '%d.%m.%Y, %H-%M-%S') END END AS ts
+  FROM events)"""
+
+_JUDGED = """judged AS (
+  SELECT user_id, kind, ts, list_filter([
+    CASE WHEN coalesce(trim(user_id), '') = '' THEN 'missing_user_id' END,
+    CASE WHEN coalesce(trim(kind), '') = '' THEN 'missing_event_type'
+         WHEN kind NOT IN ('view', 'cart', 'purchase', 'wishlist') THEN 'unexpected_event_type' END,
+    CASE WHEN ts IS NULL THEN 'missing_event_timestamp'
+         WHEN try_cast(ts AS TIMESTAMP) IS NULL THEN 'unparsable_timestamp' END],
+    lambda x: x IS NOT NULL) AS reasons
+  FROM ev)"""
+
 _FLAGS = """flags AS (
   SELECT user_id, bool_or(kind = 'view') AS v, bool_or(kind = 'cart') AS c,
          bool_or(kind = 'purchase') AS p
@@ -581,6 +617,23 @@ FROM flags JOIN listed USING (user_id) WHERE c {0} GROUP BY value"""
        count(*) FILTER (WHERE ts IS NULL) AS missing_timestamps,
        count(*) FILTER (WHERE ts IS NOT NULL AND try_cast(ts AS TIMESTAMP) IS NULL)
          AS unparsable_timestamps FROM ev"""),
+        "patterned_bad_timestamps": _with(_PATTERNED, """SELECT count(*) AS events,
+       count(*) FILTER (WHERE ts IS NULL) AS missing_timestamps,
+       count(*) FILTER (WHERE ts IS NOT NULL AND
+         try_strptime(ts, '%d.%m.%Y, %H-%M-%S') IS NULL) AS unparsable_timestamps FROM ev"""),
+        "patterned_timestamp_forms": _with(_PATTERNED, """SELECT 0::BIGINT AS with_zone,
+       count(*) FILTER (WHERE try_strptime(ts, '%d.%m.%Y, %H-%M-%S') IS NOT NULL)
+         AS without_zone FROM ev"""),
+        "quarantine_counts": _with(raw, _JUDGED, """each AS (
+  SELECT unnest(reasons) AS reason FROM judged
+  UNION ALL SELECT CASE WHEN len(reasons) = 0 THEN '(good)' ELSE '(quarantined)' END FROM judged)""",
+            "SELECT reason, count(*) AS cnt FROM each GROUP BY reason"),
+        "quarantined_events": _with(raw, _JUDGED, """SELECT user_id, kind AS event_type,
+       ts AS event_timestamp, array_to_string(reasons, ',') AS reasons
+FROM judged WHERE len(reasons) > 0"""),
+        "good_user_facts": _with(raw.replace("ev AS", "raw AS"), _JUDGED.replace("FROM ev", "FROM raw"),
+            """ev AS (SELECT user_id, kind, CAST(ts AS TIMESTAMP) AS ts
+  FROM judged WHERE len(reasons) = 0)""", _FACTS, _FACTS_OUT),
         "user_flags": _with(orders, _FLAGS, """SELECT user_id, v AS has_view, c AS has_cart,
        p AS has_purchase FROM flags"""),
         "user_facts": _with(orders, _FACTS, _FACTS_OUT),

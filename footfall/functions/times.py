@@ -48,27 +48,35 @@ ZONED = r"\d:\d{1,2}(:\d{1,2}(\.\d*)?)?\s*[A-Za-z+-]"
 ZONE_LETTERS = set("VzOXxZ")
 
 
-def has_zone(text: Column) -> Column:
-    return text.rlike(ZONED)
+def has_zone(text: Column, pattern: str | None = None) -> Column:
+    """The text has an offset or zone of its own; with a ``pattern`` the pattern tells."""
+    return text.rlike(ZONED) if pattern is None else F.lit(pattern_has_zone(pattern))
+
+
+def pattern_has_zone(pattern: str) -> bool:
+    return bool(ZONE_LETTERS & set("".join(pattern.split("'")[::2])))
 
 
 def parsed_timestamp(text: Column, pattern: str | None = None, zone: str = "UTC") -> Column:
-    """Text to TIMESTAMP_NTZ in UTC; NULL where it does not parse as ISO.
+    """Text to TIMESTAMP_NTZ in UTC; NULL where it does not parse, in ANSI mode too.
 
-    With a ``pattern`` Spark decides what fails: an error in ANSI mode.
+    Without a ``pattern`` ISO texts are read. Texts without a zone are times of ``zone``.
     """
 
     def in_utc(wall: Column) -> Column:
         return wall if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
 
     if pattern is None:
-        instant = F.when(has_zone(text), text).try_cast("timestamp")
-        wall = F.when(~has_zone(text), text).try_cast("timestamp_ntz")
+        # one instant, from the text as it is or with an offset; the test runs once per row
+        zoned = F.when(has_zone(text), text)
+        instant = zoned.try_cast("timestamp")
+        wall = F.when(zoned.isNull(), text).try_cast("timestamp_ntz")
         return F.coalesce(utc_time(instant), in_utc(wall))
-    outside_quotes = "".join(pattern.split("'")[::2])
-    if ZONE_LETTERS & set(outside_quotes):
-        return utc_time(F.to_timestamp(text, pattern))
-    return in_utc(F.to_timestamp_ntz(text, F.lit(pattern)))
+    if pattern_has_zone(pattern):
+        return utc_time(F.try_to_timestamp(text, F.lit(pattern)))
+    # an offset of nought, as there is no form for times without zone that doesn't fail
+    instant = F.try_to_timestamp(F.concat(text, F.lit(" +00:00")), F.lit(f"{pattern} xxx"))
+    return in_utc(utc_time(instant))
 
 
 def day_number(ts: Column) -> Column:

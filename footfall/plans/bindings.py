@@ -96,6 +96,24 @@ def text_clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return clickstream(spark, sf_dir).withColumn("event_timestamp", text)
 
 
+# The clock of ``patterned_clickstream``.
+CLOCK_PATTERN, CLOCK_ZONE = "dd.MM.yyyy, HH-mm-ss", "Asia/Kolkata"
+
+
+def patterned_clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``raw_clickstream``'s timestamps as texts of another pattern and clock."""
+    ahead = F.col("ts") + F.make_dt_interval(hours=F.lit(5), mins=F.lit(30))
+    told = F.date_format(ahead, CLOCK_PATTERN)
+    return _table(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("user_id"),
+        "event_type",
+        F.when(
+            F.col("value") < 60,
+            F.when(F.col("event_type") == "error", F.col("props")).otherwise(told),
+        ).alias("event_timestamp"),
+    )
+
+
 def clickstream(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The event stream with one visitor per account and device number.
 

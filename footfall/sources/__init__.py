@@ -8,6 +8,7 @@ from footfall.sources.readers import (
     read_events,
     read_products,
     read_raw_events,
+    read_split_events,
     read_users,
 )
 from footfall.sources.tables import register_views, work_folder, written_table
@@ -21,6 +22,7 @@ __all__ = [
     "read_events",
     "read_products",
     "read_raw_events",
+    "read_split_events",
     "read_users",
     "register_views",
     "work_folder",

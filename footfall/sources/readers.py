@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from footfall import schema
 from footfall.functions.times import parsed_timestamp, utc_time
+from footfall.operators import quality
 from footfall.sources.publication import published
 from footfall.sources.records import parsed, records
 
@@ -127,6 +128,27 @@ def read_events(
     return prepare_events(_read(spark, path, schema.EVENTS, fmt, multi_line), pattern, zone)
 
 
+def read_split_events(
+    spark: SparkSession,
+    path: str,
+    quarantine: str,
+    fmt: str = "csv",
+    multi_line: bool = False,
+    pattern: str | None = None,
+    zone: str = "UTC",
+) -> tuple[DataFrame, DataFrame]:
+    """(good rows, counts): bad rows go to a Parquet table instead of failing the job.
+
+    The log is judged once. Its bad rows are written to ``quarantine``, with their reasons,
+    and taken from the good ones; ``quality.quarantine_counts`` tells how many there are. Rows
+    of good and bad together are the rows of the log.
+    """
+    raw = read_raw_events(spark, path, fmt, multi_line)
+    judged = quality.judged(raw, pattern=pattern, zone=zone)
+    quality.quarantined(judged).write.mode("overwrite").parquet(quarantine)
+    return quality.good_events(judged), quality.quarantine_counts(judged)
+
+
 def read_users(
     spark: SparkSession,
     path: str,

@@ -1,0 +1,97 @@
+"""Bad rows of a log set aside, and timestamp checks by the reader's own pattern."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+import pytest
+from pyspark.errors import PySparkException
+
+from footfall import sources
+from footfall.operators import quality
+from test_sources import HEADER, write_text
+
+RAW = "user_id string, product_id string, event_type string, event_timestamp string"
+ROWS = [
+    ("u1", "p", "view", "2024-01-01 10:00:00"),
+    ("u1", "p", "cart", "2024-01-01T10:00:00+02:00"),
+    (" ", "p", "view", "2024-01-01"),
+    (None, None, None, None),
+    ("u2", "p", "error", "yesterday"),
+    ("u2", "p", "\t", "2024-02-30 00:00:00"),
+    ("u3", "p", "purchase", None),
+]
+REASONS = {
+    2: ["missing_user_id"],
+    3: ["missing_user_id", "missing_event_type", "missing_event_timestamp"],
+    4: ["unexpected_event_type", "unparsable_timestamp"],
+    5: ["unexpected_event_type", "unparsable_timestamp"],  # only blanks are missing, no tab
+    6: ["missing_event_timestamp"],
+}
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+def test_every_row_is_good_or_set_aside(spark, ansi):
+    before = spark.conf.get("spark.sql.ansi.enabled")
+    spark.conf.set("spark.sql.ansi.enabled", ansi)
+    try:
+        raw = spark.createDataFrame(ROWS, RAW)
+        judged = quality.judged(raw)
+        bad = {tuple(r)[:4]: r.reasons for r in quality.quarantined(judged).collect()}
+        expected = {ROWS[i]: r for i, r in REASONS.items()}
+        assert bad == expected
+        good = quality.good_events(judged)
+        assert good.columns == raw.columns and dict(good.dtypes)["event_timestamp"] == "timestamp_ntz"
+        assert sorted(r.event_timestamp for r in good.collect()) == [datetime(2024, 1, 1, 8), datetime(2024, 1, 1, 10)]
+        counts = {r.reason: r.cnt for r in quality.quarantine_counts(judged).collect()}
+        assert counts.pop("(good)") + counts.pop("(quarantined)") == len(ROWS)
+        assert sum(counts.values()) == sum(map(len, expected.values()))
+        one = quality.bad_timestamps(raw).first()
+        assert counts["unparsable_timestamp"] == one.unparsable_timestamps
+        assert counts["missing_event_timestamp"] == one.missing_timestamps
+    finally:
+        spark.conf.set("spark.sql.ansi.enabled", before)
+
+
+def test_split_read(spark, tmp_path):
+    path = write_text(tmp_path / "events.csv", HEADER + (
+        "1,u1,p1,view,2024-01-01 10:00:00,x\n2,u1,p1,view,yesterday,x\n3,,p1,cart,2024-01-01,x\n"
+    ))
+    side = str(tmp_path / "bad")
+    good, counts = sources.read_split_events(spark, path, side)
+    assert [r.event_id for r in good.collect()] == ["1"]
+    assert {r.event_id: r.reasons for r in spark.read.parquet(side).collect()} == {
+        "2": ["unparsable_timestamp"], "3": ["missing_user_id"],
+    }
+    assert {r.reason: r.cnt for r in counts.collect()} == {
+        "(good)": 1, "(quarantined)": 2, "unparsable_timestamp": 1, "missing_user_id": 1,
+    }
+    nothing = write_text(tmp_path / "none.csv", HEADER)
+    good, counts = sources.read_split_events(spark, nothing, str(tmp_path / "none"))
+    assert good.count() == 0 and counts.count() == 0
+
+
+@pytest.mark.parametrize("ansi", ["true", "false"])
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_checks_know_the_readers_pattern(spark, ansi, zone):
+    settings = {"spark.sql.ansi.enabled": ansi, "spark.sql.session.timeZone": zone}
+    before = {k: spark.conf.get(k) for k in settings}
+    for key, value in settings.items():
+        spark.conf.set(key, value)
+    try:
+        texts = ["10/03/2024 02:30", "31/02/2024 00:00", "2024-01-01 00:00:00", None, ""]
+        raw = spark.createDataFrame([(t,) for t in texts], "event_timestamp string")
+        pattern = "dd/MM/yyyy HH:mm"  # 02:30 isn't on New York's clocks that day
+        assert tuple(quality.bad_timestamps(raw, pattern).first()) == (5, 1, 3)
+        assert tuple(quality.timestamp_forms(raw, pattern).first()) == (0, 1)
+        one = raw.limit(1)
+        assert sources.parse_timestamps(one, pattern).first()[0] == datetime(2024, 3, 10, 2, 30)
+        assert sources.parse_timestamps(one, pattern, "Asia/Kolkata").first()[0] == datetime(2024, 3, 9, 21)
+        with pytest.raises(PySparkException, match="does not parse"):
+            sources.parse_timestamps(raw, pattern).collect()
+        zoned = spark.createDataFrame([("10/03/2024 02:30 +0100",), ("10/03/2024 02:30",)], "event_timestamp string")
+        assert tuple(quality.bad_timestamps(zoned, f"{pattern} xx").first()) == (2, 0, 1)
+        assert tuple(quality.timestamp_forms(zoned, f"{pattern} xx").first()) == (1, 0)
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
