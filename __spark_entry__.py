@@ -15,6 +15,7 @@ from __future__ import annotations
 import os
 import sys
 from collections.abc import Callable
+from datetime import date
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
@@ -27,6 +28,7 @@ from footfall.operators import (  # noqa: E402
     reports,
     retention,
     segments,
+    sketches,
 )
 from footfall.operators.users import (  # noqa: E402
     advanced,
@@ -158,6 +160,52 @@ def _window_facts(events: DataFrame) -> DataFrame:
     return _rounded(facts, "time_to_activation_hours")
 
 
+def _sketched_users(events: DataFrame) -> DataFrame:
+    """Estimates of whole weeks, and whether they are as near to the exact count as stated."""
+    daily = sketches.daily_sketches(events)
+    week = F.date_trunc("week", F.col("event_timestamp")).cast("date")
+    exact = (
+        events.where(F.col("user_id").isNotNull())
+        .groupBy(week.alias("week"), "event_type")
+        .agg(F.count_distinct("user_id").alias("exact_users"), F.count("*").alias("events"))
+    )
+    rolled = sketches.rolling_users(daily, 7).select(
+        F.date_sub("event_date", 6).alias("week"), "event_type", "users"
+    )
+    off = F.abs(F.col("users") - F.col("exact_users"))
+    bound = F.greatest(F.lit(1.0), F.col("exact_users") * sketches.relative_error(sigmas=4))
+    return exact.join(rolled, ["week", "event_type"]).select(
+        F.col("week").cast("string").alias("week"),
+        "event_type",
+        "events",
+        "exact_users",
+        (off <= bound).alias("within_error"),
+    )
+
+
+#: Bits of theta sketches that are exact for the tables here.
+EXACT = 18
+
+
+def _sketched_funnel(first: date | None, last: date | None) -> Callable[[DataFrame], DataFrame]:
+    return lambda events: sketches.funnel_in_range(
+        sketches.daily_sketches(events, "theta", EXACT), first, last, lg_k=EXACT
+    )
+
+
+def _sketched_by_parts(events: DataFrame) -> DataFrame:
+    """Daily users by type, from two parts of the log that share all days."""
+    half = F.pmod(F.xxhash64("user_id", "event_timestamp"), F.lit(2)) == 0
+    parts = [sketches.daily_sketches(e, "theta", EXACT) for e in (events.where(half), events.where(~half))]
+    merged = sketches.merge_days(*parts, "theta", EXACT)
+    return merged.select(
+        F.col("event_date").cast("string").alias("event_date"),
+        "event_type",
+        "events",
+        F.theta_sketch_estimate("users").alias("users"),
+    )
+
+
 def _quarantined_out(events: DataFrame) -> DataFrame:
     bad = quality.quarantined(quality.judged(events))
     return bad.withColumn("reasons", F.array_join("reasons", ","))
@@ -261,6 +309,10 @@ def library_queries() -> dict[str, Query]:
             _events, lambda e: funnel.users_in_both(funnel_users(e), "cart", "purchase")
         ),
         "tracking_gaps": _on(_events, lambda e: funnel.tracking_gaps(user_flags(e))),
+        "sketched_users": _on(_clicks, _sketched_users),
+        "sketched_daily_users": _on(_clicks, _sketched_by_parts),
+        "sketched_funnel": _on(_clicks, _sketched_funnel(None, None)),
+        "sketched_funnel_range": _on(_clicks, _sketched_funnel(date(2024, 1, 5), date(2024, 1, 20))),
         # retention
         "cohort_month": _on(_events, analyses.build_cohort_retention_week1),
         "cohort_day": _on(_events, lambda e: analyses.build_cohort_retention_week1(e, "day")),
@@ -686,6 +738,18 @@ lost AS (
             """SELECT *, coalesce(lost_rate = (SELECT max(lost_rate) FROM lost), false)
          AS largest_leak FROM lost"""),
         "clicks_funnel_rates": _with(clicks, _FLAGS, _TOTALS, _LOOSE, loose),
+        "sketched_users": _with(clicks, """ends AS (SELECT max(CAST(ts AS DATE)) AS last FROM ev)""",
+            """SELECT CAST(CAST(date_trunc('week', ts) AS DATE) AS VARCHAR) AS week, kind AS event_type,
+       count(*) AS events, count(DISTINCT user_id) AS exact_users, true AS within_error
+FROM ev, ends GROUP BY date_trunc('week', ts), kind, last
+HAVING CAST(date_trunc('week', ts) AS DATE) + 6 <= last"""),
+        "sketched_daily_users": _with(clicks, """SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS event_date,
+       kind AS event_type, count(*) AS events, count(DISTINCT user_id) AS users
+FROM ev GROUP BY CAST(ts AS DATE), kind"""),
+        "sketched_funnel": _with(clicks, _FLAGS, _TOTALS, wide),
+        "sketched_funnel_range": _with(clicks.replace("ev AS", "whole AS"), """ev AS (
+  SELECT * FROM whole WHERE ts >= DATE '2024-01-05' AND ts < DATE '2024-01-21')""",
+            _FLAGS, _TOTALS, wide),
         "ordered_times": _with(orders, _ORDERED, _ORDERED_OUT),
         "clicks_ordered_times": _with(clicks, _ORDERED, _ORDERED_OUT),
         "accounts_ordered_times": _with(_ACCOUNT_EVENTS, _ORDERED, _ORDERED_OUT),
