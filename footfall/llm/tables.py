@@ -36,6 +36,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def let_go(spark: SparkSession) -> None:
+    """Have Spark drop the shuffle files of steps that are done.
+
+    Its cleaner does so once the driver's JVM has collected what stood for them, which by
+    itself may not happen before the job's end.
+    """
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 def small_batches(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 22
 ) -> Iterator[pa.RecordBatch]:
