@@ -336,6 +336,12 @@ def library_queries() -> dict[str, Query]:
         "primary_category": _on_tables(
             lambda t: segments.primary_category(t.events, t.products)
         ),
+        "primary_category_eager": _on_tables(
+            lambda t: segments.primary_category(t.events, t.products, eager=True)
+        ),
+        "gapped_primary_category_eager": _gapped(
+            lambda t: segments.primary_category(t.events, t.products, eager=True)
+        ),
         "segment_category": _on_tables(_category_segments),
         "gapped_segment_attribute": _gapped_segments(keep_null=False),
         "gapped_segment_attribute_null": _gapped_segments(keep_null=True),
@@ -785,6 +791,11 @@ FROM facts"""),
             orders, _SEGMENTS, segment_columns + " WHERE segment_type = 'mktsegment'"),
         "primary_category": _with(
             orders, _PRIMARY, "SELECT user_id, category AS primary_cart_category FROM preferred"),
+        "primary_category_eager": _with(
+            orders, _PRIMARY, "SELECT user_id, category AS primary_cart_category FROM preferred"),
+        "gapped_primary_category_eager": _with(
+            orders, gapped, _PRIMARY.replace("JOIN part ", "JOIN gapped_parts "),
+            "SELECT user_id, category AS primary_cart_category FROM preferred"),
         "segment_category": _with(
             orders, _SEGMENTS, segment_columns + " WHERE segment_type = 'primary_cart_category'"),
         "segment_conversion": _with(orders, _SEGMENTS, segment_columns),

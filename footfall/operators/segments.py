@@ -56,7 +56,9 @@ def segment_by_attribute(
     return _conversion(members, attribute)
 
 
-def primary_category(events: DataFrame, products: DataFrame) -> DataFrame:
+def primary_category(
+    events: DataFrame, products: DataFrame, eager: bool = False
+) -> DataFrame:
     """``user_id, primary_cart_category``: the category a user carted most often.
 
     Ties go to the category carted first, then to the first in the alphabet. Carts of
@@ -65,15 +67,27 @@ def primary_category(events: DataFrame, products: DataFrame) -> DataFrame:
     The product join carries no broadcast hint: Spark broadcasts the table when its
     measured size is below the session's threshold and otherwise shuffles by product,
     where adaptive execution splits the partition of a hot product.
+
+    ``eager`` counts carts by user and product before that join, so that it gets one row for each
+    user and product, however often the user carted it. That is one more shuffle, of those rows;
+    it pays where users cart the same products many times and the table of products is too
+    large to be broadcast. The caller chooses; the result is the same.
     """
     carts = events.where(
         (F.col("event_type") == "cart") & F.col("user_id").isNotNull()
     ).select("user_id", "product_id", "event_timestamp")
     categories = products.where(F.col("category").isNotNull()).select("product_id", "category")
+    first, count = F.min("event_timestamp"), F.count("*")
+    if eager:
+        known = carts.where(F.col("product_id").isNotNull())
+        carts = known.groupBy("user_id", "product_id").agg(
+            count.alias("n"), first.alias("event_timestamp")
+        )
+        count = F.sum("n")
     per_category = (
         carts.join(categories, "product_id")
         .groupBy("user_id", "category")
-        .agg(F.count("*").alias("cnt"), F.min("event_timestamp").alias("first_ts"))
+        .agg(count.alias("cnt"), first.alias("first_ts"))
     )
     best_first = Window.partitionBy("user_id").orderBy(
         F.desc("cnt"), F.asc_nulls_last("first_ts"), F.asc("category")

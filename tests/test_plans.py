@@ -6,6 +6,7 @@ import re
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as registry
 from conftest import table_dir
@@ -80,6 +81,21 @@ def test_primary_category_prunes_before_the_user_shuffle(events, spark):
     assert "payload" not in text
 
 
+def test_carts_may_be_counted_before_the_product_join(events, spark):
+    """In a dense log the join gets one row per user and product instead of one per cart."""
+    products = spark.range(101).selectExpr("concat('p', id) AS product_id", "concat('c', id % 7) AS category")
+    dense = events.withColumn("user_id", F.concat(F.lit("u"), F.length("user_id").cast("string")))
+    found = {eager: segments.primary_category(dense, products, eager=eager) for eager in (False, True)}
+    assert sorted(found[True].collect()) == sorted(found[False].collect())
+    carts = dense.where("event_type = 'cart'")
+    pairs = carts.select("user_id", "product_id").distinct().count()
+    assert pairs * 20 < carts.count()
+    for eager in (True, False):
+        text = plan(segments.primary_category(dense, products, eager=eager))
+        below = text[text.index("Join"):]  # children come after their operator
+        assert ("partial_count" in below) == eager
+
+
 def test_hot_product_is_split_at_run_time(events, spark):
     products = spark.range(101).selectExpr("concat('p', id) AS product_id", "'A' AS category")
     settings = {
