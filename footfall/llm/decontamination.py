@@ -56,10 +56,15 @@ def shingles(text: Column) -> Column:
     )
 
 
+def _item() -> Column:
+    """An item is its id, which may be NULL, and its text."""
+    return F.xxhash64(F.col("item_id").isNull(), "item_id", "text").alias("_item")
+
+
 def sketches(items: DataFrame) -> DataFrame:
     """_item, its number of shingles n, its size partition, and a row per hash of its sketch."""
     sized = items.select(
-        F.col("item_id").alias("_item"),
+        _item(),
         F.array_sort(F.array_distinct(hashes(F.col("text")))).alias("_hashes"),
     ).withColumn("n", F.size("_hashes"))
     kept = F.floor(F.lit(1 - CONTAINMENT) * F.col("n") + 1e-9).cast("int") + 1
@@ -107,15 +112,15 @@ def candidates(documents: DataFrame, sketch: DataFrame) -> DataFrame:
 
 def found(documents: DataFrame, items: DataFrame) -> DataFrame:
     """doc_id, _own (hash of the text), item_id and containment of each item that is in a text."""
-    named, known = documents.select("doc_id", "text"), items.select("item_id", "text")
+    named, known = documents.select("doc_id", "text"), items.select("item_id", "text").distinct()
     pairs = written(candidates(named, written(sketches(known), "sketches")), "candidates")
-    whole = known.select(F.col("item_id").alias("_of"), shingles(F.col("text")).alias("_wanted"))
+    whole = known.select(_item().alias("_of"), "item_id", shingles(F.col("text")).alias("_wanted"))
     texts = named.select("doc_id", F.xxhash64("text").alias("_own"), "text")
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_own") == F.col("_text_hash"))
     both = texts.join(pairs, same).join(whole, F.col("_item") == F.col("_of"))
     shared = F.size(F.array_intersect("_wanted", shingles(F.col("text"))))
     measured = both.select(
-        "doc_id", "_own", F.col("_item").alias("item_id"), (shared / F.size("_wanted")).alias("containment")
+        "doc_id", "_own", "item_id", (shared / F.size("_wanted")).alias("containment")
     )
     return measured.where(F.col("containment") >= CONTAINMENT - 1e-9)
 
@@ -125,7 +130,9 @@ def leaks(documents: DataFrame, items: DataFrame) -> DataFrame:
 
     Rows of equal doc_id and text give one row per item. A NULL or short text contains
     nothing; an item of fewer than five words has no shingle and is found nowhere; items of
-    equal text are each found. Empty tables give no rows. Other columns don't matter.
+    equal text are each found, and so are items without id, as NULL. Texts of one item_id are
+    measured each for itself, and so are texts of one doc_id; equal rows are given once. Empty
+    tables give no rows. Other columns don't matter.
     """
     return found(documents, items).select("doc_id", "item_id", "containment").distinct()
 
@@ -141,19 +148,25 @@ def clean_documents(documents: DataFrame, items: DataFrame) -> DataFrame:
 
 #: The same pairs, from all shingles.
 ORACLE_SQL = f"""
-WITH item_words AS (
-  SELECT item_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
-  FROM benchmark),
+WITH items AS (
+  SELECT row_number() OVER () AS k, item_id, text FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+docs AS (
+  SELECT row_number() OVER () AS r, doc_id, text FROM (SELECT DISTINCT doc_id, text FROM documents)),
+item_words AS (
+  SELECT k, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM items),
 item_shingles AS (
-  SELECT DISTINCT item_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s
+  SELECT DISTINCT k, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s
   FROM item_words, unnest(range(1, len(w) - {SHINGLE - 2})) AS t(i)),
 doc_words AS (
-  SELECT doc_id, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
-  FROM documents),
+  SELECT r, list_filter(regexp_split_to_array(lower(text), '[^\\p{{L}}\\p{{N}}]+'), lambda x: x <> '') AS w
+  FROM docs),
 doc_shingles AS (
-  SELECT DISTINCT doc_id, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s
+  SELECT DISTINCT r, array_to_string(w[i:i + {SHINGLE - 1}], ' ') AS s
   FROM doc_words, unnest(range(1, len(w) - {SHINGLE - 2})) AS t(i)),
-sizes AS (SELECT item_id, count(*) AS n FROM item_shingles GROUP BY item_id)
-SELECT doc_id, item_id, CAST(count(*) AS DOUBLE) / n AS containment
-FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (item_id)
-GROUP BY doc_id, item_id, n HAVING count(*) >= {CONTAINMENT} * n"""
+sizes AS (SELECT k, count(*) AS n FROM item_shingles GROUP BY k),
+found AS (
+  SELECT r, k, CAST(count(*) AS DOUBLE) / n AS containment
+  FROM doc_shingles JOIN item_shingles USING (s) JOIN sizes USING (k)
+  GROUP BY r, k, n HAVING count(*) >= {CONTAINMENT} * n)
+SELECT DISTINCT doc_id, item_id, containment FROM found JOIN docs USING (r) JOIN items USING (k)"""

@@ -549,3 +549,19 @@ def test_containment_at_the_limit(spark):
     items = spark.createDataFrame([(7, " ".join(item))], "item_id bigint, text string")
     rows = {r.doc_id: r.containment for r in decontamination.leaks(docs, items).collect()}
     assert rows == {1: pytest.approx(1.0), 2: pytest.approx(38 / 40)}
+
+
+def test_items_without_id_and_of_one_id(spark):
+    one, two, three = (" ".join(f"{c}{i}" for i in range(12)) for c in "xyz")
+    documents = spark.createDataFrame(
+        [(1, f"before {one} after"), (2, two), (3, f"{two} and {three}"), (4, "nothing of it")],
+        "doc_id bigint, text string",
+    )
+    items = spark.createDataFrame(
+        [(None, one), (None, one), (7, two), (7, three), (8, two)], "item_id bigint, text string"
+    )
+    rows = [tuple(r) for r in decontamination.leaks(documents, items).collect()]
+    assert sorted(rows, key=str) == sorted(
+        [(1, None, 1.0), (2, 7, 1.0), (2, 8, 1.0), (3, 7, 1.0), (3, 8, 1.0)], key=str
+    )
+    assert [r.doc_id for r in decontamination.clean_documents(documents, items).collect()] == [4]
