@@ -32,7 +32,7 @@ import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, functions as F
 
-from footfall.llm.tables import let_go, small_batches, written
+from footfall.llm.tables import small_batches, written
 
 #: Words of a window that counts as repeated, and of the runs that anchors are chosen from.
 WINDOW, GRAM = 13, 6
@@ -386,7 +386,6 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     """
     named = _named(documents)
     index = written(reference(named), "reference-index")
-    let_go(documents.sparkSession)
     blocks = anchors(named).join(index, "_anchor")
     shared = blocks.where(~F.col("_alike") | _earlier("_least", "doc_id"))
     of_doc = shared.groupBy(F.col("doc_id").alias("_of")).agg(
@@ -394,8 +393,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         F.collect_set(F.when(~F.col("_alike"), F.col("_anchor"))).alias("_differ"),
     )
     marked = named.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
-    rows = written(factored(marked), "factored")
-    let_go(documents.sparkSession)
+    rows = written(factored(marked), "factored", compression="zstd")
 
     boundary = rows.where("begin IS NOT NULL").select(
         "doc_id", "_row", "_anchor", "begin", F.posexplode("_windows").alias("_i", "_window")
@@ -404,7 +402,6 @@ def without_repeats(documents: DataFrame) -> DataFrame:
     boundary = boundary.select("doc_id", "_row", *keys, (F.col("begin") + F.col("_i")).alias("_at"))
     # a table of its own, so that the join may split a window that very many texts share
     first = written(_in_two(boundary.select("doc_id", *keys), keys), "window-index")
-    let_go(documents.sparkSession)
     at_ends = boundary.join(first, keys).where(_earlier("_least", "doc_id"))
     by_row = at_ends.groupBy("_row").agg(F.collect_set("_at").alias("_at"))
     done = rows.where("begin IS NULL AND kept_sha256 IS NOT NULL").select(*NAMES)

@@ -24,27 +24,18 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_work").rstrip("/")
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Run ``df`` once, as a Parquet table in the shared folder, and return that table.
 
     It cuts the lineage, survives the loss of executors, and has a size that the planner
     knows, so that Spark broadcasts it only if it is small. The table stays until the
-    owner of the shared folder cleans it.
+    owner of the shared folder cleans it. ``options`` are the Parquet writer's.
     """
     path = f"{shared_folder(df.sparkSession)}/llm/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.options(**options).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def let_go(spark: SparkSession) -> None:
-    """Have Spark drop the shuffle files of steps that are done.
-
-    Its cleaner does so once the driver's JVM has collected what stood for them, which by
-    itself may not happen before the job's end.
-    """
-    spark.sparkContext._jvm.java.lang.System.gc()
-
-
 def small_batches(
     batches: Iterator[pa.RecordBatch], text: str, limit: int = 1 << 22
 ) -> Iterator[pa.RecordBatch]:
