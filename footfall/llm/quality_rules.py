@@ -1,7 +1,8 @@
 """Quality rules: divergence of a document's histograms from those of its language.
 
-Each text gives two histograms: of character classes, and of its language's common words
-against all other words. A language's reference is the sum over all its documents, which
+Each text gives three histograms: of character classes, of its language's common words
+against all other words, and of common words, whichever, against others. The last has two bins, so
+that it is sure of far shorter texts than the second, with its thirteen. A language's reference is the sum over all its documents, which
 are counted before any shuffle. A document whose Jensen-Shannon distance from its reference
 is too large is rejected, if it is long enough for the distance to mean something. The
 plain counts of words, symbols, repeated lines and repeated word triples come beside it.
@@ -33,8 +34,13 @@ MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
 GUARD_WORDS = 50
 MAX_CLASS_DISTANCE, CLASS_MARGIN = 0.22, 0.8
 MAX_WORD_DISTANCE, WORD_MARGIN = 0.18, 1.5
+#: Common against other words. Rated good texts of 500 words and more stay below the limit; the
+#: margin is three times the noise of n words drawn from two bins, 1 / sqrt(8 * ln(2) * n). A
+#: text without any common word is at 0.28 and more, beyond both together from 50 words on.
+MAX_COMMON_DISTANCE, COMMON_MARGIN = 0.08, 1.27
 
 BREAK = r"[\x20\x09-\x0D]+"
+DISTANCES = ("class_distance", "word_distance", "common_distance")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
 
@@ -160,21 +166,24 @@ def distance(counts: Column, reference: Column) -> Column:
 
 
 def judged(measured: DataFrame, reference: DataFrame) -> DataFrame:
-    """``_row``, the counts, both distances, ``base_failed`` and ``kept``.
+    """``_row``, the counts, the distances, ``base_failed`` and ``kept``.
 
     The reference has one row per language; the planner broadcasts it if it is small.
     """
     joined = measured.join(reference, F.col("_lang") == F.col("_of"), "left")
     n = F.col("_f.n_words")
-    words = F.concat(
-        F.col("_f.listed"),
-        F.array(n - F.aggregate("_f.listed", F.lit(0).cast("bigint"), lambda a, x: a + x)),
-    )
+    listed = F.aggregate("_f.listed", F.lit(0).cast("bigint"), lambda a, x: a + x)
+    words = F.concat(F.col("_f.listed"), F.array(n - listed))
+    others = F.element_at("_words", -1)
+    of_lang = F.aggregate("_words", F.lit(0).cast("bigint"), lambda a, x: a + x)
     shown = joined.select(
         "_row",
         *(F.col(f"_f.{c}").alias(c) for c in COUNTS),
         F.round(distance(F.col("_f.classes"), F.col("_classes")), 9).alias("class_distance"),
         F.round(distance(words, F.col("_words")), 9).alias("word_distance"),
+        F.round(
+            distance(F.array(listed, n - listed), F.array(of_lang - others, others)), 9
+        ).alias("common_distance"),
     )
     few = F.col("n_words") < MIN_WORDS
     repeats = 100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")
@@ -185,6 +194,7 @@ def judged(measured: DataFrame, reference: DataFrame) -> DataFrame:
     far = (F.col("n_words") >= GUARD_WORDS) & (
         beyond("class_distance", MAX_CLASS_DISTANCE, CLASS_MARGIN)
         | beyond("word_distance", MAX_WORD_DISTANCE, WORD_MARGIN)
+        | beyond("common_distance", MAX_COMMON_DISTANCE, COMMON_MARGIN)
     )
     return shown.withColumn("base_failed", few | repeats).withColumn(
         "kept", ~(few | repeats) & ~far
@@ -194,7 +204,7 @@ def judged(measured: DataFrame, reference: DataFrame) -> DataFrame:
 def rules(
     documents: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", lang: str = "lang"
 ) -> DataFrame:
-    """``keep``, the counts, both distances, ``base_failed`` and ``kept`` of every row.
+    """``keep``, the counts, the distances, ``base_failed`` and ``kept`` of every row.
 
     A NULL text has no words, lines or symbols, and fails the base rules as an empty one
     does. A language without a list of common words is judged by its characters alone; a
@@ -202,11 +212,10 @@ def rules(
     references. Other columns don't matter; ``keep`` may not hold the result's names. An
     empty table gives no rows.
     """
-    if set(keep) & {*COUNTS, "class_distance", "word_distance", "base_failed", "kept", "_row"}:
+    if set(keep) & {*COUNTS, *DISTANCES, "base_failed", "kept"}:
         raise ValueError(f"keep has a reserved name: {keep}")
-    given = documents.select(*keep, F.col(text).alias("_t"), F.col(lang).alias("_l"))
-    rows = features(given, "_t", "_l").withColumn(
-        "_row", F.struct(*(F.col(f"_row.{c}") for c in keep))
+    rows = features(documents, text, lang).withColumn(
+        "_row", F.struct(*(F.col("_row")[c].alias(c) for c in keep))
     )
     measured = written(rows, "rules")
     shown = judged(measured, written(references(measured), "references"))
@@ -265,16 +274,20 @@ measured AS (SELECT *,
   FROM counted),
 reference AS (SELECT lang, [{sums}] AS all_classes,
   CASE WHEN sum(listed[1]) IS NOT NULL THEN [{word_sums}] END AS all_words FROM measured GROUP BY lang),
-far AS (SELECT measured.*, {js("classes", "all_classes", n_classes)} AS class_distance,
-  CASE WHEN common IS NOT NULL THEN {js("listed", "all_words", n_words)} END AS word_distance
-  FROM measured JOIN reference USING (lang)),
+far AS (SELECT *, {js("classes", "all_classes", n_classes)} AS class_distance,
+  CASE WHEN common IS NOT NULL THEN {js("listed", "all_words", n_words)} END AS word_distance,
+  CASE WHEN common IS NOT NULL THEN {js("two", "all_two", 2)} END AS common_distance
+  FROM (SELECT *, [list_sum(listed) - listed[{n_words}], listed[{n_words}]] AS two FROM measured)
+  JOIN (SELECT *, [list_sum(all_words) - all_words[{n_words}], all_words[{n_words}]] AS all_two
+        FROM reference) USING (lang)),
 judged AS (SELECT *, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MAX_REPEAT_PERCENT} * n_words
   AS base_failed FROM far)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, class_distance,
-  word_distance, base_failed,
+  word_distance, common_distance, base_failed,
   NOT base_failed AND NOT (n_words >= {GUARD_WORDS} AND (
     coalesce(class_distance, 0) > {MAX_CLASS_DISTANCE} + {CLASS_MARGIN} / sqrt(n_words)
-    OR coalesce(word_distance, 0) > {MAX_WORD_DISTANCE} + {WORD_MARGIN} / sqrt(n_words))) AS kept
+    OR coalesce(word_distance, 0) > {MAX_WORD_DISTANCE} + {WORD_MARGIN} / sqrt(n_words)
+    OR coalesce(common_distance, 0) > {MAX_COMMON_DISTANCE} + {COMMON_MARGIN} / sqrt(n_words))) AS kept
 FROM judged"""
 
 

@@ -565,3 +565,37 @@ def test_items_without_id_and_of_one_id(spark):
         [(1, None, 1.0), (2, 7, 1.0), (2, 8, 1.0), (3, 7, 1.0), (3, 8, 1.0)], key=str
     )
     assert [r.doc_id for r in decontamination.clean_documents(documents, items).collect()] == [4]
+
+
+# --- quality rules on short texts -----------------------------------------------------
+
+
+@pytest.mark.parametrize("lang", sorted(quality_rules.COMMON_WORDS))
+def test_texts_without_common_words_are_rejected_from_50_words_on(spark, lang):
+    rng = random.Random(lang)
+    common = quality_rules.COMMON_WORDS[lang]
+    rare = ["".join(rng.choices("abcdefghilmnoprstu", k=rng.randint(4, 9))) for _ in range(4000)]
+
+    def prose(n, share):
+        words = [rng.choice(common) if rng.random() < share else rng.choice(rare) for _ in range(n)]
+        return " ".join(words).capitalize() + "."
+
+    good = [(i, prose(n, 0.16)) for i, n in enumerate([60, 75, 100, 150, 200, 400, 900] * 30)]
+    bad = [(1000 + n, prose(n, 0)) for n in (50, 51, 60, 80, 120, 170, 185, 300, 1000)]
+    documents = spark.createDataFrame([(i, t, lang, 7) for i, t in good + bad], "doc_id long, text string, lang string, _t int")
+    rows = {r.doc_id: r for r in quality_rules.rules(documents, keep=("doc_id", "_t")).collect()}
+    assert all(rows[i]._t == 7 for i in rows)
+    assert not any(rows[i].kept for i, _ in bad)
+    assert not any(rows[i].base_failed for i, _ in bad)
+    assert sum(rows[i].kept for i, _ in good) >= 0.99 * len(good)
+
+
+def test_rated_good_texts_stay_and_rated_junk_goes(spark):
+    sf = "/root/testdata/sf0.01"
+    rows = {r.doc_id: r for r in quality_rules.rules(spark.read.parquet(f"{sf}/documents.parquet")).collect()}
+    rated = spark.read.parquet(f"{sf}/labels.parquet").collect()
+    judged = [(rows[r.doc_id], r) for r in rated if not rows[r.doc_id].base_failed]
+    good = [x.kept for x, r in judged if r.quality and not r.toxic]
+    junk = [x.kept for x, r in judged if r.quality == 0]
+    assert sum(good) >= 0.99 * len(good) > 0
+    assert sum(junk) <= 0.25 * len(junk)
