@@ -310,13 +310,15 @@ def encode(
         _number_words(text, pattern, ranks, max_words),
         f"{fields}_words array<int>, _new array<array<bigint>>, _fresh boolean",
     )
-    s, e = _literal(shifts), _literal(entries)
-    encoded = numbered.select(
-        *keep,
-        "_words",
-        F.transform("_new", lambda word: fold_merges(word, s, e, len(entries))).alias("_encoded"),
-        "_fresh",
-    )
+    # bound, so that the plan holds the rank map once
+    maps = F.struct(_literal(shifts).alias("shifts"), _literal(entries).alias("entries"))
+
+    def all_words(held: Column) -> Column:
+        return F.transform(
+            "_new", lambda word: fold_merges(word, held["shifts"], held["entries"], len(entries))
+        )
+
+    encoded = numbered.select(*keep, "_words", _bind(maps, all_words).alias("_encoded"), "_fresh")
     return encoded.mapInArrow(_assemble(keep, out), f"{fields}{out} array<int>")
 
 
