@@ -46,7 +46,10 @@ from footfall.sources import prepare_events, register_views  # noqa: E402
 try:  # the training-data operators and their pipeline are a part that may be left out
     import corpus_pipeline
     from footfall.llm import queries as llm
-except ImportError:
+except ImportError as error:
+    missing = error.name or ""
+    if missing not in ("corpus_pipeline", "footfall.llm") and not missing.startswith("footfall.llm."):
+        raise  # it is there, but something that it needs isn't
     llm = None
 
 Query = Callable[[SparkSession, str], DataFrame]
