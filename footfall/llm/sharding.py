@@ -1,38 +1,33 @@
 """Shards of equal row counts that cut few links: balanced label propagation.
 
 Documents that share a key are linked; here the key is the text, so that copies are linked.
-Each document starts in the shard that its hash names. A group of copies wishes for the
-shard where most of it is, among those with room for all of it. All its members see the
-same histogram and the same order of ties, so they move together and groups don't chase
-each other. Capacity quotas limit how much may enter a shard.
-
-Groups above 1/64 of a shard are placed first, the largest before the others; there are
-fewer than 64 times the shards of them, so they are placed one by one. Rounds follow for
-the others: who enters is drawn by group, with a share that the shard's room allows. They
-are repeated until all are placed; the last few are placed one by one again.
+Each document starts in the shard that its hash names. In every round a group of copies that is not
+whole yet wishes for the shard where most of it is, among those with room for all of it. All its
+members see the same histogram and the same order of ties, so they move together and groups
+don't chase each other. Capacity quotas limit what may enter a shard in a round: of those who
+wish for it as many as there is room for, counted through by parts of their hash. A group that
+finds the shard full wishes anew, for another one. Large groups move before small ones, by powers
+of two, while there is room for them. Once a group is whole no move of it cuts fewer links, so
+rounds end when none that may move is left.
 
 Only a group that no shard has room for is cut, into the fewest shards, of which it fills all
 but the last. All its parts are placed from one histogram. ``cut_links`` tells what was cut.
 
 At the end the law ``rows`` holds exactly: shard sizes differ by one document at most.
 Documents are numbered within their shard, linked ones first; the numbers beyond a shard's
-size go to the shards with room. Only counts per shard and histograms of at most 64 groups
-per shard reach the driver. Built-in expressions only; texts are read once and not shuffled.
+size go to the shards with room. Only counts per shard reach the driver, and those groups that no
+shard has room for, of which there are at most a few per shard. Built-in expressions only; texts are read once and not shuffled.
 """
 
 from __future__ import annotations
 
-import itertools
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from footfall.llm.tables import written
 
 SHARDS = 16
-#: Groups above this part of a shard are placed one by one, and so are the last of the others.
+#: Labels of groups above this part of a shard are sent to the tasks, others are joined.
 SINGLE = 64
-#: The share of its room that a shard gives away in a round, if more wish to enter.
-FILL = 0.9
 #: Parts of a shard that are numbered independently.
 PARTS = 256
 #: The law of the result.
@@ -112,45 +107,75 @@ def wishes(groups: DataFrame, rooms: list[int]) -> DataFrame:
     return groups.withColumn("_wish", F.array_max(options)["shard"])
 
 
-def quotas(wanted: dict[int, int], rooms: list[int]) -> list[float]:
-    """For each shard the share of those who wish to enter that may."""
-    return [
-        1.0 if wanted.get(s, 0) <= room else FILL * room / wanted[s]
-        for s, room in enumerate(rooms)
-    ]
-
-
 def _by_shard(of: Column, values: list) -> Column:
     """The value of a shard, from a short literal list."""
     return F.get(F.array(*map(F.lit, values)), of)
 
 
-def propagated(groups: DataFrame, total: int, shards: int) -> tuple[list, DataFrame | None]:
-    """The plan of the groups placed one by one, and _text and _to of all others.
+def entering(asked: DataFrame, rooms: list[int]) -> DataFrame:
+    """``asked`` with _enters: its group is among those that its wish has room for.
+
+    Groups are counted through in the order of their hash's part and their hash; each shard's
+    parts are summed on their own, so no task holds a whole shard's groups.
+    """
+    part = F.pmod(F.xxhash64("_text"), F.lit(PARTS)).cast("int")
+    placed = asked.withColumn("_part", part)
+    sums = placed.where("_wish IS NOT NULL").groupBy("_wish", "_part").agg(F.sum("_n").alias("_sum"))
+    before = Window.partitionBy("_wish").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    begins = sums.select(
+        F.col("_wish").alias("_of"),
+        F.col("_part").alias("_place"),
+        F.coalesce(F.sum("_sum").over(before), F.lit(0)).alias("_begin"),
+    )
+    own = Window.partitionBy("_wish", "_part").orderBy(F.xxhash64("_text"), "_text")
+    # at most shards * PARTS rows
+    same = (F.col("_wish") == F.col("_of")) & (F.col("_part") == F.col("_place"))
+    joined = placed.join(F.broadcast(begins), same, "left").withColumn("_upto", F.sum("_n").over(own))
+    enters = F.col("_begin") + F.col("_upto") <= _by_shard(F.col("_wish"), rooms)
+    return joined.withColumn("_enters", F.coalesce(enters, F.lit(False))).select(
+        *asked.columns, "_enters"
+    )
+
+
+def propagated(
+    groups: DataFrame, total: int, shards: int
+) -> tuple[list, DataFrame | None, int]:
+    """The plan of large and cut groups, _text and _to of all others, and the number of rounds.
 
-    Each round is written, so that a lost executor costs one. While more than the last few
-    groups are open, some shard has room for the smallest of them, so that rounds end.
+    Each round is written, so that a lost executor costs one. In each a group enters every
+    shard that any wishes for, so that rounds end. Groups of a class that are left over fit into no
+    shard, and all that is free is less than one of them per shard: there are only a few.
     """
-    large = F.col("_n") > total // shards // SINGLE
-    used, others = [0] * shards, None
-    plan = place(groups.where(large).collect(), used, total)
-    rest = groups.where(~large)
-    for step in itertools.count():
-        some = rest.limit(SINGLE * shards + 1).collect()
-        if len(some) <= SINGLE * shards:
-            return plan + place(some, used, total), others
-        rooms = [max(0, total // shards - n) for n in used]
-        asked = written(wishes(rest, rooms), f"wishes-{step}")
-        flows = asked.where("_wish IS NOT NULL").groupBy("_wish").agg(F.sum("_n").alias("n"))
-        share = quotas({r["_wish"]: r["n"] for r in flows.collect()}, rooms)
-        drawn = F.pmod(F.xxhash64("_text", F.lit(step)), F.lit(1 << 20)) / float(1 << 20)
-        enters = F.coalesce(drawn < _by_shard(F.col("_wish"), share), F.lit(False))
-        entered = asked.where(enters).select("_text", F.col("_wish").alias("_to"), "_n")
-        for r in entered.groupBy("_to").agg(F.sum("_n").alias("n")).collect():
-            used[r["_to"]] += r["n"]
-        entered = entered.drop("_n")
-        others = entered if others is None else others.unionByName(entered)
-        rest = asked.where(~enters).drop("_wish")
+    floor, used = total // shards, [0] * shards
+    plan = place(groups.where(F.col("_n") > floor).collect(), used, total)
+    small = groups.where(F.col("_n") <= floor).withColumn("_class", F.floor(F.log2("_n")).cast("int"))
+    classes = sorted((r["_class"] for r in small.select("_class").distinct().collect()), reverse=True)
+    entered, rounds = [], 0
+    for size in classes:
+        rest = small.where(F.col("_class") == size)
+        while True:
+            rooms = [max(0, floor - n) for n in used]
+            asked = written(entering(wishes(rest, rooms), rooms), f"round-{rounds}")
+            rounds += 1
+            flows = asked.groupBy("_enters", "_wish").agg(F.sum("_n").alias("n")).collect()
+            for r in flows:
+                if r["_enters"]:
+                    used[r["_wish"]] += r["n"]
+            entered.append(asked.where("_enters").select("_text", F.col("_wish").alias("_to"), "_n"))
+            rest = asked.where("NOT _enters").select("_text", "_n", "_held", "_class")
+            if not any(r["_wish"] is not None and not r["_enters"] for r in flows):
+                break
+        if any(not r["_enters"] for r in flows):  # none has room
+            plan += place(rest.collect(), used, total)
+    if not entered:
+        return plan, None, rounds
+    others = entered[0]
+    for more in entered[1:]:
+        others = others.unionByName(more)
+    large = F.col("_n") > floor // SINGLE
+    # fewer than SINGLE + 1 per shard, as they all fit
+    plan += [(bytes(r["_text"]), [(0, r["_to"])]) for r in others.where(large).collect()]
+    return plan, others.where(~large).drop("_n"), rounds
 
 
 def _at(rows: DataFrame, group: list[str], part: Column, order: list[str]) -> DataFrame:
@@ -174,8 +199,8 @@ def _at(rows: DataFrame, group: list[str], part: Column, order: list[str]) -> Da
 def moved(rows: DataFrame, plan: list, others: DataFrame | None) -> DataFrame:
     """``rows`` in their groups' shards, with _order: 0 and 1 for linked rows, 2 for others.
 
-    The plan has fewer than 2 * ``SINGLE`` groups per shard, so it may be broadcast; only
-    small groups go through the other join.
+    The plan has at most ``SINGLE`` and a few groups per shard, so it may be broadcast; only small
+    groups go through the other join, and no rows without text.
     """
     spark, columns = rows.sparkSession, rows.columns
     kind = "_text binary, _parts array<struct<begin: bigint, to: int>>"
@@ -185,7 +210,9 @@ def moved(rows: DataFrame, plan: list, others: DataFrame | None) -> DataFrame:
     whole = joined.where(F.col("_parts").isNull() | ~cut)
     to, order = F.get("_parts", F.lit(0))["to"], F.when(F.col("_parts").isNotNull(), 0)
     if others is not None:
-        whole = whole.join(others, "_text", "left")
+        alone = whole.where(F.col("_text").isNull()).withColumn("_to", F.lit(None).cast("int"))
+        texts = whole.where(F.col("_text").isNotNull())
+        whole = texts.join(others, "_text", "left").unionByName(alone)
         to = F.coalesce(to, "_to")
         order = order.when(F.col("_to").isNotNull(), 1)
     others_columns = [c for c in columns if c != "shard"]
@@ -247,7 +274,7 @@ def assigned(documents: DataFrame, shards: int) -> DataFrame:
     """``rows_of`` the documents with their final shard and slot."""
     rows = written(rows_of(documents, shards), "rows")
     total = rows.count()
-    plan, others = propagated(written(groups_of(rows, shards), "groups"), total, shards)
+    plan, others, _ = propagated(written(groups_of(rows, shards), "groups"), total, shards)
     labels = written(moved(rows, plan, others), "labels")
     return balanced(labels, total, shards)
 

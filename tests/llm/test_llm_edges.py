@@ -599,3 +599,38 @@ def test_rated_good_texts_stay_and_rated_junk_goes(spark):
     junk = [x.kept for x, r in judged if r.quality == 0]
     assert sum(good) >= 0.99 * len(good) > 0
     assert sum(junk) <= 0.25 * len(junk)
+
+
+# --- sharding in rounds ---------------------------------------------------------------
+
+
+@pytest.mark.parametrize("sf", ["0.001", "0.01"])
+def test_groups_get_their_shards_in_rounds_at_every_size(spark, sf):
+    documents = spark.read.parquet(f"/root/testdata/sf{sf}/documents.parquet")
+    rows = sharding.rows_of(documents, 16)
+    groups, total = sharding.groups_of(rows, 16), rows.count()
+    plan, others, rounds = sharding.propagated(groups, total, 16)
+    assert rounds >= 1
+    placed = {bytes(t): {to for _, to in parts} for t, parts in plan}
+    placed |= {bytes(r._text): {r._to} for r in others.collect()}
+    held = {bytes(r._text): (r._n, r._held) for r in groups.collect()}
+    assert placed.keys() == held.keys()
+    assert all(len(to) == 1 for t, to in placed.items() if held[t][0] <= total // 16)
+    loads = [sum(n for t, (n, _) in held.items() if s in placed[t]) for s in range(16)]
+    assert max(loads) <= -(-total // 16)
+    # most groups are where most of them was
+    stayed = [held[t][1][next(iter(to))] == max(held[t][1]) for t, to in placed.items()]
+    assert sum(stayed) >= 0.8 * len(stayed)
+    assert sharding.cut_links(documents).count() == 0
+
+
+def test_groups_that_find_their_shard_full_wish_anew(spark):
+    sizes = [7] * 11 + [5] * 9 + [3] * 30 + [2] * 40
+    docs = copies(spark, sizes, 3)
+    rows = sharding.sharded(docs, shards=5).collect()
+    found = [sum(r.shard == s for r in rows) for s in range(5)]
+    assert len(rows) == sum(sizes) + 3 and max(found) - min(found) <= 1
+    held = held_by(rows, docs)
+    assert sum(len(set(held[f"copy {i}"])) > 1 for i in range(len(sizes))) <= 5
+    _, _, rounds = sharding.propagated(sharding.groups_of(sharding.rows_of(docs, 5), 5), len(rows), 5)
+    assert rounds > 2
