@@ -38,6 +38,8 @@ from footfall.llm.tables import small_batches, written
 WINDOW, GRAM = 13, 6
 #: Words whose hashes are held at once; pieces of a text overlap, so that no window is lost.
 PIECE = 1 << 19
+#: Bytes of text of a batch of texts.
+TEXTS = 1 << 20
 #: Bytes whose hashes are made at once. Longer words are hashed on their own.
 BYTES = 1 << 20
 
@@ -187,7 +189,7 @@ def anchors(named: DataFrame) -> DataFrame:
     """_anchor, _content and doc_id, a row for each block."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TEXTS):
             found = Blocks(*_bytes_of(batch.column("text")))
             of = batch.column("doc_id").take(pa.array(found.text))
             columns = [_signed(found.anchor), _signed(found.content), of]
@@ -272,7 +274,7 @@ def factored(marked: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         done = TaskContext.get().partitionId() << 33
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TEXTS):
             n = batch.num_rows
             numbers, done = np.arange(done, done + n), done + n
             data, offsets = _bytes_of(batch.column("text"))
@@ -332,7 +334,7 @@ def _cleaned(spans: DataFrame) -> DataFrame:
             counts = column.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             return column.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(counts)))
 
-        for batch in small_batches(batches, "text"):
+        for batch in small_batches(batches, "text", TEXTS):
             data, offsets = _bytes_of(batch.column("text"))
             begins, edges = lists(batch.column("_begins"))
             ends, _ = lists(batch.column("_ends"))
@@ -393,7 +395,7 @@ def without_repeats(documents: DataFrame) -> DataFrame:
         F.collect_set(F.when(~F.col("_alike"), F.col("_anchor"))).alias("_differ"),
     )
     marked = named.join(of_doc, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
-    rows = written(factored(marked), "factored", compression="zstd")
+    rows = written(factored(marked), "factored", compression="gzip")
 
     boundary = rows.where("begin IS NOT NULL").select(
         "doc_id", "_row", "_anchor", "begin", F.posexplode("_windows").alias("_i", "_window")
