@@ -1,7 +1,8 @@
 """A training corpus from ``documents``: five stages, each a table that the next one reads.
 
-Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``;
-rows that a stage rejects are gone for the next one.
+Every stage takes (spark, docs, sf_dir). All but the last return the columns of ``docs``, whatever
+their names; rows that a stage rejects are gone for the next one. NULL texts are empty ones, NULL
+ids are ids like any other, repeated rows are copies, and an empty table gives no rows.
 """
 
 from __future__ import annotations
