@@ -634,3 +634,25 @@ def test_groups_that_find_their_shard_full_wish_anew(spark):
     assert sum(len(set(held[f"copy {i}"])) > 1 for i in range(len(sizes))) <= 5
     _, _, rounds = sharding.propagated(sharding.groups_of(sharding.rows_of(docs, 5), 5), len(rows), 5)
     assert rounds > 2
+
+
+# --- the pipeline ---------------------------------------------------------------------
+
+
+def test_pipeline_stages_on_messy_rows(spark, messy, nothing):
+    import corpus_pipeline
+    from footfall.llm.tables import written
+
+    sf = "/root/testdata/sf0.001"
+    for given in (messy, nothing):
+        docs = given
+        for name, stage in corpus_pipeline.STAGES:
+            out = written(stage(spark, docs, sf), f"edge-{name}")
+            if name != corpus_pipeline.STAGES[-1][0]:
+                assert out.columns == given.columns, name
+                rows = [r.asDict() for r in docs.collect()]
+                assert all(r.asDict() in rows for r in out.collect()), name
+                docs = out
+        kept = [r.doc_id for r in docs.collect()]
+        assert sorted(map(str, kept)) == sorted(str(r.doc_id) for r in out.collect())
+    assert out.count() == 0 and out.columns[0] == "doc_id"
