@@ -5,8 +5,9 @@ Three narrow steps, no shuffle:
 1. an Arrow pass splits each text with the pre-tokenizer pattern and numbers the words. A
    word that its task has not met before travels along as an array of byte tokens;
 2. Spark's higher-order functions encode those distinct words: ``aggregate`` folds merges
-   over the array, each step replacing the adjacent pair of lowest rank. The ranks are one
-   literal perfect hash, so that a lookup reads one element of each of two arrays;
+   over the array, each step replacing the adjacent pair of lowest rank. The ranks are a
+   perfect hash, so that a lookup reads one element of each of two arrays; they come by a
+   scalar subquery, so that no plan and no description of one holds them;
 3. an Arrow pass, in the same task and order, turns word numbers into token ids.
 
 Decoding concatenates the tokens' bytes, with Spark functions alone.
@@ -24,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from footfall.llm.tables import small_batches
 
@@ -33,6 +34,8 @@ MAX_WORDS = 1 << 20
 #: Longer words (a run of one character class without a break) are merged with a heap
 #: before, as the fold is quadratic in a word.
 FOLD_BYTES = 256
+#: Words of which the last pass makes token ids at once, or one row.
+PART_WORDS = 1 << 18
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -53,48 +56,51 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
     return pairs
 
 
-# --- the literal rank map -----------------------------------------------------------
+# --- the rank map and the fold ----------------------------------------------------------
 
-# Ids and ranks are below 2**17.
-_BITS = 17
-_LIMIT = 1 << _BITS
+_BUCKETS, _SPREAD = 65_521, 8_191
 
 
-_BUCKETS = 65_521
-_FREE = 1 << 62
+def id_bits(ranks: dict[bytes, int]) -> int:
+    """Half the bits of an integer that holds a token id and a rank: an int's or a bigint's."""
+    return 16 if max(ranks.values(), default=0) < 1 << 16 else 32
 
 
-def rank_map(pairs: dict[tuple[int, int], int]) -> tuple[list[int], list[int]]:
+def rank_map(pairs: dict[tuple[int, int], int], bits: int) -> tuple[pa.Array, pa.Array]:
     """The ranks of pairs as a perfect hash of two arrays, ``shifts`` and ``entries``.
 
-    The pair of key ``k = left << 17 | right`` is at ``entries[(k + shifts[k % 65521]) %
-    len(entries)]``, where an entry is ``k << 17 | rank``.
+    A pair's entry is at ``shifts[(left * 8191 + right) % 65521] + left``. It holds left and
+    rank, ``bits`` each, with the sign bit turned, so that ``entry ^ left << bits`` is
+    ``rank - limit``, below all that the entries of other pairs give. No two buckets share a
+    shift, which is why left alone tells an entry's pair. Other places are NULL.
     """
     buckets: dict[int, list[int]] = {}
     for left, right in pairs:
-        key = left << _BITS | right
-        buckets.setdefault(key % _BUCKETS, []).append(key)
-    shifts, size = [0] * _BUCKETS, max(64, 3 * len(pairs)) | 1
-    entries = [_FREE] * size
+        buckets.setdefault((left * _SPREAD + right) % _BUCKETS, []).append(left)
+    shifts, taken, owners = {}, set(), {}
     for bucket in sorted(buckets, key=lambda b: (-len(buckets[b]), b)):
-        keys, shift = buckets[bucket], bucket
-        while True:
-            places = {(key + shift) % size for key in keys}
-            if len(places) == len(keys) and all(entries[x] == _FREE for x in places):
-                break
+        shift = 4 * bucket
+        while shift in taken or not owners.keys().isdisjoint(shift + x for x in buckets[bucket]):
             shift += 1
-            if shift - bucket > size:
-                raise ValueError("no place for the keys of a bucket")
+        taken.add(shift)
         shifts[bucket] = shift
-        for key in keys:
-            rank = pairs[key >> _BITS, key & (_LIMIT - 1)]
-            entries[(key + shift) % size] = key << _BITS | rank
-    return shifts, entries
+        owners.update((shift + x, x) for x in buckets[bucket])
+    entries: list[int | None] = [None] * (max(owners, default=-1) + 1)
+    for (left, right), rank in pairs.items():
+        place = shifts[(left * _SPREAD + right) % _BUCKETS] + left
+        value = (left << bits | rank) ^ 1 << 2 * bits - 1
+        entries[place] = value - (value >> 2 * bits - 1 << 2 * bits)
+    return (
+        pa.array([shifts.get(b) for b in range(_BUCKETS)], pa.int32()),
+        pa.array(entries, pa.int32() if bits == 16 else pa.int64()),
+    )
 
 
-def _literal(values: list[int]) -> Column:
-    """A foldable array<bigint>: the optimizer turns it into one literal."""
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+def _held(spark: SparkSession, **arrays: pa.Array) -> Column:
+    """Arrays as one value that the plan refers to. A literal of so many numbers would be boxed
+    and printed in every description of the plan, which the driver keeps."""
+    row = pa.table({k: pa.ListArray.from_arrays([0, len(v)], v) for k, v in arrays.items()})
+    return spark.createDataFrame(row).select(F.struct("*")).scalar()
 
 
 def _bind(value: Column, body) -> Column:
@@ -102,24 +108,24 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(tokens: Column, shifts: Column, entries: Column, size: int) -> Column:
-    """Token ids of one word, given as the array<bigint> of its byte tokens.
+def fold_merges(tokens: Column, shifts: Column, entries: Column, bits: int) -> Column:
+    """Token ids of one word, given as the array of its byte tokens, of the entries' type.
 
     Each step of the fold replaces the adjacent pair of lowest rank, the leftmost among
-    equals, by its token. The state holds the ids and the rank of each adjacent pair;
-    2**17 and more stand for a pair that doesn't merge.
+    equals, by its token. The state holds the ids and, for each, the rank of the pair that it
+    begins, less ``limit``. Other numbers, and NULL, stand for a pair that doesn't merge.
     """
-
-    gone = F.lit(-1).cast("bigint")
+    limit = -1 << 2 * bits - 1
+    gone = F.lit(-1)
 
     def rank(left: Column, right: Column) -> Column:
-        key = F.shiftleft(left, _BITS).bitwiseOR(right)
-        place = (key + F.get(shifts, (key % F.lit(_BUCKETS)).cast("int"))) % F.lit(size)
-        # Only the pair's own entry leaves a number below 2**17.
-        return F.get(entries, place.cast("int")).bitwiseXOR(F.shiftleft(key, _BITS))
+        bucket = (left * F.lit(_SPREAD) + right) % F.lit(_BUCKETS)
+        place = F.get(shifts, bucket.cast("int")) + left.cast("int")
+        # Only the pair's own entry leaves one of the lowest 2**bits numbers.
+        return F.get(entries, place).bitwiseXOR(F.shiftleft(left, bits))
 
     def state(ids: Column) -> Column:
-        ranks = F.zip_with(ids, F.slice(ids, F.lit(2), F.size(ids)), rank)
+        ranks = F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1)))
         return F.struct(ids.alias("ids"), ranks.alias("ranks"))
 
     def step(now: Column, _: Column) -> Column:
@@ -128,13 +134,14 @@ def fold_merges(tokens: Column, shifts: Column, entries: Column, size: int) -> C
 
         def merged(at: Column) -> Column:
             """The pair's left token becomes the new one, its right token goes."""
+            new = F.get(ranks, at - 1).bitwiseXOR(F.lit(limit))
             marked = F.transform(
-                ids, lambda x, i: F.when(i == at, gone).when(i == at - 1, F.get(ranks, i)).otherwise(x)
+                ids, lambda x, i: F.when(i == at, gone).when(i == at - 1, new).otherwise(x)
             )
             return F.array_remove(marked, gone)
 
         found = _bind(F.array_position(ranks, lowest).cast("int"), merged)
-        return F.when(lowest < F.lit(_LIMIT), _bind(found, state)).otherwise(now)
+        return F.when(lowest < F.lit(limit + (1 << bits)), _bind(found, state)).otherwise(now)
 
     # A word of n bytes has n - 1 merges at most. Longer ones come merged.
     steps = F.slice(tokens, F.lit(2), F.size(tokens))
@@ -182,28 +189,46 @@ class _Numbers(dict):
         return n
 
 
+def _byte_tokens(words: list[str], ranks: dict[bytes, int], merge, kind: pa.DataType) -> pa.Array:
+    """The byte tokens of words, of long ones what ``merge`` makes of them."""
+    given = [word.encode() for word in words]
+    lengths = np.fromiter(map(len, given), np.int64, len(given))
+    of_byte = np.array([ranks[bytes([b])] for b in range(256)], kind.to_pandas_dtype())
+    tokens = of_byte[np.frombuffer(b"".join(given), np.uint8)]
+    if len(long := np.flatnonzero(lengths > FOLD_BYTES)):
+        parts = np.split(tokens, np.cumsum(lengths)[:-1])
+        for i in long:
+            parts[i] = np.array(merge(parts[i].tolist()), tokens.dtype)
+            lengths[i] = len(parts[i])
+        tokens = np.concatenate(parts)
+    ends = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, kind))
+
+
 def _number_words(text: str, pattern: str, ranks: dict[bytes, int], max_words: int):
     """Replace the text by the numbers of its words; new words come as byte tokens."""
+    kind = pa.int32() if id_bits(ranks) == 16 else pa.int64()
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         find = regex.compile(pattern).findall
-        of_byte = [ranks[bytes([b])] for b in range(256)]
         pairs: dict[tuple[int, int], int] = {}
         numbers = _Numbers()
+
+        def merge(tokens: list[int]) -> list[int]:
+            pairs.update(() if pairs else pair_ranks(ranks))
+            return merge_long(tokens, pairs)
+
         for batch in small_batches(batches, text, 1 << 20):
-            found, new, fresh = [], [], []
+            found, told, news, fresh = [], [], [0], []
             for value in batch.column(text).to_pylist():
                 words = find(value or "")
                 fresh.append(len(numbers) >= max_words)
                 if fresh[-1]:
                     numbers = _Numbers()
                 found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                new.append([[of_byte[b] for b in word.encode()] for word in numbers.told])
+                told += numbers.told
+                news.append(len(told))
                 numbers.told = []
-                for i, tokens in enumerate(new[-1]):
-                    if len(tokens) > FOLD_BYTES:
-                        pairs = pairs or pair_ranks(ranks)
-                        new[-1][i] = merge_long(tokens, pairs)
             ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
             columns = [batch.column(n) for n in batch.schema.names if n != text]
             names = [n for n in batch.schema.names if n != text]
@@ -211,7 +236,9 @@ def _number_words(text: str, pattern: str, ranks: dict[bytes, int], max_words: i
                 [
                     *columns,
                     pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
-                    pa.array(new, pa.list_(pa.list_(pa.int64()))),
+                    pa.ListArray.from_arrays(
+                        pa.array(news, pa.int32()), _byte_tokens(told, ranks, merge, kind)
+                    ),
                     pa.array(fresh, pa.bool_()),
                 ],
                 [*names, "_words", "_new", "_fresh"],
@@ -253,8 +280,9 @@ def _assemble(keep: list[str], out: str):
         known = _Dictionary()
         for batch in batches:
             fresh = batch.column("_fresh").to_numpy(zero_copy_only=False)
-            cuts = [0, *(i for i in np.flatnonzero(fresh) if i), batch.num_rows]
-            for begin, end in zip(cuts, cuts[1:], strict=False):
+            begins = np.diff(batch.column("_words").offsets.to_numpy()).cumsum() // PART_WORDS
+            cut = np.flatnonzero(fresh[1:] | (np.diff(begins) > 0)) + 1
+            for begin, end in zip([0, *cut], [*cut, batch.num_rows], strict=True):
                 if begin == end:
                     continue
                 part = batch.slice(begin, end - begin)
@@ -305,20 +333,28 @@ def encode(
         raise ValueError(f"keep has a reserved name: {keep}")
     fields = documents.select(*keep).schema.simpleString().removeprefix("struct<")[:-1]
     fields = fields + ", " if fields else ""
-    shifts, entries = rank_map(pair_ranks(ranks))
+    bits = id_bits(ranks)
+    shifts, entries = rank_map(pair_ranks(ranks), bits)
+    kind = "int" if bits == 16 else "bigint"
     numbered = documents.select(*keep, text).mapInArrow(
         _number_words(text, pattern, ranks, max_words),
-        f"{fields}_words array<int>, _new array<array<bigint>>, _fresh boolean",
+        f"{fields}_words array<int>, _new array<array<{kind}>>, _fresh boolean",
     )
-    # bound, so that the plan holds the rank map once
-    maps = F.struct(_literal(shifts).alias("shifts"), _literal(entries).alias("entries"))
 
     def all_words(held: Column) -> Column:
-        return F.transform(
-            "_new", lambda word: fold_merges(word, held["shifts"], held["entries"], len(entries))
-        )
+        """Each array is bound by itself, as a field would be made anew at every lookup."""
+
+        def folded(shifts: Column, entries: Column) -> Column:
+            return F.transform("_new", lambda word: fold_merges(word, shifts, entries, bits))
 
-    encoded = numbered.select(*keep, "_words", _bind(maps, all_words).alias("_encoded"), "_fresh")
+        return _bind(held["shifts"], lambda s: _bind(held["entries"], lambda e: folded(s, e)))
+
+    # A subquery may not be written within a lambda; as it is used once, the two selections
+    # become one, and no row carries the arrays.
+    maps = _held(documents.sparkSession, shifts=shifts, entries=entries).alias("_held")
+    encoded = numbered.select("*", maps).select(
+        *keep, "_words", _bind(F.col("_held"), all_words).alias("_encoded"), "_fresh"
+    )
     return encoded.mapInArrow(_assemble(keep, out), f"{fields}{out} array<int>")
 
 

@@ -7,6 +7,7 @@ import unicodedata
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
@@ -523,6 +524,58 @@ def test_heap_merges_like_the_fold(vocabulary):
         assert ids == library.encode_ordinary(word.decode())
 
 
+def test_rank_map_finds_pairs_and_nothing_else(vocabulary):
+    pairs, rng = byte_bpe.pair_ranks(vocabulary), random.Random(5)
+    shifts, entries = (x.to_pylist() for x in byte_bpe.rank_map(pairs, 16))
+    low, tokens = -1 << 31, len(vocabulary)
+    others = [(rng.randrange(tokens), rng.randrange(tokens)) for _ in range(50_000)]
+    others += [(right, left) for left, right in pairs]
+    for left, right in [*pairs, *others]:
+        shift = shifts[(left * 8191 + right) % 65521]
+        place = len(entries) if shift is None else shift + left
+        entry = entries[place] if place < len(entries) else None
+        turned = left << 16 if left < 1 << 15 else (left << 16) - (1 << 32)
+        found = None if entry is None else entry ^ turned
+        if (left, right) in pairs:
+            assert found == low + pairs[left, right]
+        else:
+            assert found is None or found >= low + (1 << 16)
+
+
+def test_ids_beyond_two_bytes(messy, vocabulary):
+    more = {token: rank + 100_000 for token, rank in vocabulary.items()}
+    few = byte_bpe.encode(messy.where("doc_id is not null"), vocabulary, public_tokenizers.PATTERN)
+    many = byte_bpe.encode(messy.where("doc_id is not null"), more, public_tokenizers.PATTERN)
+    expected = sorted((r.doc_id, [i + 100_000 for i in r.ids]) for r in few.collect())
+    assert sorted((r.doc_id, r.ids) for r in many.collect()) == expected
+
+
+def test_plan_does_not_hold_the_rank_map(messy, vocabulary):
+    encoded = byte_bpe.encode(messy, vocabulary, public_tokenizers.PATTERN)
+    assert len(encoded._jdf.queryExecution().toString()) < 1 << 18
+
+
+def test_ids_are_made_in_parts(monkeypatch):
+    monkeypatch.setattr(byte_bpe, "PART_WORDS", 10)
+    rows = 40
+    batch = pa.RecordBatch.from_pydict(
+        {
+            "k": pa.array(range(rows)),
+            "_words": pa.array([[0, 1, i] for i in range(rows)], pa.list_(pa.int32())),
+            "_encoded": pa.array(
+                [[[5], [6, 7], [8]]] + [[]] + [[[i]] for i in range(3, rows + 1)],
+                pa.list_(pa.list_(pa.int32())),
+            ),
+            "_fresh": pa.array([False] * rows),
+        }
+    )
+    parts = list(byte_bpe._assemble(["k"], "ids")([batch]))
+    assert len(parts) > 5 and max(p.num_rows for p in parts) <= 4
+    words = [[5], [6, 7], [8], *([i] for i in range(3, rows + 1))]
+    ids = [r for p in parts for r in p.column("ids").to_pylist()]
+    assert ids == [[*words[0], *words[1], *words[i]] for i in range(rows)]
+
+
 # --- decontamination ----------------------------------------------------------------
 
 
