@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import random
+import tracemalloc
 
 import numpy as np
 import pytest
@@ -12,6 +13,8 @@ from conftest import table_dir
 from footfall.llm import quality_classifier as qc
 from footfall.llm import queries
 
+LETTERS = "abcdefghijklmnopqrstuvwxyz"
+
 
 def sigmoid(x):
     return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
@@ -117,3 +120,32 @@ def test_repeated_ids_count_once(spark):
     documents = spark.createDataFrame(rows, "doc_id bigint, text string")
     labels = spark.createDataFrame([(1, 1, 0), (2, 0, 0), (4, 1, 0)], "doc_id bigint, quality int, toxic int")
     assert qc.sampled(documents, labels).count() == 2
+
+
+def test_features_come_to_the_driver_as_arrays(spark, monkeypatch):
+    """4 bytes a feature, not a Python number each."""
+    texts = [" ".join(f"{a}{b}{c}{i % 7}x" for a in LETTERS for b in LETTERS for c in "klmno"[: 2 + i % 4])
+             .translate(str.maketrans("0123456", "pqrstuv")) for i in range(60)]
+    documents = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    labels = spark.createDataFrame(
+        [(i, i % 2, 0) for i in range(60)], "doc_id bigint, quality int, toxic int"
+    )
+    given = []
+
+    def fit(rows, grades):
+        given.append((rows, grades))
+        return qc.Model(np.zeros(qc.BUCKETS + qc.SHAPES), (0.0, 1.0))
+
+    monkeypatch.setattr(qc, "fit", fit)
+    qc.trained(documents, labels)
+    tracemalloc.start()
+    qc.trained(documents, labels)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    (first, grades), (rows, again) = given
+    hashes = qc._Hashes()
+    expected = sorted((qc.features(t, hashes).tolist(), 1 + i % 2) for i, t in enumerate(texts))
+    assert [r.tolist() for r in rows] == [f for f, _ in expected] == [r.tolist() for r in first]
+    assert again.tolist() == [g for _, g in expected] == grades.tolist()
+    features = sum(map(len, rows))
+    assert features > 100_000 and peak - 8 * (qc.BUCKETS + qc.SHAPES) < 16 * features
