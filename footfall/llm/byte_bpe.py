@@ -2,18 +2,19 @@
 
 Three narrow steps, no shuffle:
 
-1. an Arrow pass splits each text with the pre-tokenizer pattern and numbers the words. A
-   word that its task has not met before travels along as an array of byte tokens;
-2. Spark's higher-order functions encode those distinct words: ``aggregate`` folds merges
+1. an Arrow pass splits each text with the pre-tokenizer pattern, cuts words where no token
+   of the vocabulary could span, and numbers the parts. A part that its task has not met
+   before travels along as an array of byte tokens with their pairs' ranks;
+2. Spark's higher-order functions encode those distinct parts: ``aggregate`` folds merges
    over the array, each step replacing the adjacent pair of lowest rank. The ranks are a
    perfect hash, so that a lookup reads one element of each of two arrays; they come by a
    scalar subquery, so that no plan and no description of one holds them;
-3. an Arrow pass, in the same task and order, turns word numbers into token ids.
+3. an Arrow pass, in the same task and order, turns the parts' numbers into token ids.
 
 Decoding concatenates the tokens' bytes, with Spark functions alone.
 
-A task's dictionary starts anew after ``MAX_WORDS`` words, on both sides at the same row,
-so that its memory is bounded. Lost tasks start over at their first row.
+A task's dictionaries start anew after ``MAX_WORDS`` words or parts, on both sides at the same
+row, so that their memory is bounded. Lost tasks start over at their first row.
 """
 
 from __future__ import annotations
@@ -59,6 +60,8 @@ def pair_ranks(ranks: dict[bytes, int]) -> dict[tuple[int, int], int]:
 # --- the rank map and the fold ----------------------------------------------------------
 
 _BUCKETS, _SPREAD = 65_521, 8_191
+#: Where the items of tokens that begin a pair start, and the bits of an item that are the id.
+_RANKED, _ID = -1 << 63, (1 << 32) - 1
 
 
 def id_bits(ranks: dict[bytes, int]) -> int:
@@ -108,47 +111,58 @@ def _bind(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def fold_merges(tokens: Column, shifts: Column, entries: Column, bits: int) -> Column:
-    """Token ids of one word, given as the array of its byte tokens, of the entries' type.
+def fold_merges(items: Column, shifts: Column, entries: Column, bits: int) -> Column:
+    """The items of one word's tokens, from those of its byte tokens.
 
-    Each step of the fold replaces the adjacent pair of lowest rank, the leftmost among
-    equals, by its token. The state holds the ids and, for each, the rank of the pair that it
-    begins, less ``limit``. Other numbers, and NULL, stand for a pair that doesn't merge.
+    An item is a token's id and, above its 32 bits, the rank of the pair that the token begins,
+    so that the least item is the pair to merge next: an item of rank r is at
+    ``_RANKED + (r << 32)`` or after, those that begin no pair are after all of these. Each step
+    of the fold replaces the pair of lowest rank, the leftmost among equals, by its token, and
+    looks up the two pairs that the token is in.
     """
-    limit = -1 << 2 * bits - 1
-    gone = F.lit(-1)
+    none, gone = F.lit(0).cast("bigint"), F.lit(-1).cast("bigint")
+    beyond = F.lit(_RANKED + (1 << 32 + min(bits, 31))).cast("bigint")
 
-    def rank(left: Column, right: Column) -> Column:
+    def item(left: Column, right: Column) -> Column:
         bucket = (left * F.lit(_SPREAD) + right) % F.lit(_BUCKETS)
-        place = F.get(shifts, bucket.cast("int")) + left.cast("int")
+        found = F.get(entries, F.get(shifts, bucket) + left).bitwiseXOR(F.shiftleft(left, bits))
         # Only the pair's own entry leaves one of the lowest 2**bits numbers.
-        return F.get(entries, place).bitwiseXOR(F.shiftleft(left, bits))
+        if bits == 16:
+            rank = F.coalesce(F.shiftleft(found, 32), none)
+        else:
+            own = found < F.lit(_RANKED + (1 << bits))
+            rank = F.when(own, F.shiftleft(found, 32).bitwiseXOR(F.lit(_RANKED))).otherwise(none)
+        return rank.bitwiseOR(left)
 
-    def state(ids: Column) -> Column:
-        ranks = F.transform(ids, lambda x, i: rank(x, F.get(ids, i + 1)))
-        return F.struct(ids.alias("ids"), ranks.alias("ranks"))
+    def token(x: Column) -> Column:
+        return x.bitwiseAND(F.lit(_ID))
 
     def step(now: Column, _: Column) -> Column:
-        ids, ranks = now["ids"], now["ranks"]
-        lowest = F.array_min(ranks)
+        lowest = F.array_min(now)
 
         def merged(at: Column) -> Column:
-            """The pair's left token becomes the new one, its right token goes."""
-            new = F.get(ranks, at - 1).bitwiseXOR(F.lit(limit))
-            marked = F.transform(
-                ids, lambda x, i: F.when(i == at, gone).when(i == at - 1, new).otherwise(x)
-            )
-            return F.array_remove(marked, gone)
+            """The pair's left item, the ``at``-th, becomes the new one, its right item goes."""
+
+            def marked(new: Column) -> Column:
+                return F.transform(
+                    now,
+                    lambda x, i: F.when((i > at) | (i < at - 2), x)
+                    .when(i == at, gone)
+                    .when(i == at - 1, item(new, token(F.get(now, at + 1))))
+                    .otherwise(item(token(x), new)),
+                )
+
+            new = F.shiftright(lowest.bitwiseXOR(F.lit(_RANKED)), 32)
+            return F.array_remove(_bind(new, marked), gone)
 
-        found = _bind(F.array_position(ranks, lowest).cast("int"), merged)
-        return F.when(lowest < F.lit(limit + (1 << bits)), _bind(found, state)).otherwise(now)
+        found = F.array_position(now, lowest).cast("int")
+        return F.when(lowest < beyond, _bind(found, merged)).otherwise(now)
 
     # A word of n bytes has n - 1 merges at most. Longer ones come merged.
-    steps = F.slice(tokens, F.lit(2), F.size(tokens))
+    steps = F.slice(items, F.lit(2), F.size(items))
     return F.when(
-        (F.size(tokens) > 1) & (F.size(tokens) <= FOLD_BYTES),
-        F.aggregate(steps, state(tokens), step, lambda now: now["ids"]),
-    ).otherwise(tokens)
+        (F.size(items) > 1) & (F.size(items) <= FOLD_BYTES), F.aggregate(steps, items, step)
+    ).otherwise(items)
 
 
 def merge_long(tokens: list[int], pairs: dict[tuple[int, int], int]) -> list[int]:
@@ -181,70 +195,67 @@ class _Numbers(dict):
     """Numbers of words in order of their first appearance; ``told`` are the new ones."""
 
     def __init__(self):
-        self.told: list[str] = []
+        self.told: list = []
 
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: str | bytes) -> int:
         self.told.append(word)
         n = self[word] = len(self)
         return n
 
 
-def _byte_tokens(words: list[str], ranks: dict[bytes, int], merge, kind: pa.DataType) -> pa.Array:
-    """The byte tokens of words, of long ones what ``merge`` makes of them."""
-    given = [word.encode() for word in words]
-    lengths = np.fromiter(map(len, given), np.int64, len(given))
-    of_byte = np.array([ranks[bytes([b])] for b in range(256)], kind.to_pandas_dtype())
-    tokens = of_byte[np.frombuffer(b"".join(given), np.uint8)]
-    if len(long := np.flatnonzero(lengths > FOLD_BYTES)):
-        parts = np.split(tokens, np.cumsum(lengths)[:-1])
-        for i in long:
-            parts[i] = np.array(merge(parts[i].tolist()), tokens.dtype)
-            lengths[i] = len(parts[i])
-        tokens = np.concatenate(parts)
-    ends = np.concatenate([[0], np.cumsum(lengths)])
-    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(tokens, kind))
-
-
-def _number_words(text: str, pattern: str, ranks: dict[bytes, int], max_words: int):
-    """Replace the text by the numbers of its words; new words come as byte tokens."""
-    kind = pa.int32() if id_bits(ranks) == 16 else pa.int64()
-
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        find = regex.compile(pattern).findall
-        pairs: dict[tuple[int, int], int] = {}
-        numbers = _Numbers()
-
-        def merge(tokens: list[int]) -> list[int]:
-            pairs.update(() if pairs else pair_ranks(ranks))
-            return merge_long(tokens, pairs)
-
-        for batch in small_batches(batches, text, 1 << 20):
-            found, told, news, fresh = [], [], [0], []
-            for value in batch.column(text).to_pylist():
-                words = find(value or "")
-                fresh.append(len(numbers) >= max_words)
-                if fresh[-1]:
-                    numbers = _Numbers()
-                found.append(np.fromiter(map(numbers.__getitem__, words), np.int32, len(words)))
-                told += numbers.told
-                news.append(len(told))
-                numbers.told = []
-            ends = np.cumsum([0, *map(len, found)], dtype=np.int32)
-            columns = [batch.column(n) for n in batch.schema.names if n != text]
-            names = [n for n in batch.schema.names if n != text]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    *columns,
-                    pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(found))),
-                    pa.ListArray.from_arrays(
-                        pa.array(news, pa.int32()), _byte_tokens(told, ranks, merge, kind)
-                    ),
-                    pa.array(fresh, pa.bool_()),
-                ],
-                [*names, "_words", "_new", "_fresh"],
-            )
-
-    return rows
+def _flat(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all words, and where each word ends."""
+    lengths = np.fromiter(map(len, words), np.int64, len(words))
+    return np.frombuffer(b"".join(words), np.uint8), np.cumsum(lengths)
+
+
+class _Cutter:
+    """Words to parts, and parts to the items of their byte tokens."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        self.ranks, self.pairs = ranks, {}
+        self.of_byte = np.array([ranks[bytes([b])] for b in range(256)], np.int64)
+        tokens, ends = _flat(list(ranks))
+        inside = np.ones(len(tokens), bool)
+        inside[ends - 1] = False
+        before = np.flatnonzero(inside)
+        self.adjacent = np.zeros((256, 256), bool)
+        self.adjacent[tokens[before], tokens[before + 1]] = True
+        self.rank = np.zeros((256, 256), np.int64)
+        for token, rank in ranks.items():
+            if len(token) == 2:
+                self.rank[token[0], token[1]] = _RANKED + (rank << 32)
+
+    def parts(self, words: list[str]) -> tuple[list[bytes], np.ndarray]:
+        """The words' parts, and how many each word has. A word is cut between two bytes that
+        are adjacent in no token, as no merge can join them."""
+        given = [word.encode() for word in words]
+        tokens, ends = _flat(given)
+        last = np.ones(len(tokens), bool)
+        last[:-1] = ~self.adjacent[tokens[:-1], tokens[1:]]
+        last[ends[ends > 0] - 1] = True
+        stops = np.flatnonzero(last) + 1
+        joined, at = b"".join(given), [0, *stops.tolist()]
+        counts = np.diff(np.searchsorted(stops, ends, "right"), prepend=0)
+        return [joined[i:j] for i, j in zip(at, at[1:], strict=False)], counts
+
+    def items(self, parts: list[bytes]) -> pa.Array:
+        """What ``fold_merges`` takes for each part; of long parts, what the merges give."""
+        tokens, ends = _flat(parts)
+        items = np.zeros(len(tokens), np.int64)
+        items[:-1] = self.rank[tokens[:-1], tokens[1:]]
+        items[ends - 1] = 0
+        items |= self.of_byte[tokens]
+        lengths = np.diff(ends, prepend=0)
+        if len(long := np.flatnonzero(lengths > FOLD_BYTES)):
+            self.pairs = self.pairs or pair_ranks(self.ranks)
+            split = np.split(items, ends[:-1])
+            for i in long:
+                merged = merge_long((split[i] & _ID).tolist(), self.pairs)
+                split[i], lengths[i] = np.array(merged, np.int64), len(merged)
+            items = np.concatenate(split)
+        ends = np.concatenate([[0], np.cumsum(lengths)])
+        return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(items))
 
 
 class _Dictionary:
@@ -273,6 +284,64 @@ class _Dictionary:
         return self.ids[np.repeat(first - ends + lengths, lengths) + np.arange(total)], lengths
 
 
+def _number_words(text: str, pattern: str, ranks: dict[bytes, int], max_words: int):
+    """Replace the text by the numbers of its words' parts; new parts come as items."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        find, cutter = regex.compile(pattern).findall, _Cutter(ranks)
+        words, parts, known = _Numbers(), _Numbers(), _Dictionary()
+        for batch in small_batches(batches, text, 1 << 20):
+            found, told, ends, fresh = [], [], [0], []
+            full = len(parts) >= max_words
+            for value in batch.column(text).to_pylist():
+                given = find(value or "")
+                fresh.append(full or len(words) >= max_words)
+                if fresh[-1]:
+                    words, full = _Numbers(), False
+                found.append(np.fromiter(map(words.__getitem__, given), np.int32, len(given)))
+                told += words.told
+                ends.append(len(told))
+                words.told = []
+            # The rows of one dictionary at once.
+            numbers, sizes, news, new_parts = [], [], [], []
+            begins = sorted({0, *np.flatnonzero(fresh).tolist()})
+            for begin, end in zip(begins, [*begins[1:], batch.num_rows], strict=True):
+                if fresh[begin]:
+                    parts, known = _Numbers(), _Dictionary()
+                pieces, counts = cutter.parts(told[ends[begin] : ends[end]])
+                met = len(parts)
+                of_words = np.fromiter(map(parts.__getitem__, pieces), np.int32, len(pieces))
+                known.add(of_words, counts)
+                of_texts, lengths = known.look(np.concatenate(found[begin:end]))
+                numbers.append(of_texts)
+                at = np.cumsum([0, *map(len, found[begin:end])])
+                sizes.append(np.diff(np.concatenate([[0], np.cumsum(lengths)])[at]))
+                # How many parts are known after each of the words' parts, and after each row.
+                reached = np.maximum.accumulate(np.concatenate([[met], of_words + 1]))
+                at = np.array(ends[begin : end + 1]) - ends[begin]
+                news.append(np.diff(reached[np.concatenate([[0], np.cumsum(counts)])[at]]))
+                new_parts += parts.told
+                parts.told = []
+            names = [n for n in batch.schema.names if n != text]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *(batch.column(n) for n in names),
+                    _lists(sizes, pa.array(np.concatenate(numbers))),
+                    _lists(news, cutter.items(new_parts)),
+                    pa.array(fresh, pa.bool_()),
+                ],
+                [*names, "_words", "_new", "_fresh"],
+            )
+
+    return rows
+
+
+def _lists(sizes: list[np.ndarray], values: pa.Array) -> pa.Array:
+    """Lists of these sizes, one after another."""
+    ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), values)
+
+
 def _assemble(keep: list[str], out: str):
     """Word numbers and encoded new words to the token ids of each row."""
 
@@ -290,7 +359,8 @@ def _assemble(keep: list[str], out: str):
                     known = _Dictionary()
                 encoded = part.column("_encoded").flatten()
                 known.add(
-                    encoded.flatten().to_numpy(zero_copy_only=False),
+                    # An item's low 32 bits are its id.
+                    encoded.flatten().to_numpy(zero_copy_only=False).astype(np.int32),
                     np.diff(encoded.offsets.to_numpy()) if len(encoded) else np.empty(0, np.int64),
                 )
                 words = part.column("_words")
@@ -335,10 +405,9 @@ def encode(
     fields = fields + ", " if fields else ""
     bits = id_bits(ranks)
     shifts, entries = rank_map(pair_ranks(ranks), bits)
-    kind = "int" if bits == 16 else "bigint"
     numbered = documents.select(*keep, text).mapInArrow(
         _number_words(text, pattern, ranks, max_words),
-        f"{fields}_words array<int>, _new array<array<{kind}>>, _fresh boolean",
+        f"{fields}_words array<int>, _new array<array<bigint>>, _fresh boolean",
     )
 
     def all_words(held: Column) -> Column:

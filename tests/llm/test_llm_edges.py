@@ -555,6 +555,53 @@ def test_plan_does_not_hold_the_rank_map(messy, vocabulary):
     assert len(encoded._jdf.queryExecution().toString()) < 1 << 18
 
 
+def test_words_are_cut_where_no_token_spans(vocabulary):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=r"(?s).+", mergeable_ranks=vocabulary, special_tokens={})
+    beside = {token[i : i + 2] for token in vocabulary for i in range(len(token) - 1)}
+    pairs, rng = byte_bpe.pair_ranks(vocabulary), random.Random(6)
+    words = ["".join(rng.choices("abethinßéü京😀 q", k=rng.randint(0, 30))) for _ in range(500)]
+    parts, counts = byte_bpe._Cutter(vocabulary).parts(words)
+    assert len(parts) > 1.5 * len(words)
+    assert all(p[i : i + 2] in beside for p in parts for i in range(len(p) - 1))
+    at = 0
+    for word, count in zip(words, counts.tolist(), strict=True):
+        own, at = parts[at : at + count], at + count
+        assert b"".join(own) == word.encode()
+        assert not any(p[-1:] + q[:1] in beside for p, q in zip(own, own[1:], strict=False))
+        alone = [byte_bpe.merge_long([vocabulary[bytes([b])] for b in p], pairs) for p in own]
+        assert [i for ids in alone for i in ids] == library.encode_ordinary(word)
+    assert at == len(parts)
+
+
+def test_words_share_their_parts(spark):
+    import tiktoken
+
+    few = {bytes([b]): b for b in range(256)}
+    for token in (b"ab", b"cd", b"aa", b"cdc", b"aab", b"aaaa"):
+        few[token] = len(few)
+    texts = ["abcd cdab", None, "abab cdab", "", "aaaaab cdcdcdaabab" * 3, "ab" * 300, "\u00e9a\u00e9"]
+    batch = pa.RecordBatch.from_pydict({"k": pa.array(range(len(texts))), "text": pa.array(texts)})
+    for max_words in (1, 1 << 20):
+        (out,) = byte_bpe._number_words("text", public_tokenizers.PATTERN, few, max_words)(iter([batch]))
+        told = [[[x & 255 for x in part] for part in row] for row in out.column("_new").to_pylist()]
+        # "ab", "cd" and " " are folded once for all the words that they are in.
+        if max_words > 1:
+            assert told[:4] == [[[*b"ab"], [*b"cd"], [*b" "]], [], [], []]
+    for more in (0, 100_000):
+        ranks = {token: rank + more for token, rank in few.items()}
+        library = tiktoken.Encoding(
+            "few", pat_str=public_tokenizers.PATTERN, mergeable_ranks=few, special_tokens={}
+        )
+        docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+        for max_words in (1, 2, 1 << 20):
+            rows = byte_bpe.encode(docs, ranks, public_tokenizers.PATTERN, max_words=max_words)
+            for r in rows.collect():
+                expected = library.encode_ordinary(texts[r.doc_id] or "")
+                assert r.ids == [i + more for i in expected]
+
+
 def test_ids_are_made_in_parts(monkeypatch):
     monkeypatch.setattr(byte_bpe, "PART_WORDS", 10)
     rows = 40
